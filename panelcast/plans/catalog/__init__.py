@@ -1,7 +1,9 @@
 """Registered queries, one per operator, each with its SQL where SQL can say it."""
 
 from panelcast.plans.catalog import (  # noqa: F401
+    aggregates,
     cleaning,
+    joins,
     sources,
 )
 from panelcast.plans.catalog.registry import ORACLES, QUERIES
