@@ -124,6 +124,12 @@ def is_weekend(ts: str | Column) -> Column:
     return (F.weekday(_c(ts)) > 4).cast("int")
 
 
+def seasonal_names(freq: Freq, cyclical: bool = True, weekend: bool = True) -> list[str]:
+    parts = seasonal_parts(freq)
+    names = [f"{p}_{f}" for p in parts for f in ("sin", "cos")] if cyclical else list(parts)
+    return names + ["is_weekend"] * weekend
+
+
 def seasonal_columns(
     ts: str | Column, freq: Freq, cyclical: bool = True, weekend: bool = True
 ) -> dict[str, Column]:

@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.config import LEVELS, ROLLING_DAYS
-from panelcast.functions.calendar import Freq, seasonal_columns
+from panelcast.functions.calendar import (
+    Freq,
+    part,
+    seasonal_columns,
+    seasonal_names,
+    seasonal_parts,
+)
 from panelcast.operators.blocks import BLOCK, block_window, drop_halo, with_halo
 from panelcast.operators.panel import SERIES
 
@@ -37,7 +43,7 @@ class FeatureSpec:
     def seasonal_names(self) -> list[str]:
         if not self.seasonal:
             return []
-        return list(seasonal_columns("ts", self.freq, self.cyclical))
+        return seasonal_names(self.freq, self.cyclical)
 
     @property
     def base_names(self) -> list[str]:
@@ -140,3 +146,13 @@ def offsets(
         for s in steps
     }
     return drop_halo(halo.withColumns(made))
+
+
+def one_hot(freq: Freq, ts: str = "ts") -> dict[str, Column]:
+    """0/1 columns of the calendar codes, first category dropped."""
+    first = {"dayofweek": (0, 6), "month": (1, 12), "hour": (0, 23)}
+    return {
+        f"{p}_{v}": (part(ts, p) == v).cast("int")
+        for p in seasonal_parts(freq)
+        for v in range(first[p][0] + 1, first[p][1] + 1)
+    }

@@ -100,7 +100,9 @@ def attach_series(df: DataFrame, stats: DataFrame, rows: int = BLOCK_ROWS) -> Da
     by_block = stats.withColumn(
         BLOCK, F.explode(F.sequence(block_of("lo", rows), block_of("hi", rows)))
     )
-    return df.withColumn(BLOCK, block_of("pos", rows)).join(by_block, [SERIES, BLOCK]).drop(BLOCK)
+    clash = [c for c in stats.columns if c != SERIES and c in df.columns]
+    left = df.drop(*clash).withColumn(BLOCK, block_of("pos", rows))
+    return left.join(by_block, [SERIES, BLOCK]).drop(BLOCK)
 
 
 def _between(c: str, pos: Column) -> Column:

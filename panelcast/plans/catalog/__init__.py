@@ -2,9 +2,14 @@
 
 from panelcast.plans.catalog import (  # noqa: F401
     aggregates,
+    backtests,
     cleaning,
+    forecasts,
+    functions,
     joins,
+    scores,
     sources,
+    windows,
 )
 from panelcast.plans.catalog.registry import ORACLES, QUERIES
 
