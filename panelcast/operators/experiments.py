@@ -67,15 +67,14 @@ def result_table(metrics: DataFrame, keys: list[str], model: str, order: str) ->
         ]
     runs = clean.groupBy(*keys, model, order).agg(*cells).dropna("any")
     runs = keep_first(runs, [*keys, model], order)
-    # min_by over the rows of a key instead of a window: ties go to the first name
+    # values equal to nine digits are ties and go to the first name
+    ranks = {m: F.round(f"{m}_mean", 9) for m in LOSSES}
+    ranks |= {m: F.round(F.abs(F.col(f"{m}_mean") - goal), 9) for m, goal in COVERAGES}
     best = runs.groupBy(*keys).agg(
-        *[F.min_by(model, F.struct(f"{m}_mean", model)).alias(f"_best_{m}") for m in LOSSES],
         *[
-            F.min_by(model, F.struct(F.abs(F.col(f"{m}_mean") - goal), F.col(model))).alias(
-                f"_best_{m}"
-            )
-            for m, goal in COVERAGES
-        ],
+            F.min_by(model, F.struct(rank, F.col(model))).alias(f"_best_{m}")
+            for m, rank in ranks.items()
+        ]
     )
     names = F.create_map(*[F.lit(v) for pair in DISPLAY_NAMES.items() for v in pair])
     every = [*LOSSES, *[c for c, _ in COVERAGES]]

@@ -9,6 +9,7 @@ from panelcast.plans.catalog import (  # noqa: F401
     joins,
     scores,
     sources,
+    submissions,
     windows,
 )
 from panelcast.plans.catalog.registry import ORACLES, QUERIES

@@ -13,7 +13,7 @@ from panelcast.operators.folds import Splitter, WindowParams, window_params
 from panelcast.operators.panel import SERIES, bounds
 from panelcast.plans import evaluate
 from panelcast.plans import tables as T
-from panelcast.plans.catalog.registry import filled_sql, query, r, with_ctes  # noqa: F401
+from panelcast.plans.catalog.registry import LEVELS_SQL, LOSSES_SQL, query, r, with_ctes
 from panelcast.sources.artifacts import time_slice
 
 _YEARS = (0.5, 1.0, 2.5)
@@ -187,8 +187,6 @@ _SPANS = (10, 25, 50, 100, 200)
 
 
 def _sweep_ctes() -> dict[str, str]:
-    from panelcast.plans.catalog.registry import _LOSSES, LEVELS_SQL
-
     past = """SELECT t.series_id, t.fold, t.ts, t.y, p.y AS past, row_number() OVER (
                 PARTITION BY t.series_id, t.fold, t.ts ORDER BY p.idx DESC) AS rn
               FROM (SELECT g.series_id, f.fold, g.ts, g.idx, g.y, 1399 + f.fold * 70 AS cut
@@ -208,7 +206,7 @@ def _sweep_ctes() -> dict[str, str]:
     fold = f"""SELECT *, loss_q025 + loss_q25 + loss_q50 + loss_q75 + loss_q975 AS pinball_loss,
                  (loss_q25 + loss_q75) / 0.5::DOUBLE AS interval_score_50,
                  (loss_q025 + loss_q975) / 0.05::DOUBLE AS interval_score_95 FROM (
-                 SELECT series_id, n_weeks, fold, {_LOSSES},
+                 SELECT series_id, n_weeks, fold, {LOSSES_SQL},
                    avg((y >= q25 AND y <= q75)::INT::DOUBLE) AS coverage_50,
                    avg((y >= q025 AND y <= q975)::INT::DOUBLE) AS coverage_95
                  FROM scored GROUP BY ALL)"""
@@ -279,7 +277,7 @@ def _result_sql() -> str:
     )
     out = ", ".join(
         f"printf('%.2f (± %.2f)', w.{m}, w.{m}_std) AS {m}, "
-        f"row_number() OVER (PARTITION BY series_id ORDER BY {rank}, w.n_weeks::VARCHAR) = 1 "
+        f"row_number() OVER (PARTITION BY series_id ORDER BY round({rank}, 9), w.n_weeks::VARCHAR) = 1 "
         f"AS {m}_is_best"
         for m, rank in every
     )

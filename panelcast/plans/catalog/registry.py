@@ -155,7 +155,7 @@ _CTES["dscored"] = (
     "SELECT series_id, fold, ts, y, q[1] AS q025, q[2] AS q25, q[3] AS q50, q[4] AS q75, "
     "q[5] AS q975 FROM dpred WHERE y IS NOT NULL",
 )
-_LOSSES = ", ".join(
+LOSSES_SQL = ", ".join(
     f"avg(greatest({t}::DOUBLE * (y - {c}), ({t}::DOUBLE - 1.0) * (y - {c}))) AS loss_{c}, "
     f"avg((y <= {c})::INT::DOUBLE) AS hit_{c}"
     for t, c in ((0.025, "q025"), (0.25, "q25"), (0.5, "q50"), (0.75, "q75"), (0.975, "q975"))
@@ -165,7 +165,7 @@ _CTES["dfold"] = (
     f"""SELECT *, loss_q025 + loss_q25 + loss_q50 + loss_q75 + loss_q975 AS pinball_loss,
         (loss_q25 + loss_q75) / 0.5::DOUBLE AS interval_score_50,
         (loss_q025 + loss_q975) / 0.05::DOUBLE AS interval_score_95 FROM (
-        SELECT series_id, fold, count(*) AS n, {_LOSSES},
+        SELECT series_id, fold, count(*) AS n, {LOSSES_SQL},
                avg((y >= q25 AND y <= q75)::INT::DOUBLE) AS coverage_50,
                avg((y >= q025 AND y <= q975)::INT::DOUBLE) AS coverage_95
         FROM dscored GROUP BY series_id, fold)""",
