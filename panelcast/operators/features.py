@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelcast.config import LEVELS, ROLLING_DAYS
 from panelcast.functions.calendar import (
     Freq,
+    is_weekend,
     part,
     seasonal_columns,
     seasonal_names,
@@ -34,6 +35,7 @@ class FeatureSpec:
     cyclical: bool = True
     rolling: bool = False
     target: str = "y"
+    one_hot: bool = False
 
     def __post_init__(self) -> None:
         if not self.lags or min(self.lags) < 1:
@@ -43,6 +45,8 @@ class FeatureSpec:
     def seasonal_names(self) -> list[str]:
         if not self.seasonal:
             return []
+        if self.one_hot:
+            return [*one_hot_names(self.freq), "is_weekend"]
         return seasonal_names(self.freq, self.cyclical)
 
     @property
@@ -81,9 +85,6 @@ class FeatureSpec:
         rolling = ROLLING_DAYS * self.freq.per_day if self.rolling else 0
         return max(max(self.lags), rolling)
 
-    def without_target(self) -> FeatureSpec:
-        return replace(self, rolling=False)
-
 
 def seasonal_rolling_quantiles(
     df: DataFrame, freq: Freq, target: str = "y", days: int = ROLLING_DAYS
@@ -101,6 +102,8 @@ def seasonal_rolling_quantiles(
 def add_seasonal(df: DataFrame, spec: FeatureSpec) -> DataFrame:
     if not spec.seasonal:
         return df
+    if spec.one_hot:
+        return df.withColumns(one_hot(spec.freq) | {"is_weekend": is_weekend("ts")})
     return df.withColumns(seasonal_columns("ts", spec.freq, spec.cyclical))
 
 
@@ -128,6 +131,10 @@ def training_frame(features: DataFrame, spec: FeatureSpec) -> DataFrame:
     return features.dropna("any", subset=[*spec.names, spec.target])
 
 
+def offset_name(c: str, s: int) -> str:
+    return f"{c}_lag_{-s}" if s < 0 else f"{c}_lead_{s}" if s > 0 else f"{c}_now"
+
+
 def offsets(
     grid: DataFrame, cols: list[str], steps: list[int], keys: list[str] | None = None
 ) -> DataFrame:
@@ -137,22 +144,27 @@ def offsets(
     )
     w = block_window(keys or [SERIES], "pos")
 
-    def name(c: str, s: int) -> str:
-        return f"{c}_lag_{-s}" if s < 0 else f"{c}_lead_{s}" if s > 0 else f"{c}_now"
-
     made = {
-        name(c, s): F.lag(c, -s).over(w) if s < 0 else F.lead(c, s).over(w) if s > 0 else F.col(c)
+        offset_name(c, s): F.lag(c, -s).over(w) if s < 0 else F.lead(c, s).over(w) if s > 0 else F.col(c)
         for c in cols
         for s in steps
     }
     return drop_halo(halo.withColumns(made))
 
 
+_FIRST_AND_LAST = {"dayofweek": (0, 6), "month": (1, 12), "hour": (0, 23)}
+
+
+def _codes(freq: Freq) -> list[tuple[str, int]]:
+    """Calendar codes, first category of each part dropped."""
+    spans = [(p, *_FIRST_AND_LAST[p]) for p in seasonal_parts(freq)]
+    return [(p, v) for p, low, high in spans for v in range(low + 1, high + 1)]
+
+
+def one_hot_names(freq: Freq) -> list[str]:
+    return [f"{p}_{v}" for p, v in _codes(freq)]
+
+
 def one_hot(freq: Freq, ts: str = "ts") -> dict[str, Column]:
-    """0/1 columns of the calendar codes, first category dropped."""
-    first = {"dayofweek": (0, 6), "month": (1, 12), "hour": (0, 23)}
-    return {
-        f"{p}_{v}": (part(ts, p) == v).cast("int")
-        for p in seasonal_parts(freq)
-        for v in range(first[p][0] + 1, first[p][1] + 1)
-    }
+    """0/1 columns of the calendar codes."""
+    return {f"{p}_{v}": (part(ts, p) == v).cast("int") for p, v in _codes(freq)}

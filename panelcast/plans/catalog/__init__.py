@@ -7,6 +7,7 @@ from panelcast.plans.catalog import (  # noqa: F401
     forecasts,
     functions,
     joins,
+    models,
     scores,
     sources,
     submissions,
