@@ -68,7 +68,7 @@ class LinearQuantileRegression(Estimator, _LinearParams):
         params = np.asarray(fitted["params"])
         beta = params[: width + 1]
         model = LinearQuantileRegressionModel(float(beta[0]), [float(b) for b in beta[1:]])
-        return self._copyValues(model.setParent(self))
+        return self._copyValues(model)
 
 
 class LinearQuantileRegressionModel(Model, _LinearParams):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from panelcast.operators.blocks import BLOCK, block_of
 from panelcast.operators.folds import Splitter, n_folds
 from panelcast.operators.panel import SERIES
-from panelcast.session import scratch_dir
+from panelcast.session import cut_lineage, scratch_dir
 
 PACK_ROWS = 512
 BLOCKS_PER_TASK = 4  # at least, when there are few blocks
@@ -238,7 +238,7 @@ def fit(
                 .cogroup(models.groupBy(SERIES, "fold"))
                 .applyInPandas(update, MODEL_SCHEMA)
             )
-            models = stage(updated, label)
+            models = cut_lineage(updated)
             # one small look per few passes tells whether anything is left to do
             if i % 4 == 3 and models.filter("not done").isEmpty():
                 break
