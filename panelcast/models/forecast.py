@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from panelcast.config import LEVELS, QCOLS, ROLLING_DAYS
 from panelcast.models.linear import LinearQuantile
-from panelcast.models.passes import final_models, fold_models, pack, stage, with_aux
+from panelcast.models.passes import final_models, fold_models, pack, with_aux
 from panelcast.models.trees import BoostedQuantile, QuantileForest, bin_chunks, bin_edges
 from panelcast.operators.features import FeatureSpec, build_features
 from panelcast.operators.folds import Splitter
 from panelcast.operators.panel import SERIES
+from panelcast.session import stage
 
 Model = LinearQuantile | BoostedQuantile | QuantileForest
 

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.models.linear import LinearQuantile
-from panelcast.models.passes import MODEL_SCHEMA, PACK_ROWS, pack, stage
+from panelcast.models.passes import MODEL_SCHEMA, PACK_ROWS, pack
+from panelcast.session import stage
 
 
 class _LinearParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from panelcast.operators.blocks import BLOCK, block_of
 from panelcast.operators.folds import Splitter, n_folds
 from panelcast.operators.panel import SERIES
-from panelcast.session import cut_lineage, scratch_dir
+from panelcast.session import cut_lineage, stage
 
 PACK_ROWS = 512
 BLOCKS_PER_TASK = 4  # at least, when there are few blocks
@@ -193,13 +193,6 @@ def _small_batches(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared scratch folder and read back: cuts the lineage."""
-    path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _dense(cell, rows: int) -> np.ndarray:
     return np.asarray(cell, dtype=np.float64).reshape(rows, -1)
 

@@ -78,7 +78,6 @@ def check_submission(df: DataFrame, today: str) -> DataFrame:
     ``df`` has the contract columns and ``row_id``, the row order.  When the columns
     are wrong only the column rules are reported, as the rest cannot be checked.
     """
-    spark = df.sparkSession
     cols = [c for c in df.columns if c != ROW_ID]
     shape = [
         (1, "column_count", "fail", int(len(cols) != len(CONTRACT))),
@@ -91,10 +90,8 @@ def check_submission(df: DataFrame, today: str) -> DataFrame:
             sum(t != "string" for c, t in df.dtypes if c in ("target", "horizon")),
         ),
     ]
-    schema = "rule_no int, rule string, severity string, violations long"
-    shape_rules = spark.createDataFrame(shape, schema)
     if any(r[3] for r in shape[:3]):
-        return shape_rules
+        return _listed(df.agg(F.count("*").alias("rows")), [(*r[1:3], F.lit(r[3])) for r in shape])
 
     date = F.try_to_timestamp(F.col("forecast_date").cast("string"), F.lit("yyyy-MM-dd")).cast(
         "date"
@@ -167,18 +164,21 @@ def check_submission(df: DataFrame, today: str) -> DataFrame:
             ),
         ),
     ]
-    listed = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("rule_no"),
-                F.lit(name).alias("rule"),
-                F.lit(severity).alias("severity"),
-                F.coalesce(count.cast("long"), F.lit(0)).alias("violations"),
-            )
-            for i, (name, severity, count) in enumerate(rules, start=5)
-        ]
-    )
-    return shape_rules.union(one.select(F.explode(listed).alias("r")).select("r.*"))
+    return _listed(one, [(*r[1:3], F.lit(r[3])) for r in shape] + rules)
+
+
+def _listed(one: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFrame:
+    """One row of counts to one row per rule."""
+    cells = [
+        F.struct(
+            F.lit(i).alias("rule_no"),
+            F.lit(name).alias("rule"),
+            F.lit(severity).alias("severity"),
+            F.coalesce(count.cast("long"), F.lit(0)).alias("violations"),
+        )
+        for i, (name, severity, count) in enumerate(rules, start=1)
+    ]
+    return one.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 
 
 def verdict(rules: DataFrame) -> DataFrame:

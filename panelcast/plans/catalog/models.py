@@ -9,7 +9,6 @@ from panelcast.config import DIRECT_COVARIATE_OFFSETS, QCOLS
 from panelcast.functions.calendar import DAILY, is_holiday
 from panelcast.models.forecast import backtest, check_horizon, forecast, importances, train
 from panelcast.models.ml import LinearQuantileRegression, MultipleQuantileRegressor
-from panelcast.models.passes import stage
 from panelcast.models.registry import (
     direct_grid,
     direct_linear,
@@ -24,7 +23,7 @@ from panelcast.operators.scoring import fold_scores, metrics_table
 from panelcast.plans import tables as T
 from panelcast.plans.catalog.registry import query
 from panelcast.plans.train import load_and_forecast, quick, sweep_models, train_and_save
-from panelcast.session import scratch_dir
+from panelcast.session import scratch_dir, stage
 
 X = ("quantity", "discount", "is_holiday")
 # Three folds a year apart, a week ahead.

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from panelcast.functions.calendar import Freq, is_holiday
 from panelcast.operators.joins import join_covariates
 from panelcast.operators.panel import SERIES, interpolate_prefix, keep_first, regularize
+from panelcast.session import stage
 from panelcast.sources import artifacts, landed
 
 
@@ -19,7 +20,7 @@ def prepare(
     target = keep_first(
         target.select(target[SERIES].cast("string").alias(SERIES), "ts", "y"), [SERIES, "ts"], "y"
     )
-    joined = join_covariates(target, covariates)
+    joined = stage(join_covariates(target, covariates), "joined")
     names = [c for c in joined.columns if c not in (SERIES, "ts")]
     grid = regularize(joined, freq, names, with_bounds=True)
     filled = interpolate_prefix(grid, names)

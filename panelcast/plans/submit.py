@@ -18,6 +18,7 @@ from panelcast.operators.panel import SERIES, aggregate_panel, regularize
 from panelcast.operators.submission import build_submission, horizon_label
 from panelcast.plans import tables as T
 from panelcast.plans.tables import RATE
+from panelcast.session import stage
 
 # Which event types stand for the two targets.
 BIKES, ENERGY = "click", "view"
@@ -42,8 +43,8 @@ def target_grids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         y=F.round(F.sum("value"), 2) / (RATE * 10),
     )
     return (
-        regularize(counts, DAILY, ["y"], with_bounds=True),
-        regularize(load, HOURLY, ["y"], with_bounds=True),
+        regularize(stage(counts, "counts"), DAILY, ["y"], with_bounds=True),
+        regularize(stage(load, "load"), HOURLY, ["y"], with_bounds=True),
     )
 
 
@@ -75,16 +76,6 @@ def target_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 18 submission rows; ``forecast_date`` is the Wednesday the horizon starts from."""
-    forecasts = target_forecasts(spark, sf_dir)
-    rows = build_submission(forecasts, F.lit(None).cast("string"))
-    wednesday = forecasts.agg(F.date_format(F.max("wednesday"), "yyyy-MM-dd").alias("_wed"))
-    # one row
-    return (
-        rows.drop("forecast_date")
-        .join(F.broadcast(wednesday))
-        .select(
-            "row_id",
-            F.col("_wed").alias("forecast_date"),
-            *[f"`{c}`" for c in rows.columns if c not in ("row_id", "forecast_date")],
-        )
-    )
+    forecasts = stage(target_forecasts(spark, sf_dir), "forecasts")  # 12 rows
+    wednesday = forecasts.agg(F.date_format(F.max("wednesday"), "yyyy-MM-dd")).first()[0]
+    return build_submission(forecasts, F.lit(wednesday))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.calendar import DAILY, HOURLY, is_holiday
 from panelcast.operators.joins import join_covariates
-from panelcast.operators.panel import SERIES, aggregate_panel, interpolate, regularize, with_index
+from panelcast.operators.panel import SERIES, aggregate_panel, interpolate, regularize
+from panelcast.session import stage
 
 # Marks per euro: prices in thousand euro, event values in euro.
 RATE = 1.95583
@@ -47,12 +48,16 @@ def covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A grid reads its rows twice, for the limits of each series and for the values, so the
+# rolled-up facts are staged: the facts are scanned once.
+
+
 def daily_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regularize(daily(spark, sf_dir), DAILY, ["y"], with_bounds=True)
+    return regularize(stage(daily(spark, sf_dir), "daily"), DAILY, ["y"], with_bounds=True)
 
 
 def hourly_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regularize(hourly(spark, sf_dir), HOURLY, ["y"], with_bounds=True)
+    return regularize(stage(hourly(spark, sf_dir), "hourly"), HOURLY, ["y"], with_bounds=True)
 
 
 def daily_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,30 +70,15 @@ def hourly_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target right-joined to covariates, on the grid: future rows have no target."""
-    both = join_covariates(daily(spark, sf_dir), covariates(spark, sf_dir))
+    both = stage(join_covariates(daily(spark, sf_dir), covariates(spark, sf_dir)), "joined")
     return regularize(both, DAILY, ["y", "quantity", "discount"], with_bounds=True)
 
 
 def covariate_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gap-free daily panel with covariates and holiday flag, for models."""
-    both = daily(spark, sf_dir).join(covariates(spark, sf_dir), [SERIES, "ts"])
+    both = stage(daily(spark, sf_dir).join(covariates(spark, sf_dir), [SERIES, "ts"]), "panel")
     grid = regularize(both, DAILY, ["y", "quantity", "discount"], with_bounds=True)
     return interpolate(grid, ["y", "quantity", "discount"]).withColumn(
         "is_holiday", is_holiday("ts").cast("double")
     )
 
-
-__all__ = [
-    "RATE",
-    "covariate_panel",
-    "covariates",
-    "daily",
-    "daily_filled",
-    "daily_grid",
-    "hourly",
-    "hourly_filled",
-    "hourly_grid",
-    "joined",
-    "table",
-    "with_index",
-]

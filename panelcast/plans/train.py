@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.calendar import DAILY, Freq
 from panelcast.models.forecast import backtest, forecast, train
-from panelcast.models.passes import stage
 from panelcast.models.registry import Baseline, Setup, get_model
 from panelcast.operators.baseline import baseline_backtest
 from panelcast.operators.folds import Splitter
 from panelcast.operators.scoring import fold_scores, metrics_table
+from panelcast.session import stage
 from panelcast.sources import artifacts
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "panelcast", cpus: int = 8, **conf: str) -> SparkSession:
@@ -52,10 +52,21 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/panelcast/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df):
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     Reliable checkpoints survive the loss of an executor.
     """
     scratch_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write to the shared scratch folder and read back.
+
+    For a result that is read more than once: what it took to make it, such as a scan
+    of the facts, is not done again.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
