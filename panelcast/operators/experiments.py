@@ -42,8 +42,9 @@ def weeks_sweep(grid: DataFrame, freq: Freq, splitter: Splitter, spans: list[int
     return metrics_table(folds, [SERIES, "n_weeks"])
 
 
-def _text(metric: str) -> Column:
-    return F.format_string("%.2f (± %.2f)", F.col(f"{metric}_mean"), F.col(f"{metric}_std"))
+def mean_std_text(mean: str, std: str) -> Column:
+    """``m (± s)`` with two decimals, half rounded to even."""
+    return F.format_string("%.2f (± %.2f)", F.bround(mean, 2), F.bround(std, 2))
 
 
 LOSSES = ("pinball_loss", "interval_score_50", "interval_score_95")
@@ -82,7 +83,7 @@ def result_table(metrics: DataFrame, keys: list[str], model: str, order: str) ->
         *keys,
         F.coalesce(names[F.col(model).cast("string")], F.col(model).cast("string")).alias("model"),
         F.col("pinball_loss_mean").alias("pinball_loss_value"),
-        *[_text(m).alias(m) for m in every],
+        *[mean_std_text(f"{m}_mean", f"{m}_std").alias(m) for m in every],
         *[(F.col(model) == F.col(f"_best_{m}")).alias(f"{m}_is_best") for m in every],
     )
 

@@ -8,6 +8,7 @@ from panelcast.config import DISPLAY_NAMES, LEVELS, QCOLS
 from panelcast.functions import calendar as C
 from panelcast.functions.calendar import DAILY, HOURLY
 from panelcast.operators import scoring
+from panelcast.operators.experiments import mean_std_text
 from panelcast.operators.features import one_hot
 from panelcast.operators.panel import SERIES
 from panelcast.plans import evaluate
@@ -219,7 +220,7 @@ def f12(spark, sf_dir):
 def f13(spark, sf_dir):
     metrics = evaluate.evaluate(spark, sf_dir)
     best = metrics.groupBy("metric").agg(F.min("mean").alias("_best"))
-    text = F.format_string("%.2f (± %.2f)", "mean", "std").alias("text")
+    text = mean_std_text("mean", "std").alias("text")
     # one row per metric, five in all
     return metrics.join(F.broadcast(best), "metric").select(
         SERIES, "metric", text, (F.col("mean") == F.col("_best")).alias("is_best")

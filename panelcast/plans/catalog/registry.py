@@ -46,7 +46,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "cov": (
         (),
         """SELECT o_orderpriority AS series_id, date_trunc('day', l_shipdate)::TIMESTAMP AS ts,
-           sum(l_quantity) AS quantity, round(sum(l_discount), 2) AS discount
+           sum(l_quantity) AS quantity, round(sum(l_discount), 2) / 1.95583::DOUBLE AS discount
            FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""",
     ),
     "dgrid": (

@@ -44,7 +44,7 @@ def covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate"),
         DAILY,
         quantity=F.sum("l_quantity"),
-        discount=F.round(F.sum("l_discount"), 2),
+        discount=F.round(F.sum("l_discount"), 2) / RATE,
     )
 
 
