@@ -17,6 +17,8 @@ from panelcast.session import cut_lineage, stage
 
 PACK_ROWS = 512
 BLOCKS_PER_TASK = 4  # at least, when there are few blocks
+MODELS_PER_BUCKET = 16  # on average, updated in one call
+BUCKET = "bucket"
 FLUSH_VALUES = 8_000_000  # doubles held by a task before partial sums are handed on
 
 MODEL_SCHEMA = (
@@ -164,19 +166,25 @@ def _frame(sums: dict[tuple[str, int], np.ndarray]) -> pd.DataFrame:
 
 
 def _updater(reduce_fn: ReduceFn):
-    def run(key, stats: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        if stats.empty or bool(model["done"].iloc[0]):
-            return model.assign(done=True)
-        total = np.sum(np.stack(stats["stats"].to_list()), axis=0)
-        row = model.iloc[0]
-        params, done = reduce_fn(
-            total, int(row["step"]), np.asarray(row["params"]), np.asarray(row["aux"])
-        )
-        out = model.copy()
-        out["step"] = row["step"] + 1
-        out["done"] = done
-        out["params"] = [params]
-        return out
+    """Update the models of one bucket from their sums."""
+
+    def run(key, stats: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+        totals: dict[tuple[str, int], np.ndarray] = {}
+        for name, fold, part in zip(stats[SERIES], stats["fold"], stats["stats"], strict=True):
+            k = (name, int(fold))
+            totals[k] = totals[k] + part if k in totals else np.asarray(part)
+        steps, done, params = [], [], []
+        for row in models.itertuples(index=False):
+            total = totals.get((getattr(row, SERIES), int(row.fold)))
+            if total is None:  # finished, or nothing to train on
+                new, over = row.params, True
+            else:
+                args = int(row.step), np.asarray(row.params), np.asarray(row.aux)
+                new, over = reduce_fn(total, *args)
+            steps.append(row.step + (total is not None))
+            done.append(bool(over))
+            params.append(new)
+        return models.drop(columns=BUCKET).assign(step=steps, done=done, params=params)
 
     return run
 
@@ -223,12 +231,14 @@ def fit(
     chunks = chunks.repartition(parts, SERIES, BLOCK).persist()
     with _small_batches(spark):
         models = stage(models, label)
+        buckets = max(1, -(-models.count() // MODELS_PER_BUCKET))
+        bucket = F.pmod(F.xxhash64(SERIES, "fold"), F.lit(buckets))
         for i in range(passes):
             pairs = chunks.join(_on_blocks(models), [SERIES, BLOCK])
-            stats = pairs.mapInPandas(run, STATS_SCHEMA)
+            stats = pairs.mapInPandas(run, STATS_SCHEMA).withColumn(BUCKET, bucket)
             updated = (
-                stats.groupBy(SERIES, "fold")
-                .cogroup(models.groupBy(SERIES, "fold"))
+                stats.groupBy(BUCKET)
+                .cogroup(models.withColumn(BUCKET, bucket).groupBy(BUCKET))
                 .applyInPandas(update, MODEL_SCHEMA)
             )
             models = cut_lineage(updated)
