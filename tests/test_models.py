@@ -56,13 +56,11 @@ def total_loss(rows):
 @pytest.mark.parametrize(
     "model",
     [
-        LinearQuantile(tuple(SPEC.names), l1=0.0),
-        BoostedQuantile(tuple(SPEC.names), rounds=6, depth=2, learning_rate=0.5),
-        BoostedQuantile(tuple(SPEC.names), rounds=6, depth=3, growth="leaf", max_leaves=5,
-                        subsample=0.9, colsample=0.9, learning_rate=0.5),
-        BoostedQuantile(tuple(SPEC.names), rounds=6, depth=2, growth="symmetric",
-                        learning_rate=0.5, patience=3, holdout=50),
-        QuantileForest(tuple(SPEC.names), trees=15, depth=4),
+        BoostedQuantile(tuple(SPEC.names), rounds=3, depth=2, learning_rate=0.7, growth="leaf",
+                        max_leaves=4, subsample=0.9, colsample=0.9),
+        BoostedQuantile(tuple(SPEC.names), rounds=3, depth=2, growth="symmetric",
+                        learning_rate=0.7, patience=3, holdout=50),
+        QuantileForest(tuple(SPEC.names), trees=15, depth=3),
     ],
     ids=lambda m: f"{m.kind}-{getattr(m, 'growth', '')}",
 )
@@ -84,7 +82,7 @@ def test_models_beat_constant_quantiles(noisy, model):
 
 def test_linear_fit_splits_the_data_at_its_level(noisy):
     spec = FeatureSpec(DAILY, (1,), ("x",), lag_cols=(), seasonal=False)
-    model = LinearQuantile(tuple(spec.names), levels=(0.1, 0.5, 0.9), l1=0.0, max_iter=40)
+    model = LinearQuantile(tuple(spec.names), levels=(0.1, 0.5, 0.9), l1=0.0, max_iter=20)
     rows = {r[SERIES]: np.asarray(r["params"]) for r in train(noisy, spec, model).collect()}
     pdf = noisy.orderBy(SERIES, "idx").toPandas()
     for name, params in rows.items():
@@ -99,7 +97,7 @@ def test_linear_fit_splits_the_data_at_its_level(noisy):
 def test_penalty_shrinks_the_coefficients(noisy):
     sizes = []
     for l1 in (0.0, 1.0):
-        model = LinearQuantile(tuple(SPEC.names), levels=(0.5,), l1=l1)
+        model = LinearQuantile(tuple(SPEC.names), levels=(0.5,), l1=l1, max_iter=8)
         params = np.asarray(train(noisy, SPEC, model).filter("series_id = 'a'").first()["params"])
         sizes.append(np.abs(params[1:4]).sum())
     assert sizes[1] < 0.2 * sizes[0]
@@ -161,7 +159,7 @@ def test_three_folds_with_and_without_covariates(spark):
     assert fold_table(limits, HOURLY, split).count() == 3
     for x_cols, seasonal in (((), True), (("hour_of_day",), False)):
         setup = get_model("xgb-custom", HOURLY, x_cols, lags=(24, 168), seasonal=seasonal,
-                          cyclical=False, rounds=2, depth=2, learning_rate=0.5)
+                          cyclical=False, rounds=1, depth=2, learning_rate=0.5)
         run = backtest(grid, setup.spec, setup.model, split)
         scores = fold_scores(run.predictions).collect()
         assert len(scores) == 3 and all(r.n == 24 for r in scores)
