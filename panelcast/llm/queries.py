@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import digest_index, jump_shards
+from panelcast.llm import (
+    compression_bands,
+    digest_index,
+    jump_shards,
+    residual_packing,
+    trie_bpe,
+)
 from panelcast.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +21,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def vocabulary(name: str) -> str:
+    """Text of a public tokenizer file, by name or path; read by the driver alone."""
+    import public_tokenizers
+
+    return Path(name if "/" in name else public_tokenizers.path(name)).read_text("utf-8")
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         QUERIES[name] = fn
@@ -24,6 +38,18 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op1_compression_bands")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_bands.quality(documents(spark, sf_dir))
+
+
+@query("op5_residual_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residual_packing.pack_documents(
+        documents(spark, sf_dir), vocabulary("byte_bpe_50k.json")
+    )
+
+
 @query(
     "op7_digest_index",
     """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -37,3 +63,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_jump_shards")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shards.assign_shards(documents(spark, sf_dir), 24)
+
+
+@query("op10_trie_bpe")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_bpe.encode_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
