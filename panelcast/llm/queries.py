@@ -8,8 +8,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from panelcast.llm import (
+    bbit_minhash,
+    codeword_language,
     compression_bands,
     digest_index,
+    gear_chunks,
     jump_shards,
     residual_packing,
     trie_bpe,
@@ -43,6 +46,36 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands.quality(documents(spark, sf_dir))
 
 
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op4_bbit_minhash",
+    rf"""WITH RECURSIVE words AS (
+        SELECT doc_id, list_filter(string_split_regex({LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+        FROM documents),
+    shingles AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE
+            list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS s
+        FROM words WHERE len(w) > 0),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+    links AS (
+        SELECT a, b FROM (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x
+            JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+        JOIN sizes p1 ON p1.doc_id = a JOIN sizes p2 ON p2.doc_id = b
+        WHERE 100 * p.n >= 80 * (p1.n + p2.n - p.n)),
+    reach AS (
+        SELECT doc_id, doc_id AS other FROM documents
+        UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+    FROM documents d LEFT JOIN sizes USING (doc_id)
+    JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) c USING (doc_id)""",
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bbit_minhash.near_duplicates(documents(spark, sf_dir))
+
+
 @query("op5_residual_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual_packing.pack_documents(
@@ -50,6 +83,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_codeword_language")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codeword_language.identify(documents(spark, sf_dir))
+
+
 @query(
     "op7_digest_index",
     """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -60,6 +98,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_index.exact_dedup(documents(spark, sf_dir), digest_index.new_index(spark))
 
 
+@query("op8_gear_chunks")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gear_chunks.repeated_chunks(documents(spark, sf_dir))
+
+
 @query("op9_jump_shards")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shards.assign_shards(documents(spark, sf_dir), 24)
