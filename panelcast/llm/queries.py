@@ -15,6 +15,7 @@ from panelcast.llm import (
     gear_chunks,
     jump_shards,
     residual_packing,
+    suffix_buckets,
     trie_bpe,
 )
 from panelcast.llm.common import documents
@@ -46,6 +47,32 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands.quality(documents(spark, sf_dir))
 
 
+@query(
+    "op3_suffix_buckets",
+    """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    w AS (SELECT doc_id, i, md5_number(substr(h, (2 * i + 1)::BIGINT, 400)) AS k FROM (
+        SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM b WHERE len(h) >= 400)),
+    dup AS (SELECT doc_id, i FROM w SEMI JOIN (
+        SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+    runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+        SELECT doc_id, i, (i - lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) > 200)::INT
+               AS fresh FROM dup)),
+    spans AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS e FROM runs GROUP BY doc_id, run),
+    cuts AS (SELECT *, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM spans),
+    gone AS (
+        SELECT doc_id, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS tail,
+               string_agg(substr(h, (2 * before + 1)::BIGINT, (2 * (a - before))::BIGINT), '' ORDER BY a) AS kept,
+               string_agg(a::VARCHAR || ':' || e::VARCHAR, ',' ORDER BY a) AS spans
+        FROM cuts JOIN b USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+           coalesce(n_spans, 0) AS n_spans, coalesce(spans, '') AS spans,
+           sha256(unhex(coalesce(kept, '') || substr(h, (2 * coalesce(tail, 0) + 1)::BIGINT))) AS kept_sha256
+    FROM b LEFT JOIN gone USING (doc_id)""",
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_buckets.remove_repeats(documents(spark, sf_dir))
+
+
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
