@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from panelcast.llm.common import narrow, pieces, text_bytes
 from panelcast.session import stage
@@ -151,7 +152,7 @@ def repeated_chunks(
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def touching(spans: pd.Series) -> pd.Series:
     """Sorted (start, size) pairs as ``start:end``; spans that touch become one."""
 
