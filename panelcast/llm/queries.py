@@ -14,6 +14,7 @@ from panelcast.llm import (
     digest_index,
     gear_chunks,
     jump_shards,
+    personal_data,
     residual_packing,
     suffix_buckets,
     trie_bpe,
@@ -47,6 +48,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands.quality(documents(spark, sf_dir))
 
 
+@query("op2_char_tagger")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find_personal_data(documents(spark, sf_dir))
+
+
 @query(
     "op3_suffix_buckets",
     """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
