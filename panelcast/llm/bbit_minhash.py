@@ -224,7 +224,7 @@ def across(buckets: DataFrame, settings: NearSettings) -> DataFrame:
             for members in batch.column(0).to_pylist():
                 ids = np.array([m["id"] for m in members])
                 part = np.array([m["part"] for m in members])
-                low = np.array([m["low"] for m in members], np.int64)
+                low = np.array([m["low"] for m in members], np.int64).view(np.uint64)
                 low = low.reshape(len(ids), settings.bits, words)
                 for i in range(len(ids) - 1):
                     off = np.bitwise_or.reduce(low[i + 1 :] ^ low[i], axis=1)
