@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from panelcast.config import LEVELS, QCOLS, ROLLING_DAYS
 from panelcast.models.linear import LinearQuantile
-from panelcast.models.passes import final_models, fold_models, pack, with_aux
-from panelcast.models.trees import BoostedQuantile, QuantileForest, bin_chunks, bin_edges
+from panelcast.models.passes import final_models, fold_models, pack, require_fitted, with_aux
+from panelcast.models.trees import BoostedQuantile, QuantileForest, bin_edges
 from panelcast.operators.features import FeatureSpec, build_features
 from panelcast.operators.folds import Splitter
 from panelcast.operators.panel import SERIES
@@ -25,17 +25,19 @@ Model = LinearQuantile | BoostedQuantile | QuantileForest
 def fit_models(grid: DataFrame, spec: FeatureSpec, model: Model, empty: DataFrame) -> DataFrame:
     """Fit one model per row of ``empty`` on the features of ``grid``.
 
-    Features only look back, so they are computed once for all folds.
+    Features only look back, so they are computed once for all folds; bin edges are
+    those of a fold's own rows.  A series or fold without rows to train on raises.
     """
     if tuple(spec.names) != model.names:
         raise ValueError("the model was built for other features")
     features = build_features(grid, spec)
     chunks = stage(pack(features, spec.names, spec.target), "chunks")
-    if isinstance(model, LinearQuantile):
-        return model.fit(chunks, empty)
-    edges = stage(bin_edges(features, spec.names, spec.target), "edges")
-    binned = stage(bin_chunks(chunks, edges), "binned")
-    return model.fit(binned, with_aux(empty, edges))
+    if not isinstance(model, LinearQuantile):
+        edges = bin_edges(features, empty, spec.names, spec.target)
+        empty = with_aux(empty, stage(edges, "edges"))
+    models = model.fit(chunks, empty)
+    require_fitted(models)
+    return models
 
 
 def check_horizon(grid: DataFrame, models: DataFrame, steps: int) -> None:
@@ -147,6 +149,8 @@ def forecast(
     """
     if 0.5 not in model.levels:
         raise ValueError("the median must be among the levels")
+    if steps < 1:
+        raise NotImplementedError("in-sample predictions are not supported")
     reach = spec.reach
 
     def run(batches):
@@ -156,8 +160,10 @@ def forecast(
                 idx, y = np.asarray(row.idx), np.asarray(row.y, dtype=float)
                 ahead = idx > row.last
                 k = int(ahead.sum())
-                if len(row.params) == 0 or not k:
-                    continue
+                if len(row.params) == 0:
+                    raise ValueError(f"the model of {getattr(row, SERIES)} is not fitted")
+                if k < steps:
+                    raise ValueError("X does not contain enough data for the forecast horizon")
                 static = np.asarray(row.x, dtype=float).reshape(k, -1)
                 # a start of history shorter than the look-back counts as missing
                 tail = y[~ahead][-reach:]

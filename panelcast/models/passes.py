@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators.blocks import BLOCK, block_of
@@ -88,9 +87,19 @@ def _empty(df: DataFrame) -> DataFrame:
 
 
 def with_aux(models: DataFrame, aux: DataFrame) -> DataFrame:
-    """Attach the per-series constants ``(series_id, aux)`` of a fit."""
-    cols = [c for c in models.columns if c != "aux"]
-    return models.drop("aux").join(aux, SERIES).select(*cols[:6], "aux", "params")
+    """Attach the constants ``(series_id, fold, aux)`` of a fit; without rows there are none."""
+    cols = [c for c in models.columns if c not in ("aux", "params")]
+    none = F.array().cast("array<double>")
+    joined = models.drop("aux").join(aux, [SERIES, "fold"], "left")
+    return joined.select(*cols, F.coalesce("aux", none).alias("aux"), "params")
+
+
+def require_fitted(models: DataFrame) -> None:
+    """A model without parameters had no rows to train on: too short a series or window."""
+    short = models.filter(F.size("params") == 0).select(SERIES, "fold").limit(5).collect()
+    if short:
+        which = ", ".join(f"{r[SERIES]} (fold {r['fold']})" for r in short)
+        raise ValueError(f"too few rows to train on: {which}")
 
 
 def _on_blocks(models: DataFrame) -> DataFrame:
@@ -99,14 +108,14 @@ def _on_blocks(models: DataFrame) -> DataFrame:
         BLOCK,
         F.explode(F.sequence(block_of("first", PACK_ROWS), block_of("last", PACK_ROWS))),
     )
-    one = F.struct("fold", "first", "last", "step", "params")
+    one = F.struct("fold", "first", "last", "step", "params", "aux")
     return (
         spread.groupBy(SERIES, BLOCK)
-        .agg(F.sort_array(F.collect_list(one)).alias("m"), F.any_value("aux").alias("aux"))
+        .agg(F.sort_array(F.collect_list(one)).alias("m"))
         .select(
             SERIES,
             BLOCK,
-            "aux",
+            F.flatten("m.aux").alias("aux"),
             F.col("m.fold").alias("fold"),
             F.col("m.first").alias("first"),
             F.col("m.last").alias("last"),
@@ -120,7 +129,7 @@ MapFn = Callable[[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray, np.ndarra
 ReduceFn = Callable[[np.ndarray, int, np.ndarray, np.ndarray], tuple[np.ndarray, bool]]
 
 
-def _summer(map_fn: MapFn, x_column: str, decode: Callable[[object, int], np.ndarray]):
+def _summer(map_fn: MapFn):
     """Sum the statistics of every model over the blocks of a partition."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,17 +138,17 @@ def _summer(map_fn: MapFn, x_column: str, decode: Callable[[object, int], np.nda
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 idx, y = np.asarray(row.idx), np.asarray(row.y)
-                x = decode(getattr(row, x_column), len(y))
+                x = np.asarray(row.x, dtype=np.float64).reshape(len(y), -1)
                 folds = np.asarray(row.fold)
-                params = np.asarray(row.params).reshape(len(folds), -1)
-                aux = np.asarray(row.aux)
+                params = _per_fold(row.params, len(folds))
+                aux = _per_fold(row.aux, len(folds))
                 for k, fold in enumerate(folds):
                     a = np.searchsorted(idx, row.first[k], side="left")
                     b = np.searchsorted(idx, row.last[k], side="right")
                     if a >= b:
                         continue
                     to_end = row.last[k] - idx[a:b]
-                    stats = map_fn(x[a:b], y[a:b], to_end, int(row.step[k]), params[k], aux)
+                    stats = map_fn(x[a:b], y[a:b], to_end, int(row.step[k]), params[k], aux[k])
                     key = (getattr(row, SERIES), int(fold))
                     if key in sums:
                         sums[key] += stats
@@ -189,24 +198,9 @@ def _updater(reduce_fn: ReduceFn):
     return run
 
 
-@contextmanager
-def _small_batches(spark: SparkSession):
-    """Blocks are large rows; keep few of them in one Arrow batch."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "64")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def _dense(cell, rows: int) -> np.ndarray:
-    return np.asarray(cell, dtype=np.float64).reshape(rows, -1)
-
-
-def bytes_matrix(cell, rows: int) -> np.ndarray:
-    return np.frombuffer(cell, dtype=np.uint8).reshape(rows, -1)
+def _per_fold(cell, folds: int) -> np.ndarray:
+    flat = np.asarray(cell, dtype=np.float64)
+    return flat.reshape(folds, len(flat) // folds)
 
 
 def fit(
@@ -216,8 +210,6 @@ def fit(
     reduce_fn: ReduceFn,
     passes: int,
     label: str,
-    x_column: str = "x",
-    decode=_dense,
 ) -> DataFrame:
     """Run passes until every model is done or ``passes`` are spent.
 
@@ -225,11 +217,11 @@ def fit(
     with the models needs it, so a pass only moves models and sums.
     """
     spark = chunks.sparkSession
-    run, update = _summer(map_fn, x_column, decode), _updater(reduce_fn)
+    run, update = _summer(map_fn), _updater(reduce_fn)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, min(width, -(-chunks.count() // BLOCKS_PER_TASK)))
     chunks = chunks.repartition(parts, SERIES, BLOCK).persist()
-    with _small_batches(spark):
+    try:
         models = stage(models, label)
         buckets = max(1, -(-models.count() // MODELS_PER_BUCKET))
         bucket = F.pmod(F.xxhash64(SERIES, "fold"), F.lit(buckets))
@@ -245,5 +237,6 @@ def fit(
             # one small look per few passes tells whether anything is left to do
             if i % 4 == 3 and models.filter("not done").isEmpty():
                 break
-    chunks.unpersist()
+    finally:
+        chunks.unpersist()
     return models

@@ -10,13 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.config import LEVELS
-from panelcast.models.passes import bytes_matrix, fit
-from panelcast.operators.blocks import BLOCK
+from panelcast.models.passes import fit
+from panelcast.operators.blocks import BLOCK, block_of
 from panelcast.operators.panel import SERIES
 
 BINS = 32
@@ -24,10 +23,13 @@ LABEL_BINS = 128
 RESIDUAL_BINS = 256
 
 
-def bin_edges(frame: DataFrame, names: list[str], target: str = "y") -> DataFrame:
-    """Per series: upper edges of the feature bins, then the label grid, in one array.
+def bin_edges(
+    frame: DataFrame, models: DataFrame, names: list[str], target: str = "y"
+) -> DataFrame:
+    """Per series and fold: upper edges of the feature bins, then the label grid, in one array.
 
-    Bounded quantile sketches, combined on the map side.
+    Only the rows that the fold trains on are looked at.  Bounded quantile sketches,
+    combined on the map side; rows meet their folds block by block.
     """
     clean = frame.dropna("any", subset=[*names, target])
     inner = [i / BINS for i in range(1, BINS)]
@@ -37,35 +39,23 @@ def bin_edges(frame: DataFrame, names: list[str], target: str = "y") -> DataFram
         for i, n in enumerate(names)
     ]
     label = F.percentile_approx(F.col(target).cast("double"), grid, F.lit(5000)).alias("_y")
-    edges = clean.groupBy(SERIES).agg(*cells, label)
+    spread = models.select(
+        SERIES,
+        "fold",
+        "first",
+        "last",
+        F.explode(F.sequence(block_of("first"), block_of("last"))).alias(BLOCK),
+    )
+    rows = clean.withColumn(BLOCK, block_of("idx")).join(spread, [SERIES, BLOCK])
+    inside = rows.filter(F.col("idx").between(F.col("first"), F.col("last")))
+    edges = inside.groupBy(SERIES, "fold").agg(*cells, label)
     return edges.select(
-        SERIES, F.concat(*[F.col(f"_e{i}") for i in range(len(names))], F.col("_y")).alias("aux")
+        SERIES,
+        "fold",
+        F.concat(*[F.col(f"_e{i}") for i in range(len(names))], F.col("_y")).alias("aux"),
     )
 
 
-def bin_chunks(chunks: DataFrame, edges: DataFrame) -> DataFrame:
-    """Packed features as one byte per value.  Edges travel to every block of a series."""
-    blocks = chunks.select(SERIES, BLOCK).join(edges, SERIES)
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for x, y, aux in zip(pdf["x"], pdf["y"], pdf["aux"], strict=True):
-                out.append(_to_bins(np.asarray(x).reshape(len(y), -1), np.asarray(aux)).tobytes())
-            yield pd.DataFrame(
-                {
-                    SERIES: pdf[SERIES],
-                    BLOCK: pdf[BLOCK],
-                    "idx": pdf["idx"],
-                    "y": pdf["y"],
-                    "xb": out,
-                }
-            )
-
-    schema = f"{SERIES} string, {BLOCK} long, idx array<long>, y array<double>, xb binary"
-    return chunks.join(blocks, [SERIES, BLOCK]).mapInPandas(run, schema)
-
-
 def _split_aux(aux: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feature edges (features by inner edges) and the label grid."""
     label = aux[-(LABEL_BINS + 1) :]
@@ -174,11 +164,12 @@ class BoostedQuantile:
         return tree[:i], tree[i : 2 * i], tree[2 * i :]
 
     def fit(self, chunks: DataFrame, models: DataFrame) -> DataFrame:
-        """``chunks`` binned, ``models`` with bin edges as ``aux``."""
-        passes = 1 + self.rounds * (self.depth + 1)
-        return fit(
-            chunks, models, self._sums, self._update, passes, "boosted", "xb", bytes_matrix
-        )
+        """``models`` with the bin edges of their rows as ``aux``.
+
+        With early stopping a last pass scores the last tree.
+        """
+        passes = 1 + self.rounds * (self.depth + 1) + bool(self.patience)
+        return fit(chunks, models, self._sums, self._update, passes, "boosted")
 
     def _where(self, step: int) -> tuple[int, int]:
         return divmod(step - 1, self.depth + 1)
@@ -191,19 +182,22 @@ class BoostedQuantile:
                 out[:, t] += leaf[_walk(xb, feature, threshold, self.depth)]
         return out
 
-    def _sums(self, xb, y, to_end, step, params, aux) -> np.ndarray:
+    def _sums(self, x, y, to_end, step, params, aux) -> np.ndarray:
         _, grid = _split_aux(aux)
         held = to_end < (self.holdout if self.patience else 0)
         if step == 0:
             return np.bincount(_label_bin(y[~held], grid), minlength=LABEL_BINS).astype(float)
         base, _, trees = self._unpack(params)
         rnd, level = self._where(step)
+        xb = _to_bins(x, aux)
         score = self._scores(xb, base, trees, rnd)
         taus = np.asarray(self.levels)
         loss = np.zeros(2)
         if level == 0 and held.any():
             r = y[held, None] - score[held]
             loss = np.array([np.maximum(taus * r, (taus - 1) * r).sum(), held.sum()])
+        if rnd == self.rounds:
+            return loss
         use = ~held
         if self.subsample < 1 and level < self.depth:
             use &= _uniform(to_end, self.seed * 1000 + rnd) < self.subsample
@@ -233,7 +227,7 @@ class BoostedQuantile:
         params = params.copy()
         _, head, trees = self._unpack(params)
         rnd, level = self._where(step)
-        if level == 0 and self.patience and self._stop(sums, head, rnd):
+        if level == 0 and self.patience and (self._stop(sums, head, rnd) or rnd == self.rounds):
             return params, True
         body = sums[2:].reshape(t, -1)
         if level < self.depth:
@@ -247,10 +241,12 @@ class BoostedQuantile:
         head[2] = rnd + 1
         if not self.patience:
             head[1] = head[2]
-        return params, rnd + 1 >= self.rounds
+        return params, rnd + 1 >= self.rounds and not self.patience
 
     def _stop(self, sums, head, rnd) -> bool:
-        loss = sums[0] / max(sums[1], 1.0)
+        if not sums[1]:
+            raise ValueError("no rows are held out for early stopping")
+        loss = sums[0] / sums[1]
         if loss < head[0]:
             head[0], head[1] = loss, rnd
         return rnd - head[1] >= self.patience
@@ -356,17 +352,16 @@ class QuantileForest:
         return nodes, leaves
 
     def fit(self, chunks: DataFrame, models: DataFrame) -> DataFrame:
-        return fit(
-            chunks, models, self._sums, self._update, self.depth + 1, "forest", "xb", bytes_matrix
-        )
+        return fit(chunks, models, self._sums, self._update, self.depth + 1, "forest")
 
     def _weights(self, to_end, k) -> np.ndarray:
         """Bootstrap counts: Poisson with mean one, by row and tree."""
         steps = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720)])
         return np.searchsorted(steps, _uniform(to_end, self.seed * 1000 + k)).astype(float)
 
-    def _sums(self, xb, y, to_end, step, params, aux) -> np.ndarray:
+    def _sums(self, x, y, to_end, step, params, aux) -> np.ndarray:
         _, grid = _split_aux(aux)
+        xb = _to_bins(x, aux)
         centre = y - np.median(grid)
         if step == 0:
             nodes = np.zeros((self.trees, 2, self._inner))

@@ -67,15 +67,14 @@ def regularize(
     """
     cols = cols or [c for c in df.columns if c not in (SERIES, "ts", "pos")]
     on_grid = df.filter(freq.on_grid("ts")).withColumn("pos", freq.pos("ts"))
-    limits = on_grid.groupBy(SERIES).agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     cells = on_grid.groupBy(SERIES, "pos").agg(
         F.count("*").alias("_n"), *[F.any_value(c).alias(c) for c in cols]
     )
+    # The limits are needed whatever is selected, so the check is part of them.
     message = F.lit("cannot put duplicate timestamps on a grid")
-    first = cols[0]
-    cells = cells.withColumn(
-        first, F.when(F.col("_n") > 1, F.raise_error(message)).otherwise(F.col(first))
-    ).drop("_n")
+    at = F.when(F.col("_n") > 1, F.raise_error(message).cast("long")).otherwise(F.col("pos"))
+    limits = cells.groupBy(SERIES).agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
+    cells = cells.drop("_n")
     grid = spine(limits, freq).join(cells, [SERIES, "pos"], "left")
     keep = [SERIES, "ts", "pos", *cols]
     if with_bounds:

@@ -38,21 +38,23 @@ def build_submission(forecasts: DataFrame, forecast_date: Column) -> DataFrame:
     """Expected rows with clipped forecasts; a target without forecasts is all null.
 
     ``forecasts(target, horizon, q025...)``.  A target with some but not all of its
-    rows has the wrong shape and raises.
+    rows has the wrong shape and raises, and so does a label that is not expected.
     """
     sk = skeleton(forecasts.sparkSession)
     wide = forecasts.select("target", "horizon", *QCOLS, F.lit(1).alias("_hit"))
-    joined = F.broadcast(sk).join(wide, ["target", "horizon"], "left")
-    per_target = joined.groupBy("target").agg(
+    joined = sk.join(wide, ["target", "horizon"], "full")
+    per_target = joined.groupBy(F.col("target").alias("_target")).agg(
         F.count("*").alias("_rows"), F.count("_hit").alias("_hits")
     )
     bad = (F.col("_hits") != 0) & ((F.col("_hits") != F.col("_rows")) | (F.col("_rows") != 6))
-    message = F.lit("invalid shape for predictions")
+    shape = F.raise_error(F.lit("invalid shape for predictions")).cast("boolean")
+    label = F.raise_error(F.lit("unknown target or horizon")).cast("boolean")
+    unknown = F.col(ROW_ID).isNull()
     return (
-        joined.join(per_target, "target")
-        .withColumn(ROW_ID, F.when(bad, F.raise_error(message)).otherwise(F.col(ROW_ID)).cast("int"))
+        joined.join(per_target, F.col("target").eqNullSafe(F.col("_target")))
+        .filter(F.when(unknown, label).when(bad, shape).otherwise(F.lit(True)))
         .select(
-            ROW_ID,
+            F.col(ROW_ID).cast("int").alias(ROW_ID),
             forecast_date.alias("forecast_date"),
             "target",
             "horizon",

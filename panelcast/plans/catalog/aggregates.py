@@ -65,9 +65,9 @@ def a3(spark, sf_dir):
 @query(
     "a4_scaled_variance",
     with_ctes(
-        """SELECT series_id, round(sqrt(var_pop(hit_q25) * count(*) / sum(n)), 8) AS std_q25,
-             round(sqrt(var_pop(hit_q50) * count(*) / sum(n)), 8) AS std_q50
-           FROM dfold GROUP BY series_id""",
+        "SELECT series_id, "
+        + ", ".join(f"round(sqrt(var_pop(hit_{c}) * count(*) / sum(n)), 8) AS std_{c}" for c in QCOLS)
+        + " FROM dfold GROUP BY series_id",
         "dfold",
     ),
 )
@@ -76,7 +76,7 @@ def a4(spark, sf_dir):
     return curve.groupBy(SERIES).agg(
         *[
             F.round(F.max(F.when(F.col("level") == q, F.col("std"))), 8).alias(f"std_{c}")
-            for q, c in ((0.25, "q25"), (0.5, "q50"))
+            for q, c in zip(LEVELS, QCOLS, strict=True)
         ]
     )
 
@@ -95,9 +95,9 @@ def a5(spark, sf_dir):
 @query(
     "a6_hit_rate",
     with_ctes(
-        """SELECT series_id, round(avg((y <= q025)::INT), 8) AS q025,
-             round(avg((y <= q50)::INT), 8) AS q50, round(avg((y <= q975)::INT), 8) AS q975
-           FROM dscored GROUP BY series_id""",
+        "SELECT series_id, "
+        + ", ".join(f"round(avg(({c} >= y)::INT), 8) AS {c}" for c in QCOLS)
+        + " FROM dscored GROUP BY series_id",
         "dscored",
     ),
 )
@@ -105,7 +105,7 @@ def a6(spark, sf_dir):
     rows = scoring.scored(evaluate.daily_backtest(spark, sf_dir))
     hits = [
         F.round(F.avg((F.col("y") <= F.col(c)).cast("double")), 8).alias(c)
-        for c in ("q025", "q50", "q975")
+        for c in QCOLS
     ]
     return rows.groupBy(SERIES).agg(*hits)
 
@@ -269,12 +269,13 @@ def a12(spark, sf_dir):
 @query(
     "a13_mean_importance",
     with_ctes(
-        """SELECT series_id, feature, round(avg(importance), 6) AS importance FROM (
-             SELECT series_id, (isodow(ts) - 1)::VARCHAR AS feature, c AS quantile,
-               avg(CASE c WHEN 'q25' THEN abs(y - q25) WHEN 'q50' THEN abs(y - q50)
-                          ELSE abs(y - q75) END) AS importance
-             FROM dscored, (VALUES ('q25'), ('q50'), ('q75')) k(c) GROUP BY ALL)
-           GROUP BY series_id, feature""",
+        "SELECT series_id, feature, round(avg(importance), 6) AS importance FROM ("
+        + " UNION ALL ".join(
+            f"SELECT series_id, (isodow(ts) - 1)::VARCHAR AS feature, avg(abs(y - {c})) AS importance "
+            "FROM dscored GROUP BY ALL"
+            for c in QCOLS
+        )
+        + ") GROUP BY series_id, feature",
         "dscored",
     ),
 )
@@ -282,9 +283,9 @@ def a13(spark, sf_dir):
     """Mean absolute error by weekday and level, averaged over levels."""
     rows = scoring.scored(evaluate.daily_backtest(spark, sf_dir))
     wide = rows.groupBy(SERIES, F.weekday("ts").cast("string").alias("feature")).agg(
-        *[F.avg(F.abs(F.col("y") - F.col(c))).alias(c) for c in ("q25", "q50", "q75")]
+        *[F.avg(F.abs(F.col("y") - F.col(c))).alias(c) for c in QCOLS]
     )
-    long = wide.unpivot([SERIES, "feature"], ["q25", "q50", "q75"], "quantile", "importance")
+    long = wide.unpivot([SERIES, "feature"], list(QCOLS), "quantile", "importance")
     return mean_importance(long, [SERIES]).select(SERIES, "feature", r("importance"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelcast.config import LEVELS, QCOLS, TREE_GRID
+from panelcast.config import LEVELS, QCOLS, TREE_GRID, WEEKS_GRID
 from panelcast.functions.calendar import DAILY, HOURLY
 from panelcast.operators import folds as B
 from panelcast.operators import scoring
@@ -106,7 +106,7 @@ def _train_sql(sliding: bool) -> str:
             FROM dgrid g JOIN (
               SELECT series_id, unnest(range(0, (n_rows - 1421) // 70 + 1)) AS fold
               FROM (SELECT DISTINCT series_id, n_rows FROM dgrid) WHERE n_rows >= 1421) f
-              ON f.series_id = g.series_id AND g.idx <= 1399 + f.fold * 70 {start}
+              ON f.series_id = g.series_id AND g.idx <= 2099 + f.fold * 70 {start}
             GROUP BY ALL""",
         "dgrid",
     )
@@ -182,21 +182,21 @@ def b8_levels(spark, sf_dir):
 
 
 # A coarser backtest for the sweep: every history length in one plan.
-_SWEEP = Splitter(WindowParams(1400, 70, 7), "sliding")
-_SPANS = (10, 25, 50, 100, 200)
+_SWEEP = Splitter(WindowParams(2100, 70, 7), "sliding")
+_SPANS = WEEKS_GRID
 
 
 def _sweep_ctes() -> dict[str, str]:
     past = """SELECT t.series_id, t.fold, t.ts, t.y, p.y AS past, row_number() OVER (
                 PARTITION BY t.series_id, t.fold, t.ts ORDER BY p.idx DESC) AS rn
-              FROM (SELECT g.series_id, f.fold, g.ts, g.idx, g.y, 1399 + f.fold * 70 AS cut
+              FROM (SELECT g.series_id, f.fold, g.ts, g.idx, g.y, 2099 + f.fold * 70 AS cut
                     FROM dgrid g JOIN (
-                      SELECT series_id, unnest(range(0, (n_rows - 1407) // 70 + 1)) AS fold
+                      SELECT series_id, unnest(range(0, (n_rows - 2107) // 70 + 1)) AS fold
                       FROM (SELECT DISTINCT series_id, n_rows FROM dgrid)
-                      WHERE n_rows >= 1407) f USING (series_id)
-                    WHERE g.idx BETWEEN 1400 + f.fold * 70 AND 1406 + f.fold * 70) t
+                      WHERE n_rows >= 2107) f USING (series_id)
+                    WHERE g.idx BETWEEN 2100 + f.fold * 70 AND 2106 + f.fold * 70) t
               JOIN dgrid p ON p.series_id = t.series_id AND p.idx <= t.cut
-                AND p.idx > t.cut - 1400 AND (t.idx - p.idx) % 7 = 0"""
+                AND p.idx > t.cut - 2100 AND (t.idx - p.idx) % 7 = 0"""
     spans = ", ".join(f"({s})" for s in _SPANS)
     scored = f"""SELECT series_id, n_weeks, fold, y, q[1] AS q025, q[2] AS q25, q[3] AS q50,
                    q[4] AS q75, q[5] AS q975 FROM (

@@ -12,6 +12,7 @@ from panelcast.operators.panel import SERIES
 from panelcast.plans import evaluate
 from panelcast.plans import tables as T
 from panelcast.plans.catalog.registry import query, r, with_ctes
+from panelcast.session import stage
 
 
 @query(
@@ -82,29 +83,35 @@ def j3(spark, sf_dir):
     "j4_stitch_feeds",
     """WITH f AS (SELECT l_linestatus AS series_id, l_returnflag, l_shipdate AS ts,
                   sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL),
-       hist AS (SELECT * FROM f WHERE l_returnflag = 'A'),
-       fc AS (SELECT * FROM f WHERE l_returnflag = 'N' AND
-              ts >= CASE series_id WHEN 'F' THEN TIMESTAMP '2001-03-01'
-                                   ELSE TIMESTAMP '2001-06-01' END)
+       hist AS (SELECT series_id, ts, 'H' AS l_returnflag, sum(quantity) AS quantity
+                FROM f WHERE l_returnflag <> 'N' GROUP BY 1, 2),
+       fc AS (SELECT f.* FROM f JOIN (SELECT series_id, max(ts) AS hi FROM hist GROUP BY 1) h
+              ON h.series_id = f.series_id AND f.ts >= hi - INTERVAL 90 DAY
+              WHERE l_returnflag = 'N')
        SELECT series_id, ts, l_returnflag AS feed, quantity FROM hist h
-       WHERE ts < (SELECT min(ts) FROM fc WHERE fc.series_id = h.series_id)
+       WHERE coalesce(ts < (SELECT min(ts) FROM fc WHERE fc.series_id = h.series_id), true)
        UNION ALL SELECT series_id, ts, l_returnflag, quantity FROM fc""",
 )
 def j4(spark, sf_dir):
-    lines = T.table(spark, sf_dir, "lineitem")
+    """Settled lines up to the first open line of the last 90 days, then the open ones."""
+    open_line = F.when(F.col("l_returnflag") == "N", "N").otherwise("H")
     feeds = (
-        lines.filter(F.col("l_returnflag").isin("A", "N"))
+        T.table(spark, sf_dir, "lineitem")
         .groupBy(
             F.col("l_linestatus").alias(SERIES),
             F.col("l_shipdate").alias("ts"),
-            F.col("l_returnflag").alias("feed"),
+            open_line.alias("feed"),
         )
         .agg(F.sum("l_quantity").alias("quantity"))
     )
-    start = F.when(F.col(SERIES) == "F", "2001-03-01").otherwise("2001-06-01")
-    history = feeds.filter(F.col("feed") == "A")
-    forecast = feeds.filter(
-        (F.col("feed") == "N") & (F.col("ts") >= start.cast("timestamp_ntz"))
+    feeds = stage(feeds, "feeds")
+    history = feeds.filter("feed = 'H'")
+    late = history.groupBy(SERIES).agg(F.max("ts").alias("_hi"))
+    forecast = (
+        feeds.filter("feed = 'N'")
+        .join(F.broadcast(late), SERIES)  # one row per line status
+        .filter(F.col("ts") >= F.col("_hi") - F.expr("interval 90 days"))
+        .drop("_hi")
     )
     return J.stitch(history, forecast, DAILY)
 
@@ -129,7 +136,7 @@ def j5(spark, sf_dir):
              SELECT d.series_id, c.cutoff, d.ts, d.y,
                row_number() OVER (PARTITION BY d.series_id, c.cutoff ORDER BY d.ts DESC) AS rn
              FROM dgrid d JOIN (SELECT series_id, ts AS cutoff FROM dgrid
-                                WHERE ts = last_day(ts) AND ts >= TIMESTAMP '1996-01-01') c
+                                WHERE ts = last_day(ts)) c
                ON c.series_id = d.series_id AND d.ts <= c.cutoff
               AND isodow(d.ts) = isodow(c.cutoff)) WHERE rn <= 5""",
         "dgrid",
@@ -140,8 +147,7 @@ def j6(spark, sf_dir):
     positions a cutoff looks at."""
     grid = T.daily_grid(spark, sf_dir)
     month_end = F.to_date("ts") == F.last_day("ts")
-    late = F.col("ts") >= F.lit("1996-01-01").cast("timestamp_ntz")
-    cutoffs = grid.filter(month_end & late).select(
+    cutoffs = grid.filter(month_end).select(
         SERIES,
         F.col("ts").alias("cutoff"),
         F.explode(F.sequence(F.col("pos") - 28, F.col("pos"), F.lit(7).cast("long"))).alias("pos"),
@@ -172,15 +178,13 @@ def j7(spark, sf_dir):
         """SELECT coalesce(g.series_id, p.series_id) AS series_id, coalesce(g.ts, p.ts) AS ts,
              round(coalesce(p.v, g.y), 6) AS y
            FROM hgrid g FULL JOIN (
-             SELECT series_id, ts + INTERVAL 1 DAY AS ts, y AS v FROM hourly
-             WHERE ts >= TIMESTAMP '2024-01-29') p ON g.series_id = p.series_id AND g.ts = p.ts""",
+             SELECT series_id, ts + INTERVAL 1 DAY AS ts, y AS v FROM hourly) p ON g.series_id = p.series_id AND g.ts = p.ts""",
         "hgrid",
     ),
 )
 def j8(spark, sf_dir):
     grid = T.hourly_grid(spark, sf_dir).select(SERIES, "ts", "y")
-    late = T.hourly(spark, sf_dir).filter(F.col("ts") >= F.lit("2024-01-29").cast("timestamp_ntz"))
-    values = late.select(
+    values = T.hourly(spark, sf_dir).select(
         SERIES, HOURLY.at(HOURLY.pos("ts") + 24).alias("ts"), F.col("y").alias("value")
     )
     return J.upsert(grid, values, [SERIES, "ts"]).select(SERIES, "ts", r("y"))

@@ -18,8 +18,10 @@ def prepare(
     last target, holidays, Parquet."""
     target = landed.parse_pairs(landed.read_json_lines(spark, pairs_path))
     target = keep_first(
-        target.select(target[SERIES].cast("string").alias(SERIES), "ts", "y"), [SERIES, "ts"], "y"
-    )
+        target.select(target[SERIES].cast("string").alias(SERIES), "ts", "y", "i"),
+        [SERIES, "ts"],
+        "i",
+    ).drop("i")
     joined = stage(join_covariates(target, covariates), "joined")
     names = [c for c in joined.columns if c not in (SERIES, "ts")]
     grid = regularize(joined, freq, names, with_bounds=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.config import QCOLS
+from panelcast.config import QCOLS, SUBMISSION_QCOLS
 from panelcast.functions.calendar import (
     DAILY,
     HOURLY,
@@ -15,10 +15,11 @@ from panelcast.functions.calendar import (
 )
 from panelcast.operators.baseline import baseline_forecast
 from panelcast.operators.panel import SERIES, aggregate_panel, regularize
-from panelcast.operators.submission import build_submission, horizon_label
+from panelcast.operators.submission import ROW_ID, build_submission, horizon_label
 from panelcast.plans import tables as T
 from panelcast.plans.tables import RATE
 from panelcast.session import stage
+from panelcast.sources import artifacts
 
 # Which event types stand for the two targets.
 BIKES, ENERGY = "click", "view"
@@ -48,10 +49,17 @@ def target_grids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     )
 
 
-def horizon_dates(grid: DataFrame, freq) -> DataFrame:
-    """Forecast timestamps of the week after the last row, with their Wednesday."""
-    last = grid.groupBy(SERIES).agg(F.max("ts").alias("last"))
-    start = last.select(SERIES, next_wednesday("last").alias("start"))
+def as_of_date(*grids: DataFrame):
+    """The day of the last row of all grids: one date for all targets of a submission."""
+    last = [g.agg(F.max("ts")).first()[0] for g in grids]
+    return max(x.date() for x in last if x is not None)
+
+
+def horizon_dates(grid: DataFrame, freq, as_of) -> DataFrame:
+    """Forecast timestamps of the week after the day ``as_of``, with their Wednesday."""
+    day = F.lit(as_of.isoformat()).cast("timestamp_ntz")
+    series = grid.select(SERIES).distinct().withColumn("last", day)
+    start = series.select(SERIES, next_wednesday("last").alias("start"))
     dates = following_days("start") if freq is DAILY else forecast_hours("start")
     return start.select(
         SERIES, DAILY.floor("start").alias("wednesday"), F.explode(dates).alias("ts")
@@ -61,10 +69,10 @@ def horizon_dates(grid: DataFrame, freq) -> DataFrame:
 def target_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(target, horizon, wednesday, q025...)`` of both targets."""
     parts = []
-    for grid, freq, target in zip(
-        target_grids(spark, sf_dir), (DAILY, HOURLY), ("bikes", "energy"), strict=True
-    ):
-        rows = baseline_forecast(grid, horizon_dates(grid, freq), freq, WEEKS)
+    grids = target_grids(spark, sf_dir)
+    as_of = as_of_date(*grids)
+    for grid, freq, target in zip(grids, (DAILY, HOURLY), ("bikes", "energy"), strict=True):
+        rows = baseline_forecast(grid, horizon_dates(grid, freq, as_of), freq, WEEKS)
         label = horizon_label("ts", "wednesday", daily=freq is DAILY)
         parts.append(
             rows.select(
@@ -79,3 +87,18 @@ def submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     forecasts = stage(target_forecasts(spark, sf_dir), "forecasts")  # 12 rows
     wednesday = forecasts.agg(F.date_format(F.max("wednesday"), "yyyy-MM-dd")).first()[0]
     return build_submission(forecasts, F.lit(wednesday))
+
+
+def write_submission(sub: DataFrame, path: str) -> DataFrame:
+    """The contract's eight columns as one file in row order, as it is read back.
+
+    The file has 18 rows, so one task writes it; its rows are numbered in file order.
+    """
+    rows = sub.orderBy(ROW_ID).coalesce(1).drop(ROW_ID)
+    artifacts.write_csv(rows, path)
+    schema = "forecast_date string, target string, horizon string, " + ", ".join(
+        f"`{s}` double" for s in SUBMISSION_QCOLS
+    )
+    back = artifacts.read_csv(sub.sparkSession, path, schema)
+    place = F.monotonically_increasing_id().cast("int").alias(ROW_ID)
+    return back.select(place, "*")

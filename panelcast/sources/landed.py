@@ -9,6 +9,7 @@ from panelcast.config import LOCAL_ZONE
 from panelcast.functions.calendar import HOURLY, from_seconds, to_local, to_utc
 from panelcast.operators.panel import SERIES, keep_first, upsample_backfill
 
+PLACE = "_place"
 DELIMITED_SCHEMA = "series_id string, `Date` string, `Time` string, `Measure value` string"
 
 
@@ -26,14 +27,23 @@ def parse_date(text: Column) -> Column:
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """Raw rows: ``;`` separated, ``-`` means null.  A footer record may follow the data."""
-    return (
+    """Raw rows: ``;`` separated, ``-`` means null.  A footer record may follow the data.
+
+    ``_place`` orders rows as the source has them: file, start of the split, row in it.
+    """
+    raw = (
         spark.read.schema(DELIMITED_SCHEMA)
         .option("sep", ";")
         .option("header", True)
         .option("nullValue", "-")
         .csv(path)
     )
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return raw.withColumn(PLACE, place)
 
 
 def drop_footer(raw: DataFrame) -> DataFrame:
@@ -56,14 +66,15 @@ def assemble_timestamp(date: Column, hour: Column, roll_midnight: Column | None
 
 
 def parse_delimited(raw: DataFrame, roll_midnight: bool = False) -> DataFrame:
-    """Typed rows ``(series_id, ts, y)`` plus the raw ``Date``/``Time`` as tiebreak."""
+    """Typed rows ``(series_id, ts, y)`` plus their order in the source where ``raw`` has
+    it (see :func:`read_delimited`), else the raw ``Date``/``Time``."""
     time = F.col("Time")
     rolled = (F.substring(time, 2, 2) == "24") if roll_midnight else None
     return drop_footer(raw).select(
         SERIES,
         assemble_timestamp(F.col("Date"), wrapped_hour(time), rolled).alias("ts"),
         nan_to_null(F.col("Measure value").try_cast("double")).alias("y"),
-        F.concat_ws(" ", "Date", "Time").alias("_order"),
+        (F.col(PLACE) if PLACE in raw.columns else F.concat_ws(" ", "Date", "Time")).alias("_order"),
     )
 
 
@@ -129,10 +140,7 @@ def read_feed(spark: SparkSession, path: str, index_path: str, skip_years: int =
     """The weekly shards named by the index; skipped weeks are pruned as partitions."""
     bodies = read_json_lines(spark, path)
     stamps = shard_stamps(spark, index_path, skip_years)
-    if not stamps:
-        return parse_feed(bodies.filter(F.lit(False)))
-    # the index is ordered, so a range on the partition column is enough
-    return parse_feed(bodies.filter(F.col("week_stamp").between(stamps[0], stamps[-1])))
+    return parse_feed(bodies.filter(F.col("week_stamp").isin(stamps)))
 
 
 def unpack_arrays(packed: DataFrame, variables: list[str]) -> DataFrame:

@@ -80,6 +80,51 @@ def test_models_beat_constant_quantiles(noisy, model):
     assert run.fit_seconds > 0 and run.predict_seconds > 0
 
 
+@pytest.mark.parametrize(
+    "model",
+    [
+        BoostedQuantile(tuple(SPEC.names), rounds=2, depth=2, learning_rate=0.5),
+        QuantileForest(tuple(SPEC.names), trees=4, depth=2),
+    ],
+    ids=lambda m: m.kind,
+)
+def test_later_rows_change_no_earlier_fold(noisy, model):
+    """Fold 0 trains on rows 0-499 and forecasts 500-549."""
+    later = noisy.withColumns(
+        {c: F.when(F.col("idx") >= 550, F.col(c) * 7 + 3).otherwise(F.col(c)) for c in ("y", "x")}
+    )
+    cols = [SERIES, "h", *QCOLS]
+    a, b = (
+        backtest(g, SPEC, model, SPLIT).predictions.filter("fold = 0").select(*cols).orderBy(*cols)
+        for g in (noisy, later)
+    )
+    assert a.collect() == b.collect()
+
+
+def test_early_stopping_can_use_the_last_tree(noisy):
+    model = BoostedQuantile(tuple(SPEC.names), rounds=2, depth=1, learning_rate=0.1,
+                            patience=5, holdout=50)
+    fitted = train(noisy, SPEC, model).collect()
+    heads = [model._unpack(np.asarray(r["params"]))[1] for r in fitted]
+    assert all(h[1] == h[2] == 2 for h in heads)
+
+
+def test_too_short_a_series_raises(spark):
+    grid = regularize(series(spark, [1.0, 2.0, 3.0]), DAILY, ["y"], with_bounds=True)
+    spec = FeatureSpec(DAILY, (7,), lag_cols=(), seasonal=False)
+    for model in (LinearQuantile(tuple(spec.names)), QuantileForest(tuple(spec.names), trees=2, depth=1)):
+        with pytest.raises(ValueError, match="too few rows"):
+            train(grid, spec, model)
+
+
+def test_short_horizon_raises(noisy):
+    model = LinearQuantile(tuple(SPEC.names), max_iter=2)
+    models = train(noisy.filter("idx < 690"), SPEC, model)
+    assert forecast(noisy, models, SPEC, model, 10).count() == 20
+    with pytest.raises(Exception, match="enough data for the forecast horizon"):
+        forecast(noisy, models, SPEC, model, 20).count()
+
+
 def test_linear_fit_splits_the_data_at_its_level(noisy):
     spec = FeatureSpec(DAILY, (1,), ("x",), lag_cols=(), seasonal=False)
     model = LinearQuantile(tuple(spec.names), levels=(0.1, 0.5, 0.9), l1=0.0, max_iter=20)
