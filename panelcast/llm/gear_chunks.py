@@ -112,12 +112,14 @@ def repeated_chunks(
     rows = narrow(docs, id_col, text_col)
     cut = stage(chunks(rows, cuts), "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "start")
-    counted = (
+    # Written out, so that the join's two exchanges stand alone and a hot digest is split.
+    counted = stage(
         cut.groupBy("digest")
         .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
         .filter("n > 1")
         .select("digest", "first.doc_id", "first.start")
-        .toDF("digest", "first_id", "first_start")
+        .toDF("digest", "first_id", "first_start"),
+        "repeated-chunks",
     )
     found = cut.join(counted.hint("merge"), "digest")
     later = ~(
