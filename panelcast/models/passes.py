@@ -16,6 +16,7 @@ from panelcast.session import cut_lineage, stage
 
 PACK_ROWS = 512
 BLOCKS_PER_TASK = 4  # at least, when there are few blocks
+TASK_BYTES = 64_000_000  # of blocks, at most
 MODELS_PER_BUCKET = 16  # on average, updated in one call
 BUCKET = "bucket"
 FLUSH_VALUES = 8_000_000  # doubles held by a task before partial sums are handed on
@@ -219,7 +220,8 @@ def fit(
     spark = chunks.sparkSession
     run, update = _summer(map_fn), _updater(reduce_fn)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, min(width, -(-chunks.count() // BLOCKS_PER_TASK)))
+    size = chunks.agg(F.count("*"), F.sum(F.size("x")) * 8).first()
+    parts = max(1, min(width, -(-size[0] // BLOCKS_PER_TASK)), -(-(size[1] or 0) // TASK_BYTES))
     chunks = chunks.repartition(parts, SERIES, BLOCK).persist()
     try:
         models = stage(models, label)

@@ -36,6 +36,7 @@ def scratch_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
+        _require_shared(spark, root)
         return root.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
@@ -47,6 +48,16 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def _require_shared(spark: SparkSession, root: str) -> None:
+    """A bare path on a cluster whose default file system is local would be each
+    machine's own."""
+    if "://" in root or root.startswith("file:") or spark.sparkContext.master.startswith("local"):
+        return
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    if default.startswith("file:"):
+        raise RuntimeError("spark.checkpoint.dir must name a file system that all machines share")
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared scratch folder."""
     return f"{scratch_root(spark)}/panelcast/{label}-{uuid.uuid4().hex[:12]}"

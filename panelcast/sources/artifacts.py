@@ -61,8 +61,8 @@ def year_slice(df: DataFrame, year: int) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Small result tables as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """CSV files with a header, one per task that made rows."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -76,7 +76,7 @@ def nested_metrics(metrics: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def write_metrics(metrics: DataFrame, keys: list[str], path: str) -> None:
-    nested_metrics(metrics, keys).coalesce(1).write.mode("overwrite").partitionBy(*keys).text(path)
+    nested_metrics(metrics, keys).write.mode("overwrite").partitionBy(*keys).text(path)
 
 
 def write_model(model: DataFrame, root: str) -> str:

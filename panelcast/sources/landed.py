@@ -172,12 +172,14 @@ def localize(df: DataFrame, seq: str, zone: str = LOCAL_ZONE) -> DataFrame:
     utc = to_utc("ts", zone)
     df = df.withColumn("ts_utc", utc).filter(to_local("ts_utc", zone) == F.col("ts"))
     df = df.withColumn("_twice", to_local(F.col("ts_utc") + hour, zone) == F.col("ts"))
-    firsts = (
-        df.filter("_twice").groupBy(SERIES, "ts").agg(F.min(seq).alias("_first"))
-    )  # one hour a year and series
-    later = F.col("_first").isNotNull() & (F.col(seq) > F.col("_first"))
-    return (
-        df.join(firsts, [SERIES, "ts"], "left")
+    # One hour a year and series is joined; the other rows stay where they are.
+    twice = df.filter("_twice")
+    firsts = twice.groupBy(SERIES, "ts").agg(F.min(seq).alias("_first"))
+    later = F.col(seq) > F.col("_first")
+    told = (
+        twice.join(firsts, [SERIES, "ts"])
         .withColumn("ts_utc", F.when(later, F.col("ts_utc") + hour).otherwise(F.col("ts_utc")))
-        .drop("_twice", "_first")
+        .drop("_first")
     )
+    once = df.filter(~F.coalesce("_twice", F.lit(False)))
+    return once.unionByName(told).drop("_twice")
