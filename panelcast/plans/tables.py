@@ -9,6 +9,7 @@ from panelcast.functions.calendar import DAILY, HOURLY, is_holiday
 from panelcast.operators.joins import join_covariates
 from panelcast.operators.panel import SERIES, aggregate_panel, interpolate, regularize
 from panelcast.session import stage
+from panelcast.sources.artifacts import time_slice
 
 # Marks per euro: prices in thousand euro, event values in euro.
 RATE = 1.95583
@@ -18,10 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order value per priority and day; days without orders are missing."""
+def daily(
+    spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None
+) -> DataFrame:
+    """Order value per priority and day; days without orders are missing.
+
+    ``start`` and ``end`` (whole days, inclusive) cut the orders at the scan.
+    """
     y = F.round(F.sum("o_totalprice"), 2) / (RATE * 1000)
-    orders = table(spark, sf_dir, "orders")
+    orders = time_slice(table(spark, sf_dir, "orders"), start, end, "o_orderdate")
     return aggregate_panel(orders, F.col("o_orderpriority"), F.col("o_orderdate"), DAILY, y=y)
 
 

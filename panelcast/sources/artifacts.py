@@ -44,20 +44,20 @@ def read_panel(
     return time_slice(df, start, end)
 
 
-def time_slice(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+def time_slice(
+    df: DataFrame, start: str | None = None, end: str | None = None, ts: str = "ts"
+) -> DataFrame:
     """Inclusive slice; a date as end covers its whole day.  Written as ranges on the
     bare column, so that they reach the scan."""
     if start is not None:
-        df = df.filter(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+        df = df.filter(F.col(ts) >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
-        df = df.filter(
-            F.col("ts") < F.lit(end).cast("timestamp_ntz") + F.expr("interval 1 day")
-        )
+        df = df.filter(F.col(ts) < F.lit(end).cast("timestamp_ntz") + F.expr("interval 1 day"))
     return df
 
 
-def year_slice(df: DataFrame, year: int) -> DataFrame:
-    return time_slice(df, f"{year}-01-01", f"{year}-12-31")
+def year_slice(df: DataFrame, year: int, ts: str = "ts") -> DataFrame:
+    return time_slice(df, f"{year}-01-01", f"{year}-12-31", ts)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
