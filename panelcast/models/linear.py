@@ -6,16 +6,21 @@ An L1 penalty on the coefficients is handled by the same majorization.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from panelcast.config import LEVELS
 from panelcast.models.passes import fit
 
 FINEST = 1e-4
+# A step goes this far past the majorizer's minimum: its direction changes little from
+# step to step.
+STRETCH = 1.5
 
 
 @dataclass(frozen=True)
@@ -23,14 +28,15 @@ class LinearQuantile:
     """``l1`` weighs the penalty against the mean loss, 1 as in common defaults.
 
     ``raw`` columns are penalized as they are, the others per standard deviation,
-    which equals standardizing them first.
+    which equals standardizing them first.  Steps end when no level's loss changes by more
+    than ``tol``; a fit that is stopped by ``max_iter`` is reported and marked as such.
     """
 
     names: tuple[str, ...]
     raw: tuple[str, ...] = ()
     levels: tuple[float, ...] = LEVELS
     l1: float = 1.0
-    max_iter: int = 16
+    max_iter: int = 100
     tol: float = 1e-4
     kind: str = "linear"
 
@@ -39,7 +45,14 @@ class LinearQuantile:
         return len(self.names) + 1  # intercept first
 
     def fit(self, chunks: DataFrame, models: DataFrame) -> DataFrame:
-        return fit(chunks, models, self._sums, self._solve, self.max_iter + 1, "linear")
+        models = fit(chunks, models, self._sums, self._solve, self.max_iter + 1, "linear")
+        late = models.filter((F.size("params") > 0) & (F.get("params", F.size("params") - 1) == 0))
+        if n := late.count():
+            warnings.warn(f"{n} fits have not converged in {self.max_iter} steps", stacklevel=2)
+        return models
+
+    def converged(self, params: np.ndarray) -> bool:
+        return bool(params[-1])
 
     def _epsilon(self, step: int, sigma: float) -> float:
         return sigma * max(FINEST, 0.3 * 0.4**step)
@@ -49,7 +62,7 @@ class LinearQuantile:
         beta = params[: t * p].reshape(t, p)
         weights = params[t * p : t * p + p]
         loss = params[t * p + p : t * p + p + t]
-        return beta, weights, loss, params[-1]
+        return beta, weights, loss, params[-2]
 
     def _sums(self, x, y, to_end, step, params, aux) -> np.ndarray:
         x = np.column_stack([np.ones(len(y)), x])
@@ -84,11 +97,12 @@ class LinearQuantile:
             loss[i] = parts[i, -1] / n + self.l1 * (weights * size).sum()
             floor = 1e-6 + 1e-3 * eps
             pull = 2 * n * self.l1 * weights / (size + floor)
-            new[i] = _solve(gram + np.diag(pull), rhs)
+            new[i] = beta[i] + STRETCH * (_solve(gram + np.diag(pull), rhs) - beta[i])
         close = np.all(np.abs(old - loss) <= self.tol * np.maximum(loss, 1e-12))
-        done = bool(step >= 8 and close) or step >= self.max_iter
+        over = bool(step >= 8 and close)
         # the loss is that of the coefficients before this step
-        return np.concatenate([new.ravel(), weights, loss, [sigma]]), done
+        params = np.concatenate([new.ravel(), weights, loss, [sigma, float(over)]])
+        return params, over or step >= self.max_iter
 
     def _start(self, sums, n, t, p) -> np.ndarray:
         gram = sums[1 : 1 + p * p].reshape(p, p)
@@ -102,7 +116,7 @@ class LinearQuantile:
         spread = np.sqrt(np.maximum(square - mean**2, 0.0))
         weights = np.where(np.isin(["", *self.names], self.raw), 1.0, spread)
         weights[0] = 0.0
-        return np.concatenate([beta.ravel(), weights, np.full(t, np.inf), [sigma]])
+        return np.concatenate([beta.ravel(), weights, np.full(t, np.inf), [sigma, 0.0]])
 
     def predict(self, x: np.ndarray, params: np.ndarray, aux: np.ndarray) -> np.ndarray:
         """Rows by levels."""

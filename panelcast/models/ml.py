@@ -47,9 +47,10 @@ class LinearQuantileRegression(Estimator, _LinearParams):
         rows = dataset.select(F.col(y).cast("double").alias("y"), vector_to_array(x).alias("_x"))
         count, width = rows.agg(F.count("*"), F.max(F.size("_x"))).first()
         names = tuple(f"x{i}" for i in range(width))
-        # rows have no order here: spread them over blocks by their content
+        # rows have no order here: spread them over blocks by their place, so that rows
+        # that are alike do not meet in one block
         blocks = max(1, -(-count // PACK_ROWS))
-        spread = F.pmod(F.xxhash64("y", "_x"), F.lit(blocks * PACK_ROWS))
+        spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks * PACK_ROWS))
         frame = rows.select(
             F.lit("all").alias("series_id"),
             spread.alias("idx"),

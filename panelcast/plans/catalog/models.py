@@ -96,7 +96,7 @@ def m8(spark, sf_dir):
 
 @query("m9_direct_linear")
 def m9(spark, sf_dir):
-    setup = direct_linear(DAILY, X, chunk=7, max_iter=12, l1=0.0)
+    setup = direct_linear(DAILY, X, chunk=7, l1=0.0)
     parts = direct_parts(DAILY, quarter=False)
     grid = _with_future(spark, sf_dir)
     grid = stage(direct_grid(grid, X, parts, direct_linear_steps(DAILY)), "direct")
@@ -108,7 +108,7 @@ def m9(spark, sf_dir):
 def m10(spark, sf_dir):
     """Four weeks past the last target from a model with lag 1: the median is fed back."""
     grid = _with_future(spark, sf_dir)
-    setup = quick("quantreg", X, lags=(1, 7), max_iter=10)
+    setup = quick("quantreg", X, lags=(1, 7))
     models = train(grid, setup.spec, setup.model)
     check_horizon(grid, models, 28)
     return forecast(grid, models, setup.spec, setup.model, 28)
@@ -156,7 +156,7 @@ def b9_models(spark, sf_dir):
 def v13(spark, sf_dir):
     """Fit, write the model table, read it back, forecast a week past the last target."""
     grid = _with_future(spark, sf_dir)
-    setup = quick("quantreg", X, max_iter=10)
+    setup = quick("quantreg", X)
     root = scratch_dir(spark, "trained")
     train_and_save(grid, setup, root)
     return load_and_forecast(spark, grid, setup, root, 7)

@@ -66,7 +66,6 @@ def quick(name: str, x_cols: tuple[str, ...], **overrides) -> Setup:
         "xgb-custom": {"rounds": 4, "depth": 2, "learning_rate": 0.5, "lag_cols": ()},
         "catboost": {"rounds": 4, "depth": 2, "learning_rate": 0.5, "lag_cols": ()},
         "qrf": {"trees": 20, "depth": 4, "min_child": 5},
-        "quantreg": {"max_iter": 12},
         "xgboost": {"rounds": 3, "depth": 2, "learning_rate": 0.5},
     }
     return get_model(name, DAILY, x_cols, **(small.get(name, {}) | overrides))

@@ -127,12 +127,13 @@ def test_short_horizon_raises(noisy):
 
 def test_linear_fit_splits_the_data_at_its_level(noisy):
     spec = FeatureSpec(DAILY, (1,), ("x",), lag_cols=(), seasonal=False)
-    model = LinearQuantile(tuple(spec.names), levels=(0.1, 0.5, 0.9), l1=0.0, max_iter=20)
+    model = LinearQuantile(tuple(spec.names), levels=(0.1, 0.5, 0.9), l1=0.0)
     rows = {r[SERIES]: np.asarray(r["params"]) for r in train(noisy, spec, model).collect()}
     pdf = noisy.orderBy(SERIES, "idx").toPandas()
     for name, params in rows.items():
         own = pdf[pdf[SERIES] == name]
         x = np.column_stack([own["x"].to_numpy()[1:], own["y"].to_numpy()[:-1]])
+        assert model.converged(params)
         q = model.predict(x, params, np.array([]))
         below = (own["y"].to_numpy()[1:, None] <= q).mean(axis=0)
         # a quantile fit leaves its share below, up to one row per coefficient
