@@ -25,15 +25,17 @@ from panelcast.session import stage
 NO_ID = -(1 << 63)
 # Bytes of context that a task sorts at a time.
 BATCH_BYTES = 2_000_000
+ROW_BYTES = 8_000_000
+SECTION = 2_000_000
 
 
 @dataclass(frozen=True)
 class Repeats:
-    """Bytes of a string and of an anchor; occurrences above which an anchor is hot."""
+    """Bytes of a string and of an anchor; contexts above which an anchor is hot."""
 
     length: int = 200
-    anchor: int = 32
-    hot: int = 20_000
+    anchor: int = 64
+    hot: int = 100_000
 
 
 FACTOR = 0x9E3779B97F4A7C15  # an odd number: multiplying by it loses nothing
@@ -123,11 +125,41 @@ def runs(flags: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(int(a), int(b) - 1 + length) for a, b in at.reshape(-1, 2)]
 
 
+def anchored(raw: bytes, rule: Repeats) -> Iterator[tuple[int, int, int]]:
+    """(anchor, first start, last start) all over a text, a section at a time.
+
+    A section's end may cut the starts of an anchor in two, which changes no anchor.
+    """
+    for s in range(0, len(raw) - rule.length + 1, SECTION):
+        h, _, lo, hi = anchors(raw[s : s + SECTION + rule.length - 1], rule)
+        yield from zip(h.tolist(), (lo + s).tolist(), (hi + s).tolist(), strict=True)
+
+
+def context_rows(raw: bytes, rule: Repeats, wanted: dict[int, bool]) -> Iterator[tuple]:
+    """(anchor, places, starts, bytes that these cover) of the wanted anchors.
+
+    A text that repeats itself has the same context many times; it is one row here, but
+    for texts whose contexts exceed ``ROW_BYTES``.
+    """
+    out: dict[tuple[int, int, bytes], list[int]] = {}
+    size = 0
+    for h, lo, hi in anchored(raw, rule):
+        if h in wanted:
+            key = (h, hi - lo + 1, raw[lo : hi + rule.length])
+            places = out.setdefault(key, [])
+            size += 0 if places else len(key[2])
+            places.append(lo)
+            if size > ROW_BYTES:
+                yield from ((h, los, n, context) for (h, n, context), los in out.items())
+                out, size = {}, 0
+    yield from ((h, los, n, context) for (h, n, context), los in out.items())
+
+
 SPANS = "id_key long, tag long, start int, end int"
 
 
 def group_spans(contexts: DataFrame, rule: Repeats) -> DataFrame:
-    """Repeated spans from rows ``h, id_key, tag, lo, starts, context`` ordered by ``h``.
+    """Repeated spans from rows ``h, id_key, tag, los, starts, context`` ordered by ``h``.
 
     Groups are taken whole; equal contexts of a group are sorted once.
     """
@@ -139,11 +171,13 @@ def group_spans(contexts: DataFrame, rule: Repeats) -> DataFrame:
         )
         for (g, held), flags in zip(flat, found, strict=True):
             owners = groups[g][held]
-            if len(owners) > 1:
+            if len(owners) > 1 or any(len(los) > 1 for los in owners.values()):
                 flags = np.ones(held[0], bool)
-            for a, b in runs(flags, rule.length):
-                for id_key, tag, lo in owners:
-                    yield id_key, tag, lo + a, lo + b
+            each = runs(flags, rule.length)
+            if each:
+                for (id_key, tag), los in owners.items():
+                    for a, b in merged([(lo + a, lo + b) for lo in los for a, b in each]):
+                        yield id_key, tag, a, b
 
     def batch_of(rows) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True)) or [()] * 4
@@ -156,7 +190,7 @@ def group_spans(contexts: DataFrame, rule: Repeats) -> DataFrame:
         groups: list[dict] = []
         held, last = 0, None
         for batch in batches:
-            for h, id_key, tag, lo, starts, context in zip(
+            for h, id_key, tag, los, starts, context in zip(
                 *(c.to_pylist() for c in batch.columns), strict=True
             ):
                 if h != last:
@@ -165,12 +199,9 @@ def group_spans(contexts: DataFrame, rule: Repeats) -> DataFrame:
                         groups, held = [], 0
                     groups.append({})
                     last = h
-                owners = groups[-1].get((starts, context))
-                if owners is None:
-                    groups[-1][starts, context] = {(id_key, tag, lo)}
-                    held += len(context)
-                else:
-                    owners.add((id_key, tag, lo))
+                owners = groups[-1].setdefault((starts, context), {})
+                held += 0 if owners else len(context)
+                owners.setdefault((id_key, tag), set()).update(los)
         if groups:
             yield batch_of(solve(groups))
 
@@ -185,15 +216,18 @@ def hot_spans(contexts: DataFrame, rule: Repeats) -> DataFrame:
     string, and the strings are counted likewise.
     """
     digest = F.unhex(F.sha2(F.concat("context", F.col("starts").cast("string").cast("binary")), 256))
-    marked = contexts.dropDuplicates(["id_key", "tag", "lo"]).withColumn("digest", digest)
+    places = F.array_distinct(F.flatten(F.collect_list("los")))
+    marked = contexts.withColumn("digest", digest).groupBy("id_key", "tag", "digest").agg(
+        F.first("starts").alias("starts"), F.first("context").alias("context"), places.alias("los")
+    )
     marked = stage(marked, "hot-contexts")
     seen = marked.groupBy("digest").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("id_key", "tag", "lo")).alias("first")
+        F.sum(F.size("los")).alias("n"), F.min(F.struct("id_key", "tag")).alias("first")
     )
     seen = stage(seen, "hot-digests")
     length = rule.length
     one = marked.join(
-        seen.select("first.*"), ["id_key", "tag", "lo"], "left_semi"
+        seen.select("digest", "first.*"), ["digest", "id_key", "tag"], "left_semi"
     ).select("digest", "starts", "context")
     place = F.explode(F.sequence(F.lit(0), F.col("starts") - 1))
     strings = one.select("digest", "context", place.alias("at")).select(
@@ -204,10 +238,11 @@ def hot_spans(contexts: DataFrame, rule: Repeats) -> DataFrame:
     single = strings.join(again.hint("merge"), "s", "left_semi").select("digest", "at")
     wanted = single.groupBy("digest").agg(F.collect_list("at").alias("ats"))
     known = seen.join(wanted.hint("merge"), "digest", "left").select("digest", "n", "ats")
-    rows = marked.select("digest", "id_key", "tag", "lo", "starts").join(known.hint("merge"), "digest")
+    rows = marked.select("digest", "id_key", "tag", "los", "starts").join(known.hint("merge"), "digest")
     ats = F.when(F.col("n") > 1, F.sequence(F.lit(0), F.col("starts") - 1)).otherwise(F.col("ats"))
     start = F.col("lo") + F.col("at")
-    return rows.select("id_key", "tag", "lo", F.explode(ats).alias("at")).select(
+    placed = rows.select("id_key", "tag", F.explode("los").alias("lo"), ats.alias("ats"))
+    return placed.select("id_key", "tag", "lo", F.explode("ats").alias("at")).select(
         "id_key", "tag", start.cast("int").alias("start"), (start + length).cast("int").alias("end")
     )
 
@@ -234,41 +269,46 @@ def remove_repeats(
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tags = pa.chunked_array([batch.column(2)])
-            keys = pa.chunked_array([batch.column(0)])
-            owner, cols = [], [[], [], [], []]
+            owner, hs, ns, ms = [], [], [], []
             for i, t in enumerate(batch.column(1)):
-                found = anchors(t.as_buffer().to_pybytes(), rule)
-                owner.append(np.full(len(found[0]), i))
-                for c, f in zip(cols, found, strict=True):
-                    c.append(f)
-            take = pa.array(np.concatenate(owner) if owner else np.empty(0, np.int64))
-            h, at, lo, hi = (np.concatenate(c) if c else np.empty(0, np.int64) for c in cols)
+                raw = t.as_buffer().to_pybytes()
+                seen: dict[int, list[tuple[int, int]]] = {}
+                for h, lo, hi in anchored(raw, rule):
+                    seen.setdefault(h, []).append((lo, hi))
+                owner += [i] * len(seen)
+                hs += seen
+                for at in seen.values():
+                    ns.append(len(at))
+                    one = len(at) == 1
+                    ms.append(1 if one else len({hash(raw[a : b + rule.length]) for a, b in at}))
+            take = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(h, pa.int64()),
-                    keys.take(take).combine_chunks(),
-                    tags.take(take).combine_chunks(),
-                    pa.array(lo.astype(np.int32)),
-                    pa.array((hi - lo + 1).astype(np.int32)),
+                    pa.array(hs, pa.int64()),
+                    batch.column(0).take(take),
+                    batch.column(2).take(take),
+                    pa.array(ns, pa.int32()),
+                    pa.array(ms, pa.int32()),
                 ],
-                ["h", "id_key", "tag", "lo", "starts"],
+                ["h", "id_key", "tag", "n", "m"],
             )
 
     found = rows.select("id_key", "text", "tag").mapInArrow(
-        find, "h long, id_key long, tag long, lo int, starts int"
+        find, "h long, id_key long, tag long, n int, m int"
     )
     found = stage(found, "anchors")
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    often = often.select("h", (F.col("n") > rule.hot).alias("hot"))
-    listed = found.join(often.hint("merge"), "h").groupBy("id_key", "tag")
-    listed = stage(
-        listed.agg(F.collect_set(F.struct("h", "hot", "lo", "starts")).alias("found")), "repeated"
-    )
+    often = found.groupBy("h").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).filter("n > 1")
+    # Written out, so that the join's two exchanges stand alone and a hot anchor is split.
+    often = stage(often.select("h", (F.col("m") > rule.hot).alias("hot")), "often")
+    listed = found.select("h", "id_key", "tag").join(often.hint("merge"), "h")
+    listed = listed.groupBy("id_key", "tag").agg(F.collect_set(F.struct("h", "hot")).alias("found"))
+    listed = stage(listed, "repeated")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "id_key", "tag", "lo", "starts", "context", "hot"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
+        names = ["h", "id_key", "tag", "los", "starts", "context", "hot"]
+        kinds = [
+            pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.bool_()
+        ]
 
         def made(out: list) -> pa.RecordBatch:
             arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
@@ -278,12 +318,11 @@ def remove_repeats(
             out, size = [], 0
             for id_key, tag, t, each in zip(*(batch.column(i) for i in range(4)), strict=True):
                 raw, id_key, tag = t.as_buffer().to_pybytes(), id_key.as_py(), tag.as_py()
-                for f in each.as_py():
-                    lo, starts = f["lo"], f["starts"]
-                    context = raw[lo : lo + starts - 1 + rule.length]
-                    out.append((f["h"], id_key, tag, lo, starts, context, f["hot"]))
+                wanted = {f["h"]: f["hot"] for f in each.as_py()}
+                for h, los, starts, context in context_rows(raw, rule, wanted):
+                    out.append((h, id_key, tag, los, starts, context, wanted[h]))
                     size += len(context)
-                    if size > 8_000_000:
+                    if size > ROW_BYTES:
                         yield made(out)
                         out, size = [], 0
             if out:
@@ -292,7 +331,8 @@ def remove_repeats(
     joined = rows.join(listed.hint("merge"), ["id_key", "tag"])
     # The text's exchange below is the one that the last join reads again.
     contexts = joined.select("id_key", "tag", "text", "found", "doc_id").mapInArrow(
-        cut, "h long, id_key long, tag long, lo int, starts int, context binary, hot boolean"
+        cut,
+        "h long, id_key long, tag long, los array<int>, starts int, context binary, hot boolean",
     )
     near = contexts.filter("NOT hot").drop("hot")
     spans = group_spans(near.repartition("h").sortWithinPartitions("h"), rule)
