@@ -29,10 +29,15 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def groups(hashed: DataFrame) -> DataFrame:
-    """One row per digest: the largest id and the number of rows, combined map-side."""
-    return hashed.groupBy("digest").agg(
+    """One row per digest: the largest id and the number of rows, combined map-side.
+
+    Written out, as the optimizer would else move the anti-join below the aggregate and
+    shuffle every row of a large group of copies.
+    """
+    each = hashed.groupBy("digest").agg(
         F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
+    return stage(each, "digest-groups")
 
 
 class DigestIndex:
