@@ -25,10 +25,15 @@ LENGTH = 1024
 END_ID = 2
 FULL = 0.995
 GROUP = 50_000
-MEMO = 600_000
+MEMO = 900_000
+ROW_UNITS = 5000
 
 # White space of the tokenizer's pattern.
 SPACE = "\t-\r \x85\xa0  -     　"
+BLANKS = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {
+    chr(c) for c in range(0x2000, 0x200B)
+}
+STOPS = ".,;:!?"
 
 
 class UnitCoder:
@@ -47,12 +52,16 @@ class UnitCoder:
 
         self.library = Tokenizer.from_str(vocabulary)
         self.marks = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.runs = re.compile(f"[{SPACE}][{SPACE}]|[\t\v\f\r\x85\xa0  -　]").search
         self.units = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
+        vocab = self.library.get_vocab()
+        self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.sizes[i] = len(token)  # one letter per byte
         self.memo: dict[str, bytes] = {}
 
     def _cut(self, text: str) -> list[str]:
-        if self.runs(text):
+        # Equal where all white space is single blanks and newlines between words.
+        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
             return self.units(text)
         # A newline takes the place of the blank before what follows it.
         first, *rest = text.replace("\n", " \n").split(" ")
@@ -65,14 +74,50 @@ class UnitCoder:
         need = {u for units in cut for u in units}
         if len(self.memo) + len(need) > MEMO:
             self.memo.clear()
-        new = list(need - self.memo.keys())
-        self.memo.update(zip(new, self._ids(new), strict=True))
+        self._learn(need - self.memo.keys())
         get = self.memo.__getitem__
         found = [b"".join(map(get, units)) for units in cut]
         for i in odd:
             found[i] = self._ids([texts[i]])[0]
         return found
 
+    def _learn(self, units) -> None:
+        """Encode new units.
+
+        Letters and the stops after them are two words to the split pattern, so a unit
+        like that is put together from both.  Units that start with white space and end
+        without are encoded in a row, the others one by one.
+        """
+        memo, row, alone, made = self.memo, [], [], []
+        for u in units:
+            stem = u.rstrip(STOPS)
+            if len(stem) < len(u) and stem[1:].isalpha():
+                made.append((u, stem, u[len(stem) :]))
+            elif u[:1] in BLANKS and u[-1] not in BLANKS:
+                row.append(u)
+            else:
+                alone.append(u)
+        have = {*row, *alone}
+        stems = {s for _, s, _ in made if s not in memo} - have
+        row += [s for s in stems if s[0] in BLANKS]
+        alone += [s for s in stems if s[0] not in BLANKS]
+        alone += {t for _, _, t in made if t not in memo} - have
+        memo.update(zip(alone, self._ids(alone), strict=True))
+        for i in range(0, len(row), ROW_UNITS):
+            part = row[i : i + ROW_UNITS]
+            joined = self._ids(["".join(part)])[0]
+            ends = np.cumsum(self.sizes[np.frombuffer(joined, "<u4")])
+            wanted = np.cumsum([len(u.encode("utf-8")) for u in part])
+            cuts = np.searchsorted(ends, wanted)
+            if (ends[cuts] != wanted).any():
+                raise ValueError("a token spans two units")
+            stops = (4 * cuts + 4).tolist()
+            memo.update(
+                zip(part, [joined[x:y] for x, y in zip([0, *stops], stops, strict=False)], strict=True)
+            )
+        for u, stem, tail in made:
+            memo[u] = memo[stem] + memo[tail]
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         got = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in got]
