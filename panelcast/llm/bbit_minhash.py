@@ -91,8 +91,9 @@ class Shingler:
         memo = self.memo
         if len(memo) > WORD_MEMO:
             memo.clear()
-        for w in set(words) - memo.keys():
-            memo[w] = self.hash(w)
+        for w in set(words):
+            if w not in memo:
+                memo[w] = self.hash(w)
         h = np.array([memo[w] for w in words], np.uint64)
         n = len(h) - self.n + 1
         code = h[:n] * self.factors[0]
