@@ -30,21 +30,19 @@ class NearSettings:
     """``words`` per shingle, ``percent`` of similarity, ``bands`` of ``rows`` minima.
 
     Two sets at the threshold of 80 % miss all 32 bands of 4 with a chance of 5e-8.  The
-    estimate from the ``bits`` low bits may fall ``sigmas`` deviations short.
+    estimate from the ``bits`` low bits of ``minima`` minima, the bands' among them, may
+    fall ``sigmas`` deviations short.
     """
 
     words: int = 4
     percent: int = 80
     bands: int = 32
     rows: int = 4
-    bits: int = 4
-    sigmas: float = 6.0
+    bits: int = 2
+    minima: int = 512
+    sigmas: float = 5.0
     seed: int = 11
 
-    @property
-    def minima(self) -> int:
-        return self.bands * self.rows
-
     @property
     def least_matches(self) -> int:
         """Equal low-bit groups that a pair at the threshold falls below by chance alone."""
@@ -67,6 +65,20 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+class WordHashes(dict):
+    """Eight hash bytes per word, made when first asked for."""
+
+    def __init__(self):
+        from xxhash import xxh3_64_digest
+
+        super().__init__()
+        self.digest = xxh3_64_digest
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self[word] = self.digest(word)
+        return found
+
+
 class Shingler:
     """64-bit hashes of the distinct shingles of a text."""
 
@@ -74,7 +86,7 @@ class Shingler:
         from xxhash import xxh3_64_intdigest
 
         self.hash, self.n = xxh3_64_intdigest, settings.words
-        self.memo: dict[bytes, int] = {}
+        self.memo = WordHashes()
         rng = np.random.default_rng(settings.seed)
         self.factors = rng.integers(1, 1 << 63, self.n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.a = rng.integers(1, 1 << 63, settings.minima, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,13 +100,9 @@ class Shingler:
         if len(words) < self.n:
             whole = self.hash(b" ".join(words), seed=len(words))
             return np.array([whole], np.uint64)
-        memo = self.memo
-        if len(memo) > WORD_MEMO:
-            memo.clear()
-        for w in set(words):
-            if w not in memo:
-                memo[w] = self.hash(w)
-        h = np.array([memo[w] for w in words], np.uint64)
+        if len(self.memo) > WORD_MEMO:
+            self.memo.clear()
+        h = np.frombuffer(b"".join(map(self.memo.__getitem__, words)), np.uint64)
         n = len(h) - self.n + 1
         code = h[:n] * self.factors[0]
         for k in range(1, self.n):
@@ -139,7 +147,7 @@ def signatures(docs: DataFrame, settings: NearSettings) -> DataFrame:
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 m = shingler.minima(s)
                 code = mixed(powers + np.uint64(1))
-                for row in m.reshape(settings.bands, settings.rows).T:
+                for row in m[: settings.bands * settings.rows].reshape(settings.bands, -1).T:
                     code = mixed(code * np.uint64(3) + row)
                 bands.append(code.view(np.int64))
                 low.append(packed(m, settings.bits))
@@ -240,6 +248,21 @@ def across(buckets: DataFrame, settings: NearSettings) -> DataFrame:
     return grouped.select("members").mapInArrow(run, "a long, b long").distinct()
 
 
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The ``pairs`` whose ends are in different components."""
+    a = labels.select(F.col("node").alias("a"), F.col("label").alias("part_a"))
+    b = labels.select(F.col("node").alias("b"), F.col("label").alias("part_b"))
+    both = pairs.join(a, "a", "left").join(b, "b", "left")
+    other = F.coalesce("part_a", "a") != F.coalesce("part_b", "b")
+    return both.filter(other).select("a", "b")
+
+
+def grown(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of what is labelled and of more links between them."""
+    known = labels.filter("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return stage(components(stage(known.unionByName(links), "links")), "labels")
+
+
 def near_duplicates(
     docs: DataFrame,
     settings: NearSettings = NearSettings(),
@@ -255,7 +278,7 @@ def near_duplicates(
     share its links; a null id is no one's component but joins its set's.
 
     First every member of a bucket meets the bucket's smallest member, which joins large
-    groups without their pairs.  Then buckets that still hold several components are
+    groups without their pairs.  Then those buckets that still hold several components are
     searched in blocks, so that no link between components is missed.
     """
     rows = narrow(docs, id_col, text_col)
@@ -278,8 +301,14 @@ def near_duplicates(
         matches(F.col("low_a"), F.col("low_b"), settings) >= settings.least_matches
     )
     likely = stage(likely.select("a", "b"), "likely")
-    links = stage(confirm(likely, rows, settings), "links")
+    # One link per member joins most of a large group; of the other pairs only those
+    # between components are left to confirm.
+    first = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = stage(confirm(stage(first, "first"), rows, settings), "links")
     labels = stage(components(links), "labels")
+    rest = stage(apart(likely.join(first, ["a", "b"], "left_anti"), labels), "rest")
+    if not rest.isEmpty():
+        labels = grown(labels, confirm(rest, rows, settings))
 
     part = F.coalesce("label", "id").alias("part")
     parted = classes.join(labels, F.col("id") == F.col("node"), "left").select("id", part, "bands", "low")
@@ -292,9 +321,8 @@ def near_duplicates(
     open_buckets = open_buckets.join(low, "id")
     more = across(open_buckets, settings).join(likely, ["a", "b"], "left_anti")
     more = stage(more, "likely-across")
-    if more.count():
-        links = links.unionByName(confirm(more, rows, settings))
-        labels = stage(components(stage(links, "links")), "labels")
+    if not more.isEmpty():
+        labels = grown(labels, confirm(more, rows, settings))
 
     ids = classes.select("set_key", "id").join(labels, F.col("id") == F.col("node"), "left")
     ids = ids.select("set_key", F.coalesce("label", "id").alias("component"))

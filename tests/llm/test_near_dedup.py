@@ -96,7 +96,7 @@ def test_components(spark):
 def test_low_bits_estimate(shared):
     import numpy as np
 
-    s = NearSettings(bands=128, rows=8)
+    s = NearSettings(minima=1024)
     shingler = Shingler(s)
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 1 << 63, 2000 - shared, dtype=np.uint64)
