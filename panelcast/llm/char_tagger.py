@@ -113,10 +113,9 @@ class Tagger:
         gold += A[y[:, :-1], y[:, 1:]].sum()
         de = np.stack([np.exp(a + b - whole[:, None]) for a, b in zip(ahead, behind, strict=True)])
         dA = np.zeros_like(A)
-        for t in range(steps - 1):
-            pair = ahead[t][:, :, None] + A + (e[t + 1] + behind[t + 1])[:, None, :]
-            dA += np.exp(pair - whole[:, None, None]).sum(axis=0)
-            np.add.at(dA, (y[:, t], y[:, t + 1]), -1)
+        pair = np.stack(ahead[:-1])[..., None] + A + (e[1:] + np.stack(behind[1:]))[:, :, None, :]
+        dA += np.exp(pair - whole[:, None, None]).sum(axis=(0, 1))
+        np.add.at(dA, (y[:, :-1], y[:, 1:]), -1)
         for t in range(steps):
             de[t][rows, y[:, t]] -= 1
         de /= n
@@ -129,7 +128,7 @@ class Tagger:
 
     def _back(self, x: np.ndarray, d: str, dout: np.ndarray, saved: list) -> dict:
         U = self.p["U" + d]
-        dE, dU = np.zeros_like(self.p["E" + d]), np.zeros_like(U)
+        places, changes, before_them = [], [], []
         dh, dc = np.zeros((len(x), self.h)), np.zeros((len(x), self.h))
         for t, i, f, o, new, before, squashed, prev in reversed(saved):
             dh = dh + dout[t]
@@ -143,10 +142,13 @@ class Tagger:
                 ],
                 axis=1,
             )
-            np.add.at(dE, x[:, t], dz)
-            dU += prev.T @ dz
+            places.append(x[:, t])
+            changes.append(dz)
+            before_them.append(prev)
             dh, dc = dz @ U.T, dc * f
-        return {"E" + d: dE, "U" + d: dU}
+        dz, hot = np.concatenate(changes), np.concatenate(places)
+        dE = (np.arange(N_CLASSES)[:, None] == hot).astype(float) @ dz
+        return {"E" + d: dE, "U" + d: np.concatenate(before_them).T @ dz}
 
     def fit(self, x: np.ndarray, y: np.ndarray, steps: int, batch: int, rate: float, seed: int) -> None:
         """Adam on random batches; the same rows and seed give the same parameters."""

@@ -1,6 +1,8 @@
 """Personal data: rules with checks, and a tagger that learns from labelled spans.
 
-The rules' spans always stay.  The tagger runs over overlapping windows; where two
+The rules' spans always stay.  Loose forms that a check or their shape speaks for (an "at"
+in brackets, dots between the groups of a card) are added by pattern, what else is written
+otherwise than the rules say by the tagger.  The tagger runs over overlapping windows; where two
 windows overlap, each character takes the tag of the window in which it stands farther
 from the edge, and the tags are then read off over the whole document.
 """
@@ -30,7 +32,21 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 ADDRESS = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-CUE = re.compile("[0-9@]")
+# An "at" that is spelled out, in brackets.
+AT = re.compile(r"[(\[{]\x20?at\x20?[)\]}]", re.IGNORECASE)
+LOOSE_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+MARK = re.compile(f"@|{AT.pattern}", re.IGNORECASE)
+LOOSE = (
+    (1, re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\x20\.\x20[0-9]{1,3}){3}(?![0-9])")),
+    (2, re.compile(r"(?<![0-9.])[0-9]{4}\.(?:[0-9]{4}\.[0-9]{4}\.[0-9]{1,7}|[0-9]{6}\.[0-9]{4,5})(?![0-9])")),
+    # With 00 or "tel", or ten digits as three, three and four.
+    (3, re.compile(
+        r"(?<![A-Za-z0-9+.-])(?:(?:00[1-9]|00\x20[1-9]|tel[.:]?\x20?[0-9(])[\x20().0-9-]+[0-9]"
+        r"|(?:[0-9]{1,3}[\x20.-])?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4})(?![A-Za-z0-9])",
+        re.IGNORECASE,
+    )),
+)
+CUE = re.compile(f"[0-9@]|{AT.pattern}", re.IGNORECASE)
 DIGIT = re.compile("[0-9]")
 
 
@@ -43,7 +59,12 @@ def luhn(digits: str) -> bool:
 
 
 def rule_spans(text: str) -> tuple[list[Span], list[Span]]:
-    """Spans of the four kinds in order, and matches that a check has rejected."""
+    """Spans of the four kinds in order, and matches that a check has rejected.
+
+    Rejected are card numbers of 13 to 19 digits that fail their check sum and addresses
+    with a part over 255.  A match that is too short or too long is none of its kind, so
+    nothing is known of what it holds.
+    """
     good: list[Span] = []
     bad: list[Span] = []
     at = text.find("@")
@@ -66,11 +87,48 @@ def rule_spans(text: str) -> tuple[list[Span], list[Span]]:
     for kind, pattern, low, high, check in ((2, CARD, 13, 19, luhn), (3, PHONE, 9, 15, bool)):
         for m in pattern.finditer(text):
             digits = "".join(filter("0123456789".__contains__, m[0]))
-            fine = low <= len(digits) <= high and check(digits)
-            (good if fine else bad).append((kind, m.start(), m.end()))
+            if low <= len(digits) <= high:
+                (good if check(digits) else bad).append((kind, m.start(), m.end()))
     return good, bad
 
 
+def refuted(kind: int, span: str) -> bool:
+    """Whether the rules' checks speak against a span that is written loosely."""
+    numbers = re.findall("[0-9]+", span)
+    n_digits = len("".join(numbers))
+    if kind == 1:
+        return len(numbers) != 4 or any(int(n) > 255 for n in numbers)
+    if kind == 2:
+        return not 13 <= n_digits <= 19 or not luhn("".join(numbers))
+    return kind == 3 and not 9 <= n_digits - 2 * (numbers[0].startswith("00")) <= 15
+
+
+def loose_spans(text: str) -> list[Span]:
+    """Spans that are not written as the rules say, but in a form that is hardly anything else."""
+    out: list[Span] = []
+    done = 0
+    for mark in MARK.finditer(text):
+        start, end = mark.span()
+        end += text[end : end + 1] == " "
+        start -= start > done and text[start - 1] == " "
+        last = start
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
+        m = LOOSE_DOMAIN.match(text, end) if start < last else None
+        if m:
+            out.append((0, start, m.end()))
+            done = m.end()
+    if DIGIT.search(text):
+        for kind, pattern in LOOSE:
+            found = [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
+            out += [s for s in found if not refuted(kind, text[s[1] : s[2]])]
+    return out
+
+
+def overlaps(span: Span, others: list[Span]) -> bool:
+    return any(span[1] < b and a < span[2] for _, a, b in others)
+
+
 def listed(spans: list[Span]) -> str:
     return ",".join([f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans)])
 
@@ -95,14 +153,15 @@ class TaggerSettings:
     seed: int = 17
 
 
-def window_starts(codes: np.ndarray, settings: TaggerSettings) -> np.ndarray:
-    """Starts of the windows that hold a digit or an ``@``.
+def window_starts(text: str, codes: np.ndarray, settings: TaggerSettings) -> np.ndarray:
+    """Starts of the windows that hold a digit, an ``@`` or a spelled-out "at".
 
     Every kind has one of them in each of its spans, so no other window can hold a span's
     core; what of a span reaches out is in the overlap.
     """
     cues = np.flatnonzero(((codes >= 48) & (codes <= 57)) | (codes == 64))
-    last = cues // settings.stride
+    spelled = np.array([m.start() for m in AT.finditer(text)], np.int64)
+    last = np.concatenate([cues, spelled]) // settings.stride
     back = settings.width // settings.stride - 1
     found = np.unique(np.concatenate([np.maximum(last - k, 0) for k in range(back + 1)]))
     return found * settings.stride
@@ -136,20 +195,25 @@ class Finder:
         self.tagger = Tagger(settings.hidden, params=params) if params else None
 
     def spans(self, texts: list[str | None]) -> list[tuple[list[Span], list[Span]]]:
-        """Per text the rules' spans and those that the tagger adds."""
+        """Per text the rules' spans and those that are added."""
         found = [rule_spans(t or "") for t in texts]
         added = self._tagged(texts) if self.tagger else {}
         out = []
         for i, (good, bad) in enumerate(found):
-            taken, more = good + bad, []
+            text = texts[i] or ""
+            more: list[Span] = []
+            for span in loose_spans(text):
+                if not overlaps(span, good) and not overlaps(span, more):
+                    more.append(span)
             for kind, a, b in added.get(i, ()):
-                text = texts[i]
                 while a < b and text[a].isspace():
                     a += 1
                 while b > a and (text[b - 1].isspace() or text[b - 1] in ".,;:"):
                     b -= 1
-                fine = b - a >= 6 and CUE.search(text, a, b)
-                if fine and not any(a < y and x < b for _, x, y in taken):
+                fine = b - a >= 6 and CUE.search(text, a, b) and not refuted(kind, text[a:b])
+                # What a rule rejected as a card may still be a phone.
+                held = good + more + [s for s in bad if s[0] == kind]
+                if fine and not overlaps((kind, a, b), held):
                     more.append((kind, a, b))
             out.append((good, more))
         return out
@@ -159,7 +223,7 @@ class Finder:
         for i, text in enumerate(texts):
             if text and CUE.search(text):
                 codes = coded(text)
-                for start in window_starts(codes, self.settings).tolist():
+                for start in window_starts(text, codes, self.settings).tolist():
                     queue.append((i, start, classes(codes[start : start + width])))
         at = 0
         doc: list = []
@@ -215,7 +279,7 @@ def labelled_windows(docs: DataFrame, settings: TaggerSettings) -> list[tuple[st
                 for kind, a, b in reversed(rule_spans(text)[0]):
                     tags[a:b] = 2 * kind + 2
                     tags[a] = 2 * kind + 1
-                for s in window_starts(codes, settings)[:: settings.width // settings.stride].tolist():
+                for s in window_starts(text, codes, settings)[:: settings.width // settings.stride].tolist():
                     part = tags[s : s + settings.width]
                     rows.append((text[s : s + settings.width], "".join(map(str, part)), bool(part.any())))
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
@@ -234,27 +298,61 @@ def labelled_windows(docs: DataFrame, settings: TaggerSettings) -> list[tuple[st
     return out
 
 
-def loosened(part: str, tags: str, rng: np.random.Generator) -> tuple[str, str]:
+WAYS = 3
+
+
+def _word(rng: np.random.Generator, low: int, high: int) -> str:
+    return "".join(map(chr, rng.integers(97, 123, rng.integers(low, high))))
+
+
+def _address(rng: np.random.Generator) -> str:
+    """A made-up e-mail address: with or without digits, of two to four labels."""
+    tail = ("", str(rng.integers(0, 100)), "." + _word(rng, 2, 8))[rng.integers(0, 3)]
+    labels = [_word(rng, 2, 9) for _ in range(rng.integers(1, 4))]
+    return _word(rng, 2, 9) + tail + "@" + ".".join([*labels, _word(rng, 2, 4)])
+
+
+def _loose(kind: int, span: str, way: int, rng: np.random.Generator) -> str:
+    """One span as people also write it."""
+    other = rng.random() < 0.5
+    if kind == 0 and "@" in span:
+        return (_address(rng) if other else span).replace("@", (" @ ", " (at) ", "[at]")[way])
+    if kind == 1:
+        return span.replace(".", " . ")
+    if kind == 2:
+        digits = [ch for ch in span if ch.isdigit()]
+        return ".".join("".join(digits[i : i + 4]) for i in range(0, len(digits), 4))
+    if kind == 3 and span.startswith("+"):
+        rest = span[1:]
+        if other:  # groups parted by one sign, with or without those before the first
+            groups = re.findall("[0-9]+", rest)
+            first = int(rng.integers(0, 2)) if len(groups) > 3 and way != 1 else 0
+            rest = " -."[rng.integers(0, 3)].join(groups[first:])
+        return ("", "00", "tel ")[way] + rest
+    return span
+
+
+def loosened(part: str, tags: str, way: int, rng: np.random.Generator) -> tuple[str, str]:
     """The window as people also write it, so that spans the rules miss are learned.
 
-    Blanks around ``@`` or dots, a phone without its plus or with 00, cards with dots.
+    Blanks around ``@`` or dots, "at" in brackets, a phone without its plus, with 00 or
+    "tel", cards with dots.  Half of the addresses are made up and half of the phones
+    grouped anew, so that not one source's names are learned but the form.
     """
-    out, marks = [], []
-    way = rng.integers(0, 3)
-    for ch, tag in zip(part, tags, strict=True):
-        kind = (int(tag) - 1) // 2
-        inner = int(tag) and int(tag) % 2 == 0
-        text = ch
-        if kind == 0 and ch == "@" and inner:
-            text = (" @ ", " (at) ", "[at]")[way]
-        elif kind == 1 and ch == "." and way == 0:
-            text = " . "
-        elif kind == 2 and ch in " -" and way == 1:
-            text = "."
-        elif kind == 3 and ch == "+":
-            text = ("", "00", "tel ")[way]
-        out.append(text)
-        marks.append(tag * len(text) if not (kind == 3 and ch == "+") else tag + str(int(tag) + 1) * (len(text) - 1) if text else "")
+    out, marks, at = [], [], 0
+    while at < len(part):
+        end = at + 1
+        if tags[at] == "0":
+            out.append(part[at])
+            marks.append("0")
+        else:
+            kind = (int(tags[at]) - 1) // 2
+            while end < len(part) and tags[end] == str(2 * kind + 2):
+                end += 1
+            text = _loose(kind, part[at:end], way, rng)
+            out.append(text)
+            marks.append(tags[at] + str(2 * kind + 2) * (len(text) - 1))
+        at = end
     return "".join(out), "".join(marks)
 
 
@@ -265,7 +363,7 @@ def train(docs: DataFrame, settings: TaggerSettings = TaggerSettings()) -> dict
     if not hits:
         return None
     rng = np.random.default_rng(settings.seed)
-    windows += [loosened(*w, rng) for w in hits]
+    windows += [loosened(*w, int(rng.integers(0, WAYS)), rng) for w in hits]
     x = np.zeros((len(windows), settings.width), np.int64)
     y = np.zeros_like(x)
     for i, (part, tags) in enumerate(windows):
@@ -290,13 +388,13 @@ def find_personal_data(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Spans in every whole text: the rules' and those that the tagger adds.
+    """Spans in every whole text: the rules', loose forms, and those that the tagger adds.
 
     Returns ``doc_id, n_email, n_ip, n_card, n_phone`` (the rules' counts),
     ``base_sha256``, ``spans`` (all, ``kind:start:end`` in code points), ``n_added``.
     Without ``params`` the tagger is fitted on ``docs`` first.  An added span holds a
-    digit or ``@`` and overlaps neither a span of the rules nor a match they rejected.  A
-    null text counts as empty; repeated rows get a row each; an empty table gives none.
+    digit, ``@`` or a spelled-out "at", passes the checks of its kind and overlaps neither
+    a span of the rules nor a match that they rejected as one of its kind.  A null text counts as empty; repeated rows get a row each; an empty table gives none.
     """
     rows = narrow(docs, id_col, text_col)
     shared = _shared(rows, settings, params)

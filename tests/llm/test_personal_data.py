@@ -10,6 +10,7 @@ import pytest
 from panelcast.llm.char_tagger import KINDS, TAGS, Tagger
 from panelcast.llm.personal_data import (
     TaggerSettings,
+    coded,
     find_personal_data,
     listed,
     luhn,
@@ -17,6 +18,7 @@ from panelcast.llm.personal_data import (
     masked,
     rule_spans,
     train,
+    window_starts,
 )
 
 PATTERNS = [
@@ -111,3 +113,46 @@ def test_odd(fitted, odd, no_rows):
         if r["doc_id"] and "0" not in (before[r["doc_id"]] or ""):
             assert r["text"] == before[r["doc_id"]]
             assert r["n_chars"] == (None if r["text"] is None else len(r["text"]))
+
+
+BODY = "the road was long and they went on {} before the rain came over the hill"
+LOOSENED = [
+    "anna24 @ mail.org", "anna (at) mail.org", "anna[at]mail.org", "hein.19 (at) mail5.example.com",
+    "10 . 0 . 0 . 1", "4111.1111.1111.1111", "1 (743) 555-3824", "(743) 555-3824", "555 123 4567",
+    "001 (743) 555-3824", "0049 151 123456", "tel 1 (743) 555-3824",
+]
+OTHER = ["10 . 0 . 0 . 999", "4111.1111.1111.1112", "in 1999 there were 44 of 1200", "top (at least) 5 of", "anna (at) home"]
+
+
+def test_a_match_of_another_kind_or_length_blocks_nothing():
+    assert rule_spans("44 or 4111 or 555 123 4567")[1] == []
+    assert [s[0] for s in rule_spans("4111 1111 1111 1112 and 10.0.0.999")[1]] == [1, 2]
+
+
+def test_windows_with_a_spelled_out_at_are_run():
+    settings = TaggerSettings()
+    text = "x" * 200 + " anna (at) mail.org"
+    assert window_starts(text, coded(text), settings).tolist() == [160, 192]
+
+
+@pytest.mark.parametrize("body", [BODY, "{}", "write to {}, thanks"])
+def test_loosened_forms_are_found_and_masked(spark, fitted, body):
+    import corpus_pipeline
+
+    _, settings, params = fitted
+    texts = [body.format(w) for w in LOOSENED + OTHER]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = body.index("{")
+    found = {r["doc_id"]: r for r in find_personal_data(docs, settings, params).collect()}
+    for i, form in enumerate(LOOSENED):
+        spans = [tuple(map(int, s.split(":")[1:])) for s in found[i]["spans"].split(",") if s]
+        assert spans == [(start, start + len(form))], (form, spans)
+    out = {r["doc_id"]: r["text"] for r in mask_personal_data(docs, settings, params).collect()}
+    staged = dict(corpus_pipeline.STAGES)["personal_data"](spark, docs, "")
+    for masks in (out, {r["doc_id"]: r["text"] for r in staged.collect()}):
+        for i, form in enumerate(LOOSENED + OTHER):
+            head, tail = body.split("{}")
+            if i < len(LOOSENED):
+                assert masks[i].startswith(f"{head}<") and masks[i].endswith(f">{tail}"), masks[i]
+            else:
+                assert masks[i] == texts[i]
