@@ -8,15 +8,14 @@ passage that occurs elsewhere is cut in the same places there.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from panelcast.llm.common import narrow, pieces, text_bytes
 from panelcast.session import stage
@@ -31,16 +30,21 @@ class Cuts:
     """Shortest and longest chunk in bytes; a border has ``zero_bits`` high bits zero.
 
     Chunks are about ``shortest + 2 ** zero_bits`` bytes, so a passage of 50 words holds
-    several whole ones.
+    several whole ones.  Single chunks are common phrases on a large corpus: only runs of
+    neighbouring repeated chunks of ``least`` bytes or more count as repeats.
     """
 
     shortest: int = 24
     longest: int = 512
     zero_bits: int = 5
+    least: int = 100
 
 
 def borders(raw: bytes, cuts: Cuts = Cuts()) -> list[int]:
-    """Ends of the chunks of ``raw``, in order; the last is its length."""
+    """Ends of the chunks of ``raw``, in order; the last is its length.
+
+    A tail shorter than ``shortest`` belongs to the chunk before it.
+    """
     n = len(raw)
     if not n:
         return []
@@ -62,22 +66,29 @@ def borders(raw: bytes, cuts: Cuts = Cuts()) -> list[int]:
     while n - start > cuts.longest:
         start += cuts.longest
         ends.append(start)
-    if start < n:
+    if ends and n - start < cuts.shortest:
+        ends[-1] = n
+    else:
         ends.append(n)
     return ends
 
 
 def chunks(docs: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
-    """``doc_id, start, size, digest`` per chunk of the whole texts."""
-    names = ["doc_id", "start", "size", "digest"]
+    """``doc_id, row, start, size, digest`` per chunk of the whole texts.
+
+    ``row`` tells rows that share an id apart, by a checksum of their text.
+    """
+    names = ["doc_id", "row", "start", "size", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in pieces(batches):
-            owner, starts, sizes, marks = [], [], [], []
+            owner, rows, starts, sizes, marks = [], [], [], [], []
             for i, text in enumerate(texts):
                 raw, at = text_bytes(text), 0
+                row = zlib.crc32(raw)
                 for end in borders(raw, cuts):
                     owner.append(i)
+                    rows.append(row)
                     starts.append(at)
                     sizes.append(end - at)
                     marks.append(hashlib.blake2b(raw[at:end], digest_size=16).digest())
@@ -85,6 +96,7 @@ def chunks(docs: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.take(pa.array(owner, pa.int64())),
+                    pa.array(rows, pa.int64()),
                     pa.array(starts, pa.int32()),
                     pa.array(sizes, pa.int32()),
                     pa.array(marks, pa.binary()),
@@ -92,7 +104,7 @@ def chunks(docs: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
                 names,
             )
 
-    return docs.mapInArrow(run, "doc_id long, start int, size int, digest binary")
+    return docs.mapInArrow(run, "doc_id long, row long, start int, size int, digest binary")
 
 
 def repeated_chunks(
@@ -100,8 +112,9 @@ def repeated_chunks(
 ) -> DataFrame:
     """What repeats in each document: one row per id.
 
-    Returns ``doc_id, n_bytes, n_chunks, n_repeated`` (chunks that occur elsewhere too),
-    ``n_removed`` (bytes of chunks whose first occurrence, by id and place, is another),
+    Returns ``doc_id, n_bytes, n_chunks, n_repeated`` (chunks that occur elsewhere too and lie
+    in a run of such chunks of ``cuts.least`` bytes or more), ``n_removed`` (bytes of those
+    whose first occurrence, by id and place, is another),
     ``removed`` (their spans as ``start:end``, joined where they touch) and ``first_ids``
     (ids that hold the first occurrences).  A null or empty text has no chunks; rows that
     repeat an id are reported together, and their equal chunks count as repeats; a null
@@ -125,49 +138,86 @@ def repeated_chunks(
     later = ~(
         F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("start") == F.col("first_start"))
     )
-    per_doc = found.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_repeated"),
-        F.sum(F.when(later, F.col("size")).otherwise(0)).cast("long").alias("n_removed"),
-        F.sort_array(F.collect_list(F.when(later, F.array("start", "size")))).alias("spans"),
-        F.sort_array(F.collect_set(F.when(later, F.col("first_id")))).alias("first_ids"),
+    one = F.struct("row", "start", "size", later.alias("later"), "first_id")
+    per_doc = (
+        found.groupBy("doc_id")
+        .agg(F.sort_array(F.collect_list(one)).alias("found"))
+        .mapInArrow(
+            _long_runs(cuts.least),
+            "doc_id long, n_repeated long, n_removed long, removed string, first_ids array<bigint>",
+        )
     )
     counts = cut.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
     sizes = rows.groupBy("doc_id").agg(
         F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("n_bytes")
     )
     zero = F.lit(0).cast("long")
-    one = _same("s", "c")
-    two = _same("s", "p")
     return (
         sizes.alias("s")
-        .join(counts.alias("c"), one, "left")
-        .join(per_doc.alias("p"), two, "left")
+        .join(counts.alias("c"), _same("s", "c"), "left")
+        .join(per_doc.alias("p"), _same("s", "p"), "left")
         .select(
             "s.doc_id",
             "s.n_bytes",
             F.coalesce("n_chunks", zero).alias("n_chunks"),
             F.coalesce("n_repeated", zero).alias("n_repeated"),
             F.coalesce("n_removed", zero).alias("n_removed"),
-            F.coalesce(touching("spans"), F.lit("")).alias("removed"),
+            F.coalesce("removed", F.lit("")).alias("removed"),
             F.coalesce("first_ids", F.array().cast("array<bigint>")).alias("first_ids"),
         )
     )
 
 
-@F.pandas_udf(StringType())
-def touching(spans: pd.Series) -> pd.Series:
-    """Sorted (start, size) pairs as ``start:end``; spans that touch become one."""
+def long_enough(found: list[dict], least: int) -> list[dict]:
+    """Chunks, sorted by row and start, that lie in runs of ``least`` bytes or more."""
+    out: list[dict] = []
+    run: list[dict] = []
+    for c in [*found, None]:
+        last = run[-1] if run else None
+        if last and not (
+            c and c["row"] == last["row"] and c["start"] in (last["start"], last["start"] + last["size"])
+        ):
+            if last["start"] + last["size"] - run[0]["start"] >= least:
+                out += run
+            run = []
+        run.append(c)
+    return out
 
-    def one(pairs) -> str:
-        out: list[list[int]] = []
-        for start, size in pairs if pairs is not None else ():
-            if out and out[-1][1] == start:
-                out[-1][1] += size
-            else:
-                out.append([start, start + size])
-        return ",".join([f"{a}:{b}" for a, b in out])
 
-    return spans.map(one)
+def _long_runs(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            repeated, removed, spans, firsts = [], [], [], []
+            for found in batch.column(1).to_pylist():
+                found = long_enough(found, least)
+                gone = [c for c in found if c["later"]]
+                repeated.append(len(found))
+                removed.append(sum(c["size"] for c in gone))
+                spans.append(touching(sorted((c["start"], c["size"]) for c in gone)))
+                firsts.append(sorted({c["first_id"] for c in gone if c["first_id"] is not None}))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(repeated, pa.int64()),
+                    pa.array(removed, pa.int64()),
+                    pa.array(spans, pa.string()),
+                    pa.array(firsts, pa.list_(pa.int64())),
+                ],
+                ["doc_id", "n_repeated", "n_removed", "removed", "first_ids"],
+            )
+
+    return run
+
+
+def touching(pairs: list[tuple[int, int]]) -> str:
+    """Sorted (start, size) pairs as ``start:end``; spans that touch become one."""
+    out: list[list[int]] = []
+    for start, size in pairs:
+        if out and out[-1][1] == start:
+            out[-1][1] += size
+        else:
+            out.append([start, start + size])
+    return ",".join([f"{a}:{b}" for a, b in out])
 
 
 def _same(a: str, b: str):

@@ -52,3 +52,26 @@ def test_equals_brute_force(spark, odd, no_rows):
     assert all(again[i] for i, _ in rows)
     assert repeated_chunks(odd).count() == odd.select("doc_id").distinct().count()
     assert repeated_chunks(no_rows).count() == 0
+
+
+def test_short_tail_joins_the_chunk_before():
+    rng, cuts = random.Random(6), Cuts()
+    for _ in range(300):
+        ends = borders(prose(rng, 40).encode(), cuts)
+        sizes = [b - a for a, b in zip([0, *ends], ends, strict=False)]
+        assert len(sizes) == 1 or sizes[-1] >= cuts.shortest
+
+
+def test_common_endings_and_phrases_are_no_repeats(spark):
+    rng = random.Random(7)
+    passage, phrase = prose(rng, 60), "x" * 30  # a phrase is cut alike wherever it stands
+    clean = [prose(rng, 60) + ending for ending in [" and so on.", "."] * 40]
+    clean += [prose(rng, 40) + phrase + prose(rng, 40) for _ in range(40)]
+    planted = [prose(rng, 40) + passage + prose(rng, 40) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(clean + planted)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in repeated_chunks(docs).collect()}
+    for i in range(len(clean)):
+        assert (out[i]["n_repeated"], out[i]["n_removed"], out[i]["removed"]) == (0, 0, "")
+    for i in range(len(clean) + 1, len(clean) + len(planted)):
+        assert out[i]["n_removed"] >= Cuts().least
+    assert any(r["n_repeated"] for r in repeated_chunks(docs, Cuts(least=1)).collect()[: len(clean)])
