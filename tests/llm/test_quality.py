@@ -64,3 +64,31 @@ def test_odd(odd, no_rows):
     kept = keep_good(odd)
     assert kept.columns == odd.columns
     assert kept.count() == sum(r["kept"] for r in out)
+
+
+@pytest.mark.parametrize("size", [300, 600, 1000, 1023, 1024, 3000, 4095, 4096, 9000, 16383, 16384, 60000])
+def test_bands_reject_wrapped_base64(size):
+    import base64
+    import random
+
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    raw = base64.encodebytes(random.Random(size).randbytes(size))[:size]
+    assert judge(raw, squeeze, Bands())[3] == "whole ratio"
+
+
+def test_wrapped_base64_is_not_kept(spark):
+    import base64
+    import random
+
+    text = base64.encodebytes(random.Random(8).randbytes(4500)).decode()
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [(r["base_failed"], r["kept"]) for r in quality(docs).collect()] == [(False, False)]
+    assert keep_good(docs).count() == 0
+
+
+def test_ordinary_text_stays(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    high = [r for r in quality(docs).collect() if not r["base_failed"] and not r["kept"] and r["ratio"] > 0.5]
+    assert high == []
