@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import column, series
+from panel_rows import column, series
 from pyspark.sql import functions as F
 
 from panelcast.config import QCOLS

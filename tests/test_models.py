@@ -2,7 +2,7 @@ from datetime import timedelta
 
 import numpy as np
 import pytest
-from conftest import series
+from panel_rows import series
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F

@@ -41,7 +41,8 @@ def test_entry(spark):
 def test_registry_is_consistent():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries)
-    families = {re.match(r"[a-z]\d+", n).group() for n in queries}
+    assert set(QUERIES) <= set(queries)
+    families = {re.match(r"[a-z]\d+", n).group() for n in QUERIES}
     wanted = {
         "s": 12, "p": 25, "j": 9, "a": 13, "w": 9, "o": 6, "u": 3, "f": 15, "r": 3,
         "e": 6, "v": 14,
