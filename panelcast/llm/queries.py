@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelcast.llm import (
     bbit_minhash,
@@ -16,6 +17,7 @@ from panelcast.llm import (
     jump_shards,
     personal_data,
     residual_packing,
+    rotated_middle,
     suffix_buckets,
     trie_bpe,
 )
@@ -144,3 +146,37 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_trie_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.encode_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+@query(
+    "op11_rotated_middle",
+    """WITH cut AS (
+        SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, h[1] % (length(coalesce(text, '')) + 1) AS c1,
+               h[2] % (length(coalesce(text, '')) + 1) AS c2, h[3] % 100 AS p3, h[4] % 100 AS p4
+        FROM (SELECT *, list_transform([1, 9, 17, 25],
+                  lambda i: ('0x' || substr(sha256('1:' || doc_id), i, 8))::UBIGINT::BIGINT) AS h FROM documents)),
+    formed AS (
+        SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b,
+               CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                    OR p3 >= 90 THEN 'plain' WHEN p4 < 20 THEN 'spm' ELSE 'psm' END AS form
+        FROM cut),
+    parts AS (
+        SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM formed)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                  ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+           sha256(t) AS restored_sha256
+    FROM parts""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = rotated_middle.restored(rotated_middle.fill_in_middle(documents(spark, sf_dir)))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"),
+    )
