@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +75,13 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]
             size += more
         if first < batch.num_rows:
             yield ids.slice(first), texts.slice(first).to_pylist()
+
+
+def bounded(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``PIECE`` bytes of one column; a single value may be larger."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    piece = np.cumsum(sizes, dtype=np.int64) // PIECE
+    edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+    for a, b in pairwise(edges):
+        if a < b:
+            yield batch.slice(a, b - a)

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm import (
+    bag_search,
     bbit_minhash,
     codeword_language,
     compression_bands,
     digest_index,
     gear_chunks,
     jump_shards,
+    packaged_warc,
     personal_data,
     residual_packing,
     rotated_middle,
@@ -180,3 +182,48 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
         F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"),
     )
+
+
+TERMS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op12_bag_search",
+    f"""WITH words AS (SELECT doc_id, unnest({TERMS}) AS t FROM documents),
+    lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY 1),
+    whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths),
+    norms AS (SELECT doc_id, 25 + (75 * n * docs) // terms AS m FROM lengths, whole),
+    wanted AS (
+        SELECT item_id, t, count(*) AS repeats
+        FROM (SELECT item_id, unnest({TERMS}) AS t FROM benchmark) GROUP BY ALL),
+    tfs AS (SELECT doc_id, t, count(*) AS tf FROM words WHERE t IN (SELECT t FROM wanted) GROUP BY ALL),
+    weights AS (
+        SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+        FROM tfs, whole GROUP BY t, docs),
+    scores AS (
+        SELECT item_id, doc_id,
+               sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+        FROM tfs JOIN weights USING (t) JOIN norms USING (doc_id) JOIN wanted USING (t)
+        GROUP BY ALL HAVING sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) > 0)
+    SELECT item_id, (row_number() OVER best)::INT AS rank, doc_id, score FROM scores
+    WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+    QUALIFY row_number() OVER best <= 10""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return bag_search.search(documents(spark, sf_dir), items)
+
+
+@query(
+    "op13_packaged_warc",
+    """SELECT page_id, strlen(p)::BIGINT AS payload_bytes, sha1(p) AS payload_digest,
+        CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN again THEN last END AS refers_to
+    FROM (SELECT *, strlen(p) >= 1000 AND page_id <> last AS again FROM (
+        SELECT page_id, coalesce(html, '') AS p,
+               max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages))""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    archives = packaged_warc.write_archives(pages)
+    return packaged_warc.read_archives(archives).drop("target_uri")

@@ -10,15 +10,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import pairwise
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
-from panelcast.llm.common import PIECE, narrow, pieces
+from panelcast.llm.common import bounded, narrow, pieces
 
 SWAP = 1 << 16  # bytes exchanged at a time by a reversal
 SCAN = 1 << 20  # bytes looked at together when code points are counted
@@ -178,7 +175,7 @@ def restored(made: DataFrame, how: Middle = Middle()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _bounded(batch, batch.schema.get_field_index("output")):
+            for part in bounded(batch, batch.schema.get_field_index("output")):
                 pairs = zip(part["output"].to_pylist(), part["form"].to_pylist(), strict=True)
                 back = [None if o is None else restore(o.encode(), f, how) for o, f in pairs]
                 yield pa.RecordBatch.from_arrays([*part.columns, _text(back)], schema.names)
@@ -186,15 +183,5 @@ def restored(made: DataFrame, how: Middle = Middle()) -> DataFrame:
     return made.mapInArrow(run, schema)
 
 
-def _bounded(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``PIECE`` bytes of one column; a single value may be larger."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    piece = np.cumsum(sizes) // PIECE
-    edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
-    for a, b in pairwise(edges):
-        if a < b:
-            yield batch.slice(a, b - a)
-
-
 def _text(values: Iterable[bytes | None]) -> pa.Array:
     return pa.array(values, pa.binary()).cast(pa.string())
