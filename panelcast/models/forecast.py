@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.config import LEVELS, QCOLS, ROLLING_DAYS
+from panelcast.models.forest import QuantileForest
 from panelcast.models.linear import LinearQuantile
-from panelcast.models.passes import final_models, fold_models, pack, require_fitted, with_aux
-from panelcast.models.trees import BoostedQuantile, QuantileForest, bin_edges
+from panelcast.models.passes import final_models, fold_models, pack, require_fitted
+from panelcast.models.trees import BoostedQuantile
 from panelcast.operators.features import FeatureSpec, build_features
 from panelcast.operators.folds import Splitter
 from panelcast.operators.panel import SERIES
@@ -25,17 +26,14 @@ Model = LinearQuantile | BoostedQuantile | QuantileForest
 def fit_models(grid: DataFrame, spec: FeatureSpec, model: Model, empty: DataFrame) -> DataFrame:
     """Fit one model per row of ``empty`` on the features of ``grid``.
 
-    Features only look back, so they are computed once for all folds; bin edges are
-    those of a fold's own rows.  A series or fold without rows to train on raises.
+    Features only look back, so they are computed once for all folds; bins are those of a
+    fold's own rows.  A series or fold without rows to train on raises.
     """
     if tuple(spec.names) != model.names:
         raise ValueError("the model was built for other features")
     features = build_features(grid, spec)
     chunks = stage(pack(features, spec.names, spec.target), "chunks")
-    if not isinstance(model, LinearQuantile):
-        edges = bin_edges(features, empty, spec.names, spec.target)
-        empty = with_aux(empty, stage(edges, "edges"))
-    models = model.fit(chunks, empty)
+    models = model.fit(chunks, empty, features, spec.target)
     require_fitted(models)
     return models
 
@@ -74,8 +72,12 @@ def horizon_steps(grid: DataFrame, models: DataFrame, horizon: DataFrame) -> int
 def _inputs(grid: DataFrame, models: DataFrame, spec: FeatureSpec, steps: int) -> DataFrame:
     """One row per model: the target's tail, and the horizon's features that do not
     depend on the target.  Looked up by an equi-join on row numbers; ``reach + steps``
-    rows per model."""
-    static = build_features(grid, spec, target_features=False)
+    rows per model.  History that no model looks back at is cut off first."""
+    wanted = models.groupBy(SERIES).agg(
+        (F.min("last") - 2 * spec.reach).alias("_lo"), (F.max("last") + steps).alias("_hi")
+    )
+    recent = grid.join(wanted, SERIES).filter(F.col("idx").between(F.col("_lo"), F.col("_hi")))
+    static = build_features(recent.drop("_lo", "_hi"), spec, target_features=False)
     x = F.array(*[F.col(n).cast("double") for n in spec.static_names])
     x = x if spec.static_names else F.array().cast("array<double>")
     rows = static.select(SERIES, "idx", "pos", F.col(spec.target).cast("double").alias("y"), x.alias("x"))
@@ -141,11 +143,17 @@ def _phase_quantiles(y: np.ndarray, at: int, window: int, period: int) -> np.nda
 
 
 def forecast(
-    grid: DataFrame, models: DataFrame, spec: FeatureSpec, model: Model, steps: int
+    grid: DataFrame,
+    models: DataFrame,
+    spec: FeatureSpec,
+    model: Model,
+    steps: int,
+    seconds: bool = False,
 ) -> DataFrame:
     """Forecasts ``h = 1 .. steps`` of every model, in one job over (series, fold).
 
     ``grid`` carries the covariates of the horizon; ``y`` there is the actual, if known.
+    ``seconds`` adds the time that a model's forecast took.
     """
     if 0.5 not in model.levels:
         raise ValueError("the median must be among the levels")
@@ -157,6 +165,7 @@ def forecast(
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
+                start = time.perf_counter()
                 idx, y = np.asarray(row.idx), np.asarray(row.y, dtype=float)
                 ahead = idx > row.last
                 k = int(ahead.sum())
@@ -180,13 +189,16 @@ def forecast(
                             "pos": np.asarray(row.pos)[ahead],
                             "y": y[ahead],
                             "q": list(q),
+                            "seconds": time.perf_counter() - start,
                         }
                     )
                 )
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    schema = f"{SERIES} string, fold long, h long, pos long, y double, q array<double>"
+    schema = (
+        f"{SERIES} string, fold long, h long, pos long, y double, q array<double>, seconds double"
+    )
     inputs = _inputs(grid, models, spec, steps).join(
         models.select(SERIES, "fold", "last", "params", "aux"), [SERIES, "fold"]
     )
@@ -199,6 +211,7 @@ def forecast(
         spec.freq.at("pos").alias("ts"),
         F.when(~F.isnan("y"), F.col("y")).alias("y"),
         *quantile_columns(model.levels),
+        *(["seconds"] if seconds else []),
     )
 
 
@@ -216,27 +229,24 @@ def _value(i: int) -> Column:
 
 @dataclass
 class BacktestRun:
-    """Predictions, the fitted models and wall-clock seconds per fold."""
+    """Predictions, the fitted models, and ``(series_id, fold, fit_time,
+    pred_quantiles_time)`` with the seconds spent on each fold's own model."""
 
     predictions: DataFrame
     models: DataFrame
-    fit_seconds: float
-    predict_seconds: float
+    times: DataFrame
 
 
 def backtest(grid: DataFrame, spec: FeatureSpec, model: Model, splitter: Splitter) -> BacktestRun:
     """Refit in every fold, forecast its horizon.  All folds of all series advance in
-    the same Spark jobs, so times are shares of the whole."""
-    start = time.monotonic()
+    the same Spark jobs; times are taken where a fold's model is fitted and applied."""
     empty = stage(fold_models(grid, splitter, spec.reach), "folds")
     models = fit_models(grid, spec, model, empty)
-    fitted = time.monotonic()
-    rows = stage(
-        forecast(grid, models, spec, model, splitter.params.forecast_steps), "predictions"
-    )
-    done = time.monotonic()
-    count = max(models.count(), 1)
-    return BacktestRun(rows, models, (fitted - start) / count, (done - fitted) / count)
+    steps = splitter.params.forecast_steps
+    rows = stage(forecast(grid, models, spec, model, steps, seconds=True), "predictions")
+    spent = rows.groupBy(SERIES, "fold").agg(F.max("seconds").alias("pred_quantiles_time"))
+    fitted = models.select(SERIES, "fold", F.col("seconds").alias("fit_time"))
+    return BacktestRun(rows.drop("seconds"), models, fitted.join(spent, [SERIES, "fold"]))
 
 
 def train(grid: DataFrame, spec: FeatureSpec, model: Model) -> DataFrame:

@@ -64,7 +64,7 @@ class LinearQuantileRegression(Estimator, _LinearParams):
             l1=self.getOrDefault(self.l1),
         )
         none: list[float] = []
-        one = [("all", 0, 0, blocks * PACK_ROWS, 0, False, none, none)]
+        one = [("all", 0, 0, blocks * PACK_ROWS, False, 0.0, none, none)]
         empty = dataset.sparkSession.createDataFrame(one, MODEL_SCHEMA)
         fitted = engine.fit(stage(pack(frame, list(names)), "ml"), empty).first()
         params = np.asarray(fitted["params"])

@@ -1,31 +1,107 @@
-"""Training passes: blocks of rows in, sums per model out."""
+"""Fitting many models at once: in one task each where its rows fit, else pass by pass.
+
+A learner states how statistics of rows add up and how a model changes with the sums.  The
+same two functions run in a loop inside a task, for all models whose window fits there, or
+as Spark jobs over blocks of rows, for those whose window does not.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import io
+import pickle
+import time
+from collections.abc import Iterator
+from functools import reduce
+from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators.blocks import BLOCK, block_of
 from panelcast.operators.folds import Splitter, n_folds
 from panelcast.operators.panel import SERIES
-from panelcast.session import cut_lineage, stage
+from panelcast.session import drop_stage, stage
 
 PACK_ROWS = 512
-BLOCKS_PER_TASK = 4  # at least, when there are few blocks
-TASK_BYTES = 64_000_000  # of blocks, at most
+LOCAL_VALUES = 8_000_000  # doubles of the rows that a task holds to fit models on them
+FOLDS_PER_TASK = 16  # at most, so that a row is sent to few tasks
+BUCKET, GROUP = "bucket", "_group"
 MODELS_PER_BUCKET = 16  # on average, updated in one call
-BUCKET = "bucket"
 FLUSH_VALUES = 8_000_000  # doubles held by a task before partial sums are handed on
+KEEP_ROUNDS = 8  # finished trees sent along with a pass before they go into the rows
+
+KEYS = f"{SERIES} string, fold long, first long, last long"
+MODEL_SCHEMA = f"{KEYS}, done boolean, seconds double, aux array<double>, params array<double>"
+WORK_SCHEMA = f"{KEYS}, done boolean, seconds double, aux array<double>, work binary"
+STATS_SCHEMA = f"{SERIES} string, fold long, seconds double, stats array<double>"
+ROWS_SCHEMA = f"{SERIES} string, fold long, {BLOCK} long, state binary"
+
+
+class Learner(Protocol):
+    """What a model must state to be fitted."""
+
+    names: tuple[str, ...]
+    keeps_rows: bool  # whether rows carry a state of their own from pass to pass
+
+    def constants(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Constants of a fit, from all its rows; the ``aux`` of a model fitted in a task."""
+
+    def start(self, aux: np.ndarray) -> Any:
+        """What is known before the first pass."""
+
+    def rows(self, x: np.ndarray, y: np.ndarray, to_end: np.ndarray, aux: np.ndarray) -> Any:
+        """Rows made ready; ``to_end`` counts the steps to the window's last one."""
+
+    def sums(self, rows: Any, work: Any) -> np.ndarray:
+        """Statistics that add up over blocks of rows."""
+
+    def update(self, sums: np.ndarray, work: Any, aux: np.ndarray) -> tuple[Any, bool]:
+        """The next state, and whether the model is done."""
+
+    def params(self, work: Any, aux: np.ndarray) -> np.ndarray:
+        """The finished model."""
+
+    def states(self) -> tuple[type, ...]:
+        """The classes that states are made of."""
+
+
+class _Pickler(pickle.Pickler):
+    """Instances of a learner's state classes go by name: the package travels with the
+    functions, so a task's classes are not those that an import would find."""
+
+    def persistent_id(self, obj):
+        name = type(obj).__name__
+        if name not in self.names:
+            return None
+        own = getattr(obj, "__getstate__", None)
+        return name, (own() if own else obj.__dict__)
 
-MODEL_SCHEMA = (
-    f"{SERIES} string, fold long, first long, last long, step int, done boolean, "
-    "aux array<double>, params array<double>"
-)
-STATS_SCHEMA = f"{SERIES} string, fold long, stats array<double>"
+
+def dumps(learner: Learner, state: Any) -> bytes:
+    out = io.BytesIO()
+    pickler = _Pickler(out, protocol=pickle.HIGHEST_PROTOCOL)
+    pickler.names = {c.__name__ for c in learner.states()}
+    pickler.dump(state)
+    return out.getvalue()
+
+
+class _Unpickler(pickle.Unpickler):
+    def persistent_load(self, pid):
+        name, state = pid
+        obj = object.__new__(self.classes[name])
+        if hasattr(obj, "__setstate__"):
+            obj.__setstate__(state)
+        else:
+            obj.__dict__.update(state)
+        return obj
+
+
+def loads(learner: Learner, raw: bytes) -> Any:
+    unpickler = _Unpickler(io.BytesIO(raw))
+    unpickler.classes = {c.__name__: c for c in learner.states()}
+    return unpickler.load()
 
 
 def pack(frame: DataFrame, names: list[str], target: str = "y") -> DataFrame:
@@ -80,21 +156,13 @@ def _empty(df: DataFrame) -> DataFrame:
         "fold",
         F.col("first").cast("long").alias("first"),
         F.col("last").cast("long").alias("last"),
-        F.lit(0).alias("step"),
         F.lit(False).alias("done"),
+        F.lit(0.0).alias("seconds"),
         none.alias("aux"),
         none.alias("params"),
     )
 
 
-def with_aux(models: DataFrame, aux: DataFrame) -> DataFrame:
-    """Attach the constants ``(series_id, fold, aux)`` of a fit; without rows there are none."""
-    cols = [c for c in models.columns if c not in ("aux", "params")]
-    none = F.array().cast("array<double>")
-    joined = models.drop("aux").join(aux, [SERIES, "fold"], "left")
-    return joined.select(*cols, F.coalesce("aux", none).alias("aux"), "params")
-
-
 def require_fitted(models: DataFrame) -> None:
     """A model without parameters had no rows to train on: too short a series or window."""
     short = models.filter(F.size("params") == 0).select(SERIES, "fold").limit(5).collect()
@@ -103,58 +171,272 @@ def require_fitted(models: DataFrame) -> None:
         raise ValueError(f"too few rows to train on: {which}")
 
 
-def _on_blocks(models: DataFrame) -> DataFrame:
-    """Models beside the blocks they train on: each block gets those that need it."""
-    spread = models.filter("not done").withColumn(
-        BLOCK,
-        F.explode(F.sequence(block_of("first", PACK_ROWS), block_of("last", PACK_ROWS))),
+def fit(
+    chunks: DataFrame,
+    models: DataFrame,
+    learner: Learner,
+    label: str,
+    constants: Any = None,
+    local_values: int | None = None,
+) -> DataFrame:
+    """Fit every row of ``models`` on its window of ``chunks`` (both staged).
+
+    Windows of up to ``local_values`` doubles are fitted in one job, each in the task that
+    holds its rows; neighbouring folds of a series share a task and its rows.  Longer
+    windows are fitted in passes over blocks, where no task holds a whole window;
+    ``constants(models)`` gives their ``aux`` as ``(series_id, fold, aux)``.  ``seconds`` is
+    the time spent on a model in Python, summed over tasks.
+    """
+    limit = max(1, (local_values or LOCAL_VALUES) // max(1, len(learner.names)))
+    length = F.col("last") - F.col("first") + 1
+    count, longest = models.agg(F.count(F.lit(1)), F.max(length)).first()
+    if not count or longest is None:
+        return models
+    fitted = _in_tasks(chunks, models.filter(length <= limit), learner, count, limit)
+    if longest > limit:
+        large = models.filter(length > limit)
+        if constants is not None:
+            large = _with_aux(large, stage(constants(large), f"{label}-constants"))
+        fitted = fitted.unionByName(_in_passes(chunks, large, learner, label))
+    return stage(fitted, label)
+
+
+def _with_aux(models: DataFrame, aux: DataFrame) -> DataFrame:
+    cols = models.columns
+    none = F.array().cast("array<double>")
+    joined = models.drop("aux").join(aux, [SERIES, "fold"], "left")
+    return joined.withColumn("aux", F.coalesce("aux", none)).select(cols)
+
+
+# --- in one task ----------------------------------------------------------------------------
+
+
+def fit_here(learner: Learner, x: np.ndarray, y: np.ndarray, to_end: np.ndarray) -> np.ndarray:
+    """``params`` of one model from all its rows."""
+    aux = learner.constants(x, y)
+    whole = getattr(learner, "fit_whole", None)
+    if whole is not None:  # a learner that has no passes
+        return whole(x, y, to_end, aux)
+    rows, work, done = learner.rows(x, y, to_end, aux), learner.start(aux), False
+    while not done:
+        work, done = learner.update(learner.sums(rows, work), work, aux)
+    polish = getattr(learner, "polish", None)
+    return learner.params(polish(rows, work) if polish else work, aux)
+
+
+def _in_tasks(
+    chunks: DataFrame, models: DataFrame, learner: Learner, count: int, limit: int
+) -> DataFrame:
+    spark = chunks.sparkSession
+    parallel = spark.sparkContext.defaultParallelism
+    share = max(1, min(FOLDS_PER_TASK, count // (4 * parallel)))
+    group = F.floor(F.col("fold") / share).cast("long")
+    # folds whose windows together would be too long stay apart
+    ends = models.withColumn(GROUP, group).groupBy(SERIES, GROUP).agg(
+        F.min("first").alias("_a"), F.max("last").alias("_b")
+    )
+    apart = F.col("_b") - F.col("_a") + 1 > limit
+    grouped = (
+        models.withColumn(GROUP, group)
+        .join(ends, [SERIES, GROUP])
+        .withColumn(GROUP, F.when(apart, -1 - F.col("fold")).otherwise(F.col(GROUP)))
+        .drop("_a", "_b")
     )
-    one = F.struct("fold", "first", "last", "step", "params", "aux")
+    wanted = grouped.groupBy(SERIES, GROUP).agg(F.min("first").alias("a"), F.max("last").alias("b"))
+    span = F.sequence(block_of("a", PACK_ROWS), block_of("b", PACK_ROWS))
+    blocks = wanted.filter("a <= b").select(
+        SERIES, F.col(GROUP).alias("_part"), F.explode(span).alias(BLOCK)
+    )
+    # the number of partitions is given, as a few small groups would else share one task
+    parts = int(max(parallel, min(2000, 8 * -(-count // share))))
+    rows = chunks.join(blocks, [SERIES, BLOCK]).repartition(parts, SERIES, "_part")
+    grouped = grouped.repartition(parts, SERIES, GROUP)
     return (
-        spread.groupBy(SERIES, BLOCK)
-        .agg(F.sort_array(F.collect_list(one)).alias("m"))
-        .select(
-            SERIES,
-            BLOCK,
-            F.flatten("m.aux").alias("aux"),
-            F.col("m.fold").alias("fold"),
-            F.col("m.first").alias("first"),
-            F.col("m.last").alias("last"),
-            F.col("m.step").alias("step"),
-            F.flatten("m.params").alias("params"),
-        )
+        rows.groupBy(SERIES, "_part")
+        .cogroup(grouped.groupBy(SERIES, GROUP))
+        .applyInPandas(_fitter(learner), MODEL_SCHEMA)
+    )
+
+
+def _fitter(learner: Learner):
+    def run(key, blocks: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+        idx, y, x = _joined(blocks.sort_values(BLOCK), len(learner.names))
+        seconds, params = [], []
+        for first, last in zip(models["first"], models["last"], strict=True):
+            start = time.perf_counter()
+            a, b = np.searchsorted(idx, (first, last + 1))
+            fitted = fit_here(learner, x[a:b], y[a:b], last - idx[a:b]) if a < b else []
+            seconds.append(time.perf_counter() - start)
+            params.append(fitted)
+        return models.drop(columns=[GROUP]).assign(done=True, seconds=seconds, params=params)
+
+    return run
+
+
+def _joined(blocks: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, labels and features of blocks in order."""
+    idx = np.concatenate([np.empty(0, np.int64), *blocks["idx"]])
+    y = np.concatenate([np.empty(0), *blocks["y"]])
+    x = np.concatenate([np.empty(0), *blocks["x"]])
+    return idx, y, x.reshape(len(y), width)
+
+
+# --- in passes ------------------------------------------------------------------------------
+
+
+def _in_passes(chunks: DataFrame, models: DataFrame, learner: Learner, label: str) -> DataFrame:
+    """One pass is one job: sums per model and task, then an update per model.
+
+    Blocks of rows stay in memory in the partitioning that the join needs; only the state of
+    the models moves.  Where rows carry a state (scores of finished trees), it is written
+    again every ``KEEP_ROUNDS`` rounds, and the finished trees go to a table of their own, so
+    that a pass costs the same however many came before.
+    """
+    models = stage(models.drop("params").mapInPandas(_starter(learner), WORK_SCHEMA), label)
+    buckets = max(1, -(-models.count() // MODELS_PER_BUCKET))
+    bucket = F.pmod(F.xxhash64(SERIES, "fold"), F.lit(buckets))
+    update = _updater(learner)
+    held = _Held(_carried(chunks, models, learner) if learner.keeps_rows else chunks, learner, label)
+    passes, finished = 0, []
+    often = KEEP_ROUNDS * learner.passes_a_round if learner.keeps_rows else 0
+    try:
+        while True:
+            stats = held.sums(models.filter("not done")).withColumn(BUCKET, bucket)
+            updated = (
+                stats.groupBy(BUCKET)
+                .cogroup(models.withColumn(BUCKET, bucket).groupBy(BUCKET))
+                .applyInPandas(update, WORK_SCHEMA)
+            )
+            before, models = models, stage(updated, label)
+            drop_stage(before)
+            passes += 1
+            if models.filter("not done").isEmpty():
+                break
+            if often and passes % often == 0:
+                held.keep(models)
+                kept = models.mapInPandas(_forgetter(learner), f"{WORK_SCHEMA}, finished binary")
+                before, kept = models, stage(kept, f"{label}-kept")
+                finished.append(kept.select(SERIES, "fold", F.lit(passes).alias("at"), "finished"))
+                models = stage(kept.drop("finished"), label)
+                drop_stage(before)
+    finally:
+        held.drop()
+    one = F.struct("at", "finished")
+    none = models.select(SERIES, "fold", F.lit(-1).alias("at"), F.lit(b"").alias("finished"))
+    earlier = (
+        reduce(DataFrame.unionByName, finished, none)
+        .groupBy(SERIES, "fold")
+        .agg(F.sort_array(F.collect_list(one))["finished"].alias("earlier"))
     )
+    return models.join(earlier, [SERIES, "fold"]).mapInPandas(_finisher(learner), MODEL_SCHEMA)
+
+
+class _Held:
+    """The rows of the passes, staged and in memory."""
+
+    def __init__(self, rows: DataFrame, learner: Learner, label: str):
+        self.learner, self.label = learner, label
+        self.keys = [SERIES, "fold", BLOCK] if learner.keeps_rows else [SERIES, BLOCK]
+        self.files, self.rows = None, None
+        self._hold(stage(rows, f"{label}-rows"))
+
+    def _hold(self, files: DataFrame) -> None:
+        self.drop()
+        self.files = files
+        parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.rows = files.repartition(max(parts, files.rdd.getNumPartitions()), *self.keys).persist()
+
+    def sums(self, models: DataFrame) -> DataFrame:
+        if self.learner.keeps_rows:
+            pairs = self.rows.join(_on_blocks(models, "work"), self.keys)
+            return pairs.mapInPandas(_summer(self.learner, _own_rows), STATS_SCHEMA)
+        # folds share the rows of a block: each block once, beside all models that want it
+        one = F.struct("fold", "first", "last", "aux", "work")
+        spread = _on_blocks(models, "first", "last", "aux", "work")
+        wanted = spread.groupBy(SERIES, BLOCK).agg(F.sort_array(F.collect_list(one)).alias("m"))
+        pairs = self.rows.join(wanted, self.keys)
+        return pairs.mapInPandas(_summer(self.learner, _shared_rows), STATS_SCHEMA)
+
+    def keep(self, models: DataFrame) -> None:
+        pairs = self.rows.join(_on_blocks(models, "work"), self.keys)
+        self._hold(stage(pairs.mapInPandas(_keeper(self.learner), ROWS_SCHEMA), f"{self.label}-rows"))
+
+    def drop(self) -> None:
+        if self.files is not None:
+            self.rows.unpersist()
+            drop_stage(self.files)
+
+
+def _on_blocks(models: DataFrame, *more: str | Column) -> DataFrame:
+    """A model beside each block of its window, so that a long window is many keys."""
+    blocks = F.sequence(block_of("first", PACK_ROWS), block_of("last", PACK_ROWS))
+    return models.select(SERIES, "fold", F.explode(blocks).alias(BLOCK), *more)
+
+
+def _carried(chunks: DataFrame, models: DataFrame, learner: Learner) -> DataFrame:
+    """Rows of each (series, fold, block), made ready for the learner."""
+    width = len(learner.names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for block, row in zip(pdf[BLOCK], pdf.itertuples(index=False), strict=True):
+                idx, y = np.asarray(row.idx), np.asarray(row.y)
+                x = np.asarray(row.x, dtype=np.float64).reshape(len(y), width)
+                a, b = np.searchsorted(idx, (row.first, row.last + 1))
+                if a < b:
+                    aux = np.asarray(row.aux)
+                    ready = learner.rows(x[a:b], y[a:b], row.last - idx[a:b], aux)
+                    out.append((getattr(row, SERIES), row.fold, block, dumps(learner, ready)))
+            yield pd.DataFrame(out, columns=[SERIES, "fold", BLOCK, "state"])
+
+    spread = _on_blocks(models, "first", "last", "aux")
+    return chunks.join(spread, [SERIES, BLOCK]).mapInPandas(run, ROWS_SCHEMA)
+
+
+def _starter(learner: Learner):
+    def run(batches):
+        for pdf in batches:
+            work = [dumps(learner, learner.start(np.asarray(a))) for a in pdf["aux"]]
+            yield pdf.assign(work=work)
+
+    return run
+
 
+def _own_rows(row, learner: Learner):
+    """The one model of a row's state."""
+    yield int(row.fold), row.work, loads(learner, row.state)
 
-MapFn = Callable[[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray, np.ndarray], np.ndarray]
-ReduceFn = Callable[[np.ndarray, int, np.ndarray, np.ndarray], tuple[np.ndarray, bool]]
 
+def _shared_rows(row, learner: Learner):
+    """The models that train on a block."""
+    idx, y = np.asarray(row.idx), np.asarray(row.y)
+    x = np.asarray(row.x, dtype=np.float64).reshape(len(y), len(learner.names))
+    for m in row.m:
+        a, b = np.searchsorted(idx, (m["first"], m["last"] + 1))
+        if a < b:
+            aux = np.asarray(m["aux"], dtype=np.float64)
+            yield int(m["fold"]), m["work"], learner.rows(x[a:b], y[a:b], m["last"] - idx[a:b], aux)
 
-def _summer(map_fn: MapFn):
+
+def _summer(learner: Learner, parts):
     """Sum the statistics of every model over the blocks of a partition."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[str, int], np.ndarray] = {}
+        sums: dict[tuple[str, int], list] = {}
         held = 0
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                idx, y = np.asarray(row.idx), np.asarray(row.y)
-                x = np.asarray(row.x, dtype=np.float64).reshape(len(y), -1)
-                folds = np.asarray(row.fold)
-                params = _per_fold(row.params, len(folds))
-                aux = _per_fold(row.aux, len(folds))
-                for k, fold in enumerate(folds):
-                    a = np.searchsorted(idx, row.first[k], side="left")
-                    b = np.searchsorted(idx, row.last[k], side="right")
-                    if a >= b:
-                        continue
-                    to_end = row.last[k] - idx[a:b]
-                    stats = map_fn(x[a:b], y[a:b], to_end, int(row.step[k]), params[k], aux[k])
-                    key = (getattr(row, SERIES), int(fold))
+                start = time.perf_counter()
+                for fold, work, rows in parts(row, learner):
+                    stats = learner.sums(rows, loads(learner, work))
+                    took, start = time.perf_counter() - start, time.perf_counter()
+                    key = (getattr(row, SERIES), fold)
                     if key in sums:
-                        sums[key] += stats
+                        sums[key][0] += took
+                        sums[key][1] = sums[key][1] + stats
                     else:
-                        sums[key] = stats
+                        sums[key] = [took, stats]
                         held += len(stats)
                 if held > FLUSH_VALUES:
                     yield _frame(sums)
@@ -165,80 +447,72 @@ def _summer(map_fn: MapFn):
     return run
 
 
-def _frame(sums: dict[tuple[str, int], np.ndarray]) -> pd.DataFrame:
-    return pd.DataFrame(
-        {
-            SERIES: [k[0] for k in sums],
-            "fold": [k[1] for k in sums],
-            "stats": list(sums.values()),
-        }
-    )
+def _frame(sums: dict[tuple[str, int], list]) -> pd.DataFrame:
+    rows = [(s, f, took, stats) for (s, f), (took, stats) in sums.items()]
+    return pd.DataFrame(rows, columns=[SERIES, "fold", "seconds", "stats"])
 
 
-def _updater(reduce_fn: ReduceFn):
+def _updater(learner: Learner):
     """Update the models of one bucket from their sums."""
 
     def run(key, stats: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
-        totals: dict[tuple[str, int], np.ndarray] = {}
-        for name, fold, part in zip(stats[SERIES], stats["fold"], stats["stats"], strict=True):
-            k = (name, int(fold))
-            totals[k] = totals[k] + part if k in totals else np.asarray(part)
-        steps, done, params = [], [], []
+        totals: dict[tuple[str, int], list] = {}
+        for s, f, took, part in zip(*(stats[c] for c in (SERIES, "fold", "seconds", "stats")), strict=True):
+            k = (s, int(f))
+            if k in totals:
+                totals[k][0] += took
+                totals[k][1] = totals[k][1] + part
+            else:
+                totals[k] = [took, np.asarray(part)]
+        done, seconds, works = [], [], []
         for row in models.itertuples(index=False):
+            start = time.perf_counter()
             total = totals.get((getattr(row, SERIES), int(row.fold)))
             if total is None:  # finished, or nothing to train on
-                new, over = row.params, True
+                work, over, spent = row.work, True, 0.0
             else:
-                args = int(row.step), np.asarray(row.params), np.asarray(row.aux)
-                new, over = reduce_fn(total, *args)
-            steps.append(row.step + (total is not None))
+                state, over = learner.update(total[1], loads(learner, row.work), np.asarray(row.aux))
+                work, spent = dumps(learner, state), total[0]
+            works.append(work)
             done.append(bool(over))
-            params.append(new)
-        return models.drop(columns=BUCKET).assign(step=steps, done=done, params=params)
+            seconds.append(row.seconds + spent + time.perf_counter() - start)
+        return models.drop(columns=BUCKET).assign(work=works, done=done, seconds=seconds)
 
     return run
 
 
-def _per_fold(cell, folds: int) -> np.ndarray:
-    flat = np.asarray(cell, dtype=np.float64)
-    return flat.reshape(folds, len(flat) // folds)
+def _keeper(learner: Learner):
+    def run(batches):
+        for pdf in batches:
+            states = []
+            for state, work in zip(pdf["state"], pdf["work"], strict=True):
+                rows = loads(learner, state)
+                learner.keep(rows, loads(learner, work))
+                states.append(dumps(learner, rows))
+            yield pdf.drop(columns="work").assign(state=states)
 
+    return run
 
-def fit(
-    chunks: DataFrame,
-    models: DataFrame,
-    map_fn: MapFn,
-    reduce_fn: ReduceFn,
-    passes: int,
-    label: str,
-) -> DataFrame:
-    """Run passes until every model is done or ``passes`` are spent.
 
-    ``chunks`` comes from :func:`stage`; it is kept in memory, partitioned as the join
-    with the models needs it, so a pass only moves models and sums.
-    """
-    spark = chunks.sparkSession
-    run, update = _summer(map_fn), _updater(reduce_fn)
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = chunks.agg(F.count("*"), F.sum(F.size("x")) * 8).first()
-    parts = max(1, min(width, -(-size[0] // BLOCKS_PER_TASK)), -(-(size[1] or 0) // TASK_BYTES))
-    chunks = chunks.repartition(parts, SERIES, BLOCK).persist()
-    try:
-        models = stage(models, label)
-        buckets = max(1, -(-models.count() // MODELS_PER_BUCKET))
-        bucket = F.pmod(F.xxhash64(SERIES, "fold"), F.lit(buckets))
-        for i in range(passes):
-            pairs = chunks.join(_on_blocks(models), [SERIES, BLOCK])
-            stats = pairs.mapInPandas(run, STATS_SCHEMA).withColumn(BUCKET, bucket)
-            updated = (
-                stats.groupBy(BUCKET)
-                .cogroup(models.withColumn(BUCKET, bucket).groupBy(BUCKET))
-                .applyInPandas(update, MODEL_SCHEMA)
-            )
-            models = cut_lineage(updated)
-            # one small look per few passes tells whether anything is left to do
-            if i % 4 == 3 and models.filter("not done").isEmpty():
-                break
-    finally:
-        chunks.unpersist()
-    return models
+def _forgetter(learner: Learner):
+    def run(batches):
+        for pdf in batches:
+            pairs = [learner.kept(loads(learner, w)) for w in pdf["work"]]
+            works, finished = ([dumps(learner, p[i]) for p in pairs] for i in (0, 1))
+            yield pdf.assign(work=works, finished=finished)
+
+    return run
+
+
+def _finisher(learner: Learner):
+    def run(batches):
+        for pdf in batches:
+            params = []
+            for work, aux, earlier in zip(pdf["work"], pdf["aux"], pdf["earlier"], strict=True):
+                before = [trees for part in earlier if part for trees in loads(learner, part)]
+                more = (before,) if learner.keeps_rows else ()
+                params.append(learner.params(loads(learner, work), np.asarray(aux), *more))
+            none = [[]] * len(pdf)
+            yield pdf.drop(columns=["work", "earlier"]).assign(aux=none, params=params)
+
+    return run

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from panelcast import config as C
 from panelcast.functions.calendar import PERIODS, Freq, cyclic_encoder
 from panelcast.models.forecast import Model
+from panelcast.models.forest import QuantileForest
 from panelcast.models.linear import LinearQuantile
-from panelcast.models.trees import BoostedQuantile, QuantileForest
+from panelcast.models.trees import BoostedQuantile
 from panelcast.operators.features import FeatureSpec, offset_name, offsets
 
 
@@ -34,8 +35,8 @@ class Setup:
 # Hyper-parameters of the workload.
 BOOSTING = {
     "lgbm": {
-        "D": {"max_leaves": 15, "min_child": 50, "penalty": 1.0, "depth": 4, "subsample": 0.9},
-        "h": {"max_leaves": 20, "min_child": 200, "penalty": 2.0, "depth": 5, "subsample": 0.8},
+        "D": {"max_leaves": 15, "min_child": 50, "penalty": 1.0, "depth": 9, "subsample": 0.9},
+        "h": {"max_leaves": 20, "min_child": 200, "penalty": 2.0, "depth": 12, "subsample": 0.8},
     },
     "xgb-custom": {
         "D": {"depth": 6, "penalty": 1e-3, "min_child": 1, "subsample": 0.9},
@@ -47,6 +48,7 @@ BOOSTING = {
     },
 }
 GROWTH = {"lgbm": "leaf", "xgb-custom": "depth", "catboost": "symmetric"}
+COLUMN_DRAW = {"lgbm": "tree", "xgb-custom": "depth", "catboost": "depth"}
 COMMON = {"rounds": 250, "learning_rate": 0.1, "colsample": 0.6}
 HOLDOUT = {"D": 30, "h": 24 * 7}
 NAMES = ("benchmark", "quantreg", "xgboost", "xgb-custom", "lgbm", "catboost", "qrf")
@@ -88,6 +90,7 @@ def get_model(
             tuple(spec.names),
             levels=levels,
             growth=GROWTH[name],
+            column_draw=COLUMN_DRAW[name],
             holdout=HOLDOUT[freq.code],
             **settings,
         )
@@ -95,7 +98,7 @@ def get_model(
     if name == "qrf":
         forest_lags = C.FOREST_DAILY_LAGS if daily else lags
         spec = replace(FeatureSpec(freq, forest_lags, x_cols, lag_cols=()), **feature)
-        settings = {"trees": 100, "depth": 8, "min_child": 1} | overrides
+        settings = {"trees": 100, "min_child": 1} | overrides
         return Setup(name, QuantileForest(tuple(spec.names), levels=levels, **settings), spec)
     if name == "xgboost":
         return direct_trees(freq, x_cols, levels, chunk or (7 if daily else 24), **overrides)

@@ -1,8 +1,8 @@
-"""Quantile boosting and quantile forests on binned features.
+"""Quantile boosting on binned features.
 
-Trees grow level by level: a pass sums gradients (or labels) per node, feature and
-bin, and the update picks the splits.  All series, folds, levels and, in a forest,
-all trees advance in the same pass.
+A tree grows from sums of gradients per (leaf, feature, bin).  Leaves wait with their
+histograms: only the smaller child of a split is summed, its sibling is the difference.  All
+quantile levels of a model grow their trees side by side.
 """
 
 from __future__ import annotations
@@ -14,100 +14,85 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.config import LEVELS
-from panelcast.models.passes import fit
+from panelcast.models.passes import PACK_ROWS, fit
 from panelcast.operators.blocks import BLOCK, block_of
 from panelcast.operators.panel import SERIES
 
-BINS = 32
-LABEL_BINS = 128
-RESIDUAL_BINS = 256
+LABEL_BINS = 256  # quantiles of the label that the first prediction is read from
+RESIDUAL_BINS = 1024  # finer near zero, see residual_bin
+NODE = 4  # feature (-1 in a leaf), largest value that goes left, left child, value
+SMALLEST_GAIN = 1e-9
+SKETCH_K = 800
 
 
-def bin_edges(
-    frame: DataFrame, models: DataFrame, names: list[str], target: str = "y"
+# --- bins -----------------------------------------------------------------------------------
+
+
+def exact_constants(x: np.ndarray, y: np.ndarray, bins: int) -> np.ndarray:
+    """Upper edges of the inner bins per feature, then the label grid."""
+    inner = np.arange(1, bins) / bins
+    edges = np.quantile(x, inner, axis=0, method="inverted_cdf").T
+    return np.concatenate([edges.ravel(), label_grid(y)])
+
+
+def label_grid(y: np.ndarray) -> np.ndarray:
+    return np.quantile(y, np.linspace(0, 1, LABEL_BINS + 1), method="inverted_cdf")
+
+
+def sketched_constants(
+    frame: DataFrame, models: DataFrame, names: tuple[str, ...], bins: int, target: str = "y"
 ) -> DataFrame:
-    """Per series and fold: upper edges of the feature bins, then the label grid, in one array.
+    """``series_id, fold, aux`` as :func:`exact_constants`, from mergeable sketches.
 
-    Only the rows that the fold trains on are looked at.  Bounded quantile sketches,
-    combined on the map side; rows meet their folds block by block.
+    One sketch per (series, block) and column serves all folds that hold the whole block;
+    only the blocks at a window's two ends are sketched for the fold itself.  No row is
+    copied per fold.
     """
-    clean = frame.dropna("any", subset=[*names, target])
-    inner = [i / BINS for i in range(1, BINS)]
-    grid = [i / LABEL_BINS for i in range(LABEL_BINS + 1)]
-    cells = [
-        F.percentile_approx(F.col(n).cast("double"), inner, F.lit(2000)).alias(f"_e{i}")
-        for i, n in enumerate(names)
-    ]
-    label = F.percentile_approx(F.col(target).cast("double"), grid, F.lit(5000)).alias("_y")
-    spread = models.select(
-        SERIES,
-        "fold",
-        "first",
-        "last",
-        F.explode(F.sequence(block_of("first"), block_of("last"))).alias(BLOCK),
+    columns = [*names, target]
+    clean = frame.dropna("any", subset=columns).withColumn(BLOCK, block_of("idx", PACK_ROWS))
+    cells = [F.col(c).cast("double") for c in columns]
+    sketches = [F.kll_sketch_agg_double(c, SKETCH_K).alias(f"_s{i}") for i, c in enumerate(cells)]
+    whole = clean.groupBy(SERIES, BLOCK).agg(*sketches)
+    a, b = block_of("first", PACK_ROWS), block_of("last", PACK_ROWS)
+    folds = models.select(SERIES, "fold", "first", "last", F.explode(F.sequence(a, b)).alias(BLOCK))
+    start = F.col(BLOCK) * PACK_ROWS
+    inside = (start >= F.col("first")) & (start + PACK_ROWS - 1 <= F.col("last"))
+    full = whole.join(folds.filter(inside), [SERIES, BLOCK])
+    part = clean.join(folds.filter(~inside), [SERIES, BLOCK])
+    ends = (
+        part.filter(F.col("idx").between(F.col("first"), F.col("last")))
+        .groupBy(SERIES, "fold", BLOCK)
+        .agg(*sketches)
     )
-    rows = clean.withColumn(BLOCK, block_of("idx")).join(spread, [SERIES, BLOCK])
-    inside = rows.filter(F.col("idx").between(F.col("first"), F.col("last")))
-    edges = inside.groupBy(SERIES, "fold").agg(*cells, label)
-    return edges.select(
-        SERIES,
-        "fold",
-        F.concat(*[F.col(f"_e{i}") for i in range(len(names))], F.col("_y")).alias("aux"),
+    kept = [SERIES, "fold", *(f"_s{i}" for i in range(len(columns)))]
+    merged = (
+        full.select(kept)
+        .unionByName(ends.select(kept))
+        .groupBy(SERIES, "fold")
+        .agg(*(F.kll_merge_agg_double(f"_s{i}", SKETCH_K).alias(f"_s{i}") for i in range(len(columns))))
     )
+    inner = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    grid = F.array(*[F.lit(i / LABEL_BINS) for i in range(LABEL_BINS + 1)])
+    parts = [F.kll_sketch_get_quantile_double(f"_s{i}", inner) for i in range(len(names))]
+    parts.append(F.kll_sketch_get_quantile_double(f"_s{len(names)}", grid))
+    return merged.select(SERIES, "fold", F.concat(*parts).alias("aux"))
 
 
-def _split_aux(aux: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def split_aux(aux: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
     """Feature edges (features by inner edges) and the label grid."""
-    label = aux[-(LABEL_BINS + 1) :]
-    return aux[: -(LABEL_BINS + 1)].reshape(-1, BINS - 1), label
+    cut = len(aux) - (LABEL_BINS + 1)
+    return aux[:cut].reshape(features, -1), aux[cut:]
 
 
-def _to_bins(x: np.ndarray, aux: np.ndarray) -> np.ndarray:
-    edges, _ = _split_aux(aux)
-    out = np.empty(x.shape, dtype=np.uint8)
+def to_bins(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """One byte per value, where there are no more than 256 bins."""
+    out = np.empty(x.shape, dtype=np.uint8 if edges.shape[1] < 256 else np.uint16)
     for j in range(x.shape[1]):
         out[:, j] = np.searchsorted(edges[j], x[:, j], side="left")
     return out
 
 
-def _walk(xb: np.ndarray, feature: np.ndarray, threshold: np.ndarray, depth: int) -> np.ndarray:
-    """Node within level ``depth`` of a heap-ordered tree, for every row."""
-    node = np.zeros(len(xb), dtype=np.int64)
-    rows = np.arange(len(xb))
-    for level in range(depth):
-        heap = node + (1 << level) - 1
-        right = xb[rows, feature[heap].astype(np.int64)] > threshold[heap]
-        node = 2 * node + right
-    return node
-
-
-def _histogram(xb, node, n_nodes, values: list[np.ndarray]) -> np.ndarray:
-    """Sums of each value per (node, feature, bin)."""
-    m, p = xb.shape
-    cell = (node[:, None] * p + np.arange(p)) * BINS + xb
-    size = n_nodes * p * BINS
-    flat = cell.ravel()
-    sums = [np.bincount(flat, np.repeat(v, p), size).reshape(n_nodes, p, BINS) for v in values]
-    return np.stack(sums, axis=-1)
-
-
-def _gains(hist: np.ndarray, min_child: float, penalty: float) -> np.ndarray:
-    """Gain of every cut; ``hist[..., bin, (weight, sum)]``, -inf where not allowed."""
-    left = np.cumsum(hist, axis=-2)
-    total = left[..., -1:, :]
-    right = total - left
-    nl, nr, n = left[..., 0], right[..., 0], total[..., 0]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = (
-            left[..., 1] ** 2 / (nl + penalty)
-            + right[..., 1] ** 2 / (nr + penalty)
-            - total[..., 1] ** 2 / (n + penalty)
-        )
-    allowed = (nl >= min_child) & (nr >= min_child)
-    return np.where(allowed, gain, -np.inf)
-
-
-def _uniform(idx: np.ndarray, seed: int) -> np.ndarray:
+def uniform(idx: np.ndarray, seed: int) -> np.ndarray:
     """A number in [0, 1) per row that depends only on the row and the seed."""
     z = idx.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -115,13 +100,141 @@ def _uniform(idx: np.ndarray, seed: int) -> np.ndarray:
     return (z ^ (z >> np.uint64(31))).astype(np.float64) / 2.0**64
 
 
+def residual_bin(r: np.ndarray, span: float) -> np.ndarray:
+    """Bins finer near zero: square root of the residual over twice the label range."""
+    u = np.sign(r) * np.sqrt(np.minimum(np.abs(r) / span, 1.0))
+    return np.minimum(((u + 1) / 2 * RESIDUAL_BINS).astype(np.int64), RESIDUAL_BINS - 1)
+
+
+def residual_quantiles(counts: np.ndarray, span: float, tau: float) -> np.ndarray:
+    """Quantile of each row of residual counts; 0 where there are none."""
+    cdf = np.cumsum(counts, axis=1)
+    total = cdf[:, -1]
+    k = (cdf < tau * total[:, None]).sum(axis=1).clip(max=RESIDUAL_BINS - 1)
+    rows = np.arange(len(counts))
+    inside = counts[rows, k]
+    part = (tau * total - (cdf[rows, k] - inside)) / np.maximum(inside, 1e-12)
+    u = 2 * (k + part.clip(0, 1)) / RESIDUAL_BINS - 1
+    return np.where(total > 0, np.sign(u) * u * u * span, 0.0)
+
+
+# --- rows and trees -------------------------------------------------------------------------
+
+
+class Growing:
+    """A tree: its nodes, the open leaves' histograms (counts and gradients up to each bin)
+    and what is summed next.  Each level has its own, but for symmetric growth, where all
+    levels share one and a histogram holds the gradients of each."""
+
+    def __init__(self):
+        self.nodes = [[-1, 0, 0, 0.0]]  # feature, last bin that goes left, left child, value
+        self.depth = [0]
+        self.hist: dict[int, np.ndarray] = {}
+        self.best: dict[int, tuple[float, int, int]] = {}  # gain, column, bin of open leaves
+        self.wanted = [0]  # leaves to be summed
+        self.sibling: dict[int, tuple[int, np.ndarray]] = {}
+
+    def split(self, leaf: int, column: int, feature: int, cut: int) -> None:
+        """Children follow one another; the one with fewer rows is to be summed."""
+        left = len(self.nodes)
+        self.nodes[leaf][:3] = [feature, cut, left]
+        for _ in (0, 1):
+            self.nodes.append([-1, 0, 0, 0.0])
+            self.depth.append(self.depth[leaf] + 1)
+        hist = self.hist.pop(leaf)
+        self.best.pop(leaf, None)
+        small = left if 2 * hist[0, column, cut] <= hist[0, column, -1] else left + 1
+        self.wanted.append(small)
+        self.sibling[small] = (2 * left + 1 - small, hist)
+
+    def take(self, sums: np.ndarray) -> list[int]:
+        """Histograms of the wanted leaves, and of their siblings by difference; summed up
+        along the bins, which leaves differences right."""
+        new = []
+        for leaf, hist in zip(self.wanted, sums, strict=True):
+            self.hist[leaf] = hist = np.cumsum(hist, axis=2)
+            new.append(leaf)
+            if leaf in self.sibling:
+                other, parent = self.sibling.pop(leaf)
+                self.hist[other] = parent - hist
+                new.append(other)
+        self.wanted = []
+        return new
+
+    def close(self) -> None:
+        """No more splits."""
+        self.wanted, self.hist, self.best, self.sibling = [], {}, {}, {}
+
+    @property
+    def leaves(self) -> int:
+        return (len(self.nodes) + 1) // 2
+
+
+class Rows:
+    """Binned rows with the running score of all finished trees."""
+
+    def __init__(self, bins, y, to_end, base, structures: int):
+        self.bins, self.y, self.to_end = bins, y, to_end
+        self.score = np.tile(base, (len(y), 1))  # rows by levels
+        self.rounds = 0  # in the score
+        self.structures = structures  # trees with nodes of their own: one, or one per level
+        self._new_round()
+
+    def _new_round(self) -> None:
+        self.node = np.zeros((self.structures, len(self.y)), np.int32)
+        self.known = [1] * self.structures
+        self.drawn = None  # what is the same in all passes of a round
+
+    def __getstate__(self):
+        return self.bins, self.y, self.to_end, self.score, self.rounds, self.structures
+
+    def __setstate__(self, state):
+        self.bins, self.y, self.to_end, self.score, self.rounds, self.structures = state
+        self._new_round()
+
+    def follow(self, level: int, nodes: list) -> np.ndarray:
+        """The leaf of every row, moved on by the splits made since the last call."""
+        level = min(level, self.structures - 1)
+        node, known = self.node[level], self.known[level]
+        if known < len(nodes):
+            for parent, (feature, cut, left, _) in enumerate(nodes):
+                if feature >= 0 and left >= known:
+                    at = np.flatnonzero(node == parent)
+                    node[at] = left + (self.bins[at, feature] > cut)
+            self.known[level] = len(nodes)
+        return node
+
+    def absorb(self, trees: list) -> None:
+        """Add a round of finished trees, one per level, to the score."""
+        for t, nodes in enumerate(trees):
+            leaf = self.follow(t, nodes)
+            self.score[:, t] += np.array([n[3] for n in nodes])[leaf]
+        self.rounds += 1
+        self._new_round()
+
+
+class Boosting:
+    """State of a fit between passes; ``finished`` starts at round ``kept``."""
+
+    def __init__(self, base: np.ndarray, span: float, structures: int):
+        self.base, self.span, self.structures = base, span, structures
+        self.phase, self.round, self.kept = "grow", 0, 0
+        self.finished: list[list] = []  # per round and level: nodes
+        self.growing = [Growing() for _ in range(structures)]
+        self.fresh = True  # the round's first pass, which scores the held-out rows
+        self.best_loss, self.best_round = np.inf, 0
+
+
 @dataclass(frozen=True)
 class BoostedQuantile:
     """Gradient boosting of the pinball loss.
 
-    ``growth``: ``leaf`` keeps the best splits up to ``max_leaves``, ``depth`` splits
-    every node, ``symmetric`` uses one split per level for all nodes and levels of
-    quantiles.  ``patience`` turns early stopping on the last ``holdout`` rows on.
+    ``growth``: ``leaf`` splits the open leaf with the largest gain until there are
+    ``max_leaves``, ``depth`` splits every leaf of a depth, ``symmetric`` takes one split per
+    depth for all leaves and all levels of quantiles; none goes beyond ``depth``.  Columns
+    are drawn per tree, or per depth with ``column_draw="depth"``.  ``patience`` turns early
+    stopping on the last ``holdout`` rows on.  Bins are quantiles of the rows that a model
+    trains on; leaf values are residual quantiles read from ``RESIDUAL_BINS`` bins.
     """
 
     names: tuple[str, ...]
@@ -135,274 +248,309 @@ class BoostedQuantile:
     penalty: float = 1.0
     subsample: float = 1.0
     colsample: float = 1.0
+    column_draw: str = "tree"
     patience: int = 0
     holdout: int = 0
+    bins: int = 255
     seed: int = 0
     kind: str = "boosted"
+    keeps_rows: bool = True
 
     def __post_init__(self) -> None:
         if self.growth not in ("leaf", "depth", "symmetric"):
             raise ValueError(f"unknown growth: {self.growth}")
+        if self.column_draw not in ("tree", "depth"):
+            raise ValueError(f"unknown column draw: {self.column_draw}")
 
-    # params: base levels | best loss, best round, rounds built | trees
     @property
-    def _inner(self) -> int:
-        return (1 << self.depth) - 1
+    def _structures(self) -> int:
+        return 1 if self.growth == "symmetric" else len(self.levels)
 
     @property
-    def _tree_size(self) -> int:
-        return 2 * self._inner + (1 << self.depth)
-
-    def _unpack(self, params):
-        t = len(self.levels)
-        base, head = params[:t], params[t : t + 3]
-        trees = params[t + 3 :].reshape(t, self.rounds, self._tree_size)
-        return base, head, trees
-
-    def _tree(self, tree):
-        i = self._inner
-        return tree[:i], tree[i : 2 * i], tree[2 * i :]
-
-    def fit(self, chunks: DataFrame, models: DataFrame) -> DataFrame:
-        """``models`` with the bin edges of their rows as ``aux``.
-
-        With early stopping a last pass scores the last tree.
-        """
-        passes = 1 + self.rounds * (self.depth + 1) + bool(self.patience)
-        return fit(chunks, models, self._sums, self._update, passes, "boosted")
-
-    def _where(self, step: int) -> tuple[int, int]:
-        return divmod(step - 1, self.depth + 1)
-
-    def _scores(self, xb, base, trees, upto: int) -> np.ndarray:
-        out = np.tile(base, (len(xb), 1))
-        for t in range(len(self.levels)):
-            for k in range(upto):
-                feature, threshold, leaf = self._tree(trees[t, k])
-                out[:, t] += leaf[_walk(xb, feature, threshold, self.depth)]
-        return out
+    def passes_a_round(self) -> int:
+        return 1 + (self.max_leaves - 1 if self.growth == "leaf" else self.depth)
+
+    def fit(
+        self, chunks: DataFrame, models: DataFrame, frame=None, target="y", local_values=None
+    ) -> DataFrame:
+        """``frame`` holds the unpacked rows, for the bins of windows that no task holds."""
+
+        def constants(large: DataFrame) -> DataFrame:
+            return sketched_constants(frame, large, self.names, self.bins, target)
+
+        return fit(chunks, models, self, "boosted", constants, local_values)
+
+    # --- what the engine calls -----------------------------------------------------------
+
+    def states(self) -> tuple[type, ...]:
+        return Boosting, Growing, Rows
+
+    def constants(self, x, y) -> np.ndarray:
+        return exact_constants(x, y, self.bins)
 
-    def _sums(self, x, y, to_end, step, params, aux) -> np.ndarray:
-        _, grid = _split_aux(aux)
-        held = to_end < (self.holdout if self.patience else 0)
-        if step == 0:
-            return np.bincount(_label_bin(y[~held], grid), minlength=LABEL_BINS).astype(float)
-        base, _, trees = self._unpack(params)
-        rnd, level = self._where(step)
-        xb = _to_bins(x, aux)
-        score = self._scores(xb, base, trees, rnd)
+    def _base(self, aux) -> tuple[np.ndarray, float]:
+        _, grid = split_aux(aux, len(self.names))
+        base = np.interp(self.levels, np.linspace(0, 1, len(grid)), grid)
+        return base, max(2.0 * (grid[-1] - grid[0]), 1e-12)
+
+    def start(self, aux) -> Boosting:
+        # without rows there are no constants: the model stays empty
+        base = self._base(aux) if len(aux) else (np.empty(0), 1.0)
+        return Boosting(*base, self._structures)
+
+    def rows(self, x, y, to_end, aux) -> Rows:
+        edges, _ = split_aux(aux, len(self.names))
+        return Rows(to_bins(x, edges), y, to_end, self._base(aux)[0], self._structures)
+
+    def keep(self, rows: Rows, work: Boosting) -> None:
+        """Put the finished rounds into the rows' scores."""
+        for trees in work.finished[rows.rounds - work.kept :]:
+            rows.absorb(trees)
+
+    def kept(self, work: Boosting) -> tuple[Boosting, list]:
+        """The state without its finished rounds, and these."""
+        finished, work.finished = work.finished, []
+        work.kept = work.round
+        return work, finished
+
+    def sums(self, rows: Rows, work: Boosting) -> np.ndarray:
+        self.keep(rows, work)
+        held = rows.to_end < (self.holdout if self.patience else 0)
         taus = np.asarray(self.levels)
         loss = np.zeros(2)
-        if level == 0 and held.any():
-            r = y[held, None] - score[held]
+        if work.fresh and held.any():
+            r = rows.y[held, None] - rows.score[held]
             loss = np.array([np.maximum(taus * r, (taus - 1) * r).sum(), held.sum()])
-        if rnd == self.rounds:
+        if work.phase == "score":
             return loss
-        use = ~held
-        if self.subsample < 1 and level < self.depth:
-            use &= _uniform(to_end, self.seed * 1000 + rnd) < self.subsample
-        xb, y, score = xb[use], y[use], score[use]
         out = [loss]
-        for t, tau in enumerate(self.levels):
-            feature, threshold, _ = self._tree(trees[t, rnd])
-            node = _walk(xb, feature, threshold, level)
-            r = y - score[:, t]
-            if level < self.depth:
-                gradient = np.where(r > 0, tau, tau - 1)
-                out.append(
-                    _histogram(xb, node, 1 << level, [np.ones(len(y)), gradient]).ravel()
-                )
-            else:
-                cell = node * RESIDUAL_BINS + _residual_bin(r, grid)
-                out.append(np.bincount(cell, minlength=(1 << level) * RESIDUAL_BINS).astype(float))
+        if work.phase == "leaves":
+            for t in range(len(taus)):
+                tree = work.growing[min(t, work.structures - 1)]
+                leaf = rows.follow(t, tree.nodes)[~held].astype(np.int64)
+                r = (rows.y - rows.score[:, t])[~held]
+                cell = leaf * RESIDUAL_BINS + residual_bin(r, work.span)
+                size = len(tree.nodes) * RESIDUAL_BINS
+                out.append(np.bincount(cell, minlength=size).astype(float))
+            return np.concatenate(out)
+        if rows.drawn is None:
+            use = ~held
+            if self.subsample < 1:
+                use &= uniform(rows.to_end, self.seed * 1000 + work.round) < self.subsample
+            columns = self._columns(work.round)
+            cells = rows.bins[:, columns] + np.arange(len(columns)) * self.bins
+            rows.drawn = use, cells, (rows.y[:, None] <= rows.score).T
+        use, cells, below = rows.drawn
+        for t, tree in enumerate(work.growing):
+            leaf = rows.follow(t, tree.nodes)
+            for wanted in tree.wanted:
+                at = (leaf == wanted) & use
+                own = range(len(taus)) if work.structures == 1 else [t]
+                out += self._histogram(cells, at, [(taus[i], below[i]) for i in own])
         return np.concatenate(out)
 
-    def _update(self, sums, step, params, aux) -> tuple[np.ndarray, bool]:
-        _, grid = _split_aux(aux)
-        t = len(self.levels)
-        if step == 0:
-            base = _grid_quantiles(sums, grid, self.levels)
-            trees = np.zeros(t * self.rounds * self._tree_size)
-            return np.concatenate([base, [np.inf, 0, 0], trees]), False
-        params = params.copy()
-        _, head, trees = self._unpack(params)
-        rnd, level = self._where(step)
-        if level == 0 and self.patience and (self._stop(sums, head, rnd) or rnd == self.rounds):
-            return params, True
-        body = sums[2:].reshape(t, -1)
-        if level < self.depth:
-            self._split(body, trees[:, rnd], rnd, level)
-            return params, False
-        for i, tau in enumerate(self.levels):
-            counts = body[i].reshape(-1, RESIDUAL_BINS)
-            leaf = self._tree(trees[i, rnd])[2]
-            for k in np.flatnonzero(counts.sum(axis=1)):
-                leaf[k] = self.learning_rate * _residual_quantile(counts[k], grid, tau)
-        head[2] = rnd + 1
+    def _histogram(self, cells, at, levels) -> list[np.ndarray]:
+        """Counts, then summed gradients by level, per (column, bin); a gradient is tau or
+        tau - 1."""
+        size = cells.shape[1] * self.bins
+        count = np.bincount(cells[at].ravel(), minlength=size)
+        out = [count]
+        for tau, below in levels:
+            under = np.bincount(cells[at & below].ravel(), minlength=size)
+            out.append(tau * count - under)
+        return out
+
+    def update(self, sums, work: Boosting, aux) -> tuple[Boosting, bool]:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return self._update(sums, work)
+
+    def _update(self, sums, work: Boosting) -> tuple[Boosting, bool]:
+        loss, body = sums[:2], sums[2:]
+        if work.fresh and self.patience and self._stop(loss, work):
+            return work, True
+        work.fresh = False
+        if work.phase == "score":
+            return work, True
+        if work.phase == "grow":
+            columns = self._columns(work.round)
+            values = 1 + len(self.levels) // work.structures  # count and gradients
+            size, at = len(columns) * self.bins * values, 0
+            for tree in work.growing:
+                n = len(tree.wanted)
+                part = body[at : at + n * size].reshape(n, values, len(columns), self.bins)
+                at += n * size
+                new = tree.take(part)
+                if self.growth != "symmetric":
+                    self._rate(tree, new, work.round)
+            self._grow(work, columns)
+            if not any(tree.wanted for tree in work.growing):
+                work.phase = "leaves"
+            return work, False
+        at, done = 0, []
+        for t, tau in enumerate(self.levels):
+            nodes = work.growing[min(t, work.structures - 1)].nodes
+            n = len(nodes)
+            counts = body[at : at + n * RESIDUAL_BINS].reshape(n, RESIDUAL_BINS)
+            at += n * RESIDUAL_BINS
+            values = self.learning_rate * residual_quantiles(counts, work.span, tau)
+            done.append(
+                [[*node[:3], float(v) if node[0] < 0 else 0.0] for node, v in zip(nodes, values, strict=True)]
+            )
+        work.finished.append(done)
+        work.round += 1
+        work.growing = [Growing() for _ in range(work.structures)]
+        work.phase, work.fresh = "grow", True
         if not self.patience:
-            head[1] = head[2]
-        return params, rnd + 1 >= self.rounds and not self.patience
+            work.best_round = work.round
+        if work.round == self.rounds:
+            work.phase = "score"
+        return work, work.round == self.rounds and not self.patience
 
-    def _stop(self, sums, head, rnd) -> bool:
-        if not sums[1]:
+    def _stop(self, loss, work: Boosting) -> bool:
+        if not loss[1]:
             raise ValueError("no rows are held out for early stopping")
-        loss = sums[0] / sums[1]
-        if loss < head[0]:
-            head[0], head[1] = loss, rnd
-        return rnd - head[1] >= self.patience
-
-    def _split(self, body, trees, rnd, level) -> None:
-        t, p, nodes = len(self.levels), len(self.names), 1 << level
-        hist = body.reshape(t, nodes, p, BINS, 2)
-        gains = _gains(hist, self.min_child, self.penalty)
-        if self.colsample < 1:
-            rng = np.random.default_rng([self.seed, rnd])
-            keep = rng.permutation(p)[: max(1, round(self.colsample * p))]
-            gains[:, :, np.setdiff1d(np.arange(p), keep)] = -np.inf
-        heap = np.arange(nodes) + nodes - 1
+        mean = loss[0] / loss[1]
+        if mean < work.best_loss:
+            work.best_loss, work.best_round = mean, work.round
+        return work.round - work.best_round >= self.patience
+
+    # --- growth --------------------------------------------------------------------------
+
+    def _columns(self, rnd: int) -> np.ndarray:
+        """The columns that a round's trees may use."""
+        p = len(self.names)
+        if self.colsample >= 1 or self.column_draw == "depth":
+            return np.arange(p)
+        return np.sort(np.random.default_rng([self.seed, rnd]).permutation(p)[: self._drawn])
+
+    @property
+    def _drawn(self) -> int:
+        return max(1, round(self.colsample * len(self.names)))
+
+    def _allowed(self, rnd: int, depth: int) -> np.ndarray | slice:
+        """Of a round's columns those that a depth may use."""
+        if self.colsample >= 1 or self.column_draw == "tree":
+            return slice(None)
+        rng = np.random.default_rng([self.seed, rnd, depth])
+        return np.sort(rng.permutation(len(self.names))[: self._drawn])
+
+    def _gains(self, left: np.ndarray) -> np.ndarray:
+        """Gain of every (column, bin) as a cut; -inf where it may not be made."""
+        n, nl = left[0, 0, -1], left[0]
+        nr = n - nl
+        below = above = whole = 0.0
+        for gl in left[1:]:  # one level, or all that share the tree
+            g = gl[0, -1]
+            gr = g - gl
+            below, above, whole = below + gl * gl, above + gr * gr, whole + g * g
+        gain = below / (nl + self.penalty) + above / (nr + self.penalty)
+        gain -= whole / max(n + self.penalty, 1e-12)
+        gain[(nl < self.min_child) | (nr < self.min_child)] = -np.inf
+        return gain
+
+    def _place(self, at: int, allowed: np.ndarray | slice) -> tuple[int, int]:
+        """Column and bin of a place in the gains of the allowed columns."""
+        column, cut = divmod(at, self.bins)
+        return (column if isinstance(allowed, slice) else int(allowed[column])), cut
+
+    def _rate(self, tree: Growing, leaves: list[int], rnd: int) -> None:
+        for leaf in leaves:
+            hist = tree.hist[leaf]
+            if tree.depth[leaf] >= self.depth or hist[0, 0, -1] < 2 * self.min_child:
+                continue
+            allowed = self._allowed(rnd, tree.depth[leaf])
+            gain = self._gains(hist[:, allowed])
+            at = int(gain.argmax())
+            top = float(gain.flat[at])
+            if top > SMALLEST_GAIN:
+                tree.best[leaf] = (top, *self._place(at, allowed))
+
+    def _grow(self, work: Boosting, columns: np.ndarray) -> None:
         if self.growth == "symmetric":
-            # nodes that cannot take a cut add nothing to it
-            joint = np.where(np.isfinite(gains), gains, 0.0).sum(axis=(0, 1))
-            best = int(joint.argmax())
-            feature, cut = divmod(best, BINS) if joint.flat[best] > 0 else (0, BINS)
-            for i in range(t):
-                f, c, _ = self._tree(trees[i])
-                f[heap], c[heap] = feature, cut
+            self._grow_together(work, columns)
             return
-        flat = gains.reshape(t, nodes, -1)
-        best, top = flat.argmax(axis=2), flat.max(axis=2)
-        for i in range(t):
-            f, c, _ = self._tree(trees[i])
-            split = top[i] > 1e-12
+        for tree in work.growing:
             if self.growth == "leaf":
-                above = c[: nodes - 1]
-                leaves = 1 + int((above < BINS).sum())
-                order = np.argsort(-top[i])[: max(self.max_leaves - leaves, 0)]
-                chosen = np.zeros(nodes, dtype=bool)
-                chosen[order] = True
-                split &= chosen
-            f[heap] = np.where(split, best[i] // BINS, 0)
-            c[heap] = np.where(split, best[i] % BINS, BINS)
-
-    def predict(self, x, params, aux) -> np.ndarray:
-        base, head, trees = self._unpack(params)
-        return self._scores(_to_bins(x, aux), base, trees, int(head[1]))
+                chosen = sorted(tree.best, key=lambda leaf: -tree.best[leaf][0])[:1]
+                if tree.leaves >= self.max_leaves:
+                    chosen = []
+            else:
+                chosen = list(tree.best)
+            for leaf in chosen:
+                _, column, cut = tree.best[leaf]
+                tree.split(leaf, column, int(columns[column]), cut)
+            full = tree.leaves >= self.max_leaves and self.growth == "leaf"
+            deep = self.growth == "depth" and max(tree.depth) >= self.depth
+            if full or deep or not chosen:
+                tree.close()
+
+    def _grow_together(self, work: Boosting, columns: np.ndarray) -> None:
+        """One cut for all open leaves; a leaf that cannot take it adds nothing to its gain."""
+        tree = work.growing[0]
+        depth = max(tree.depth)
+        allowed = self._allowed(work.round, depth)
+        joint = np.zeros(1)
+        for hist in tree.hist.values():
+            if hist[0, 0, -1] >= 2 * self.min_child:
+                gain = self._gains(hist[:, allowed])
+                joint = joint + np.where(np.isfinite(gain), gain, 0.0)
+        at = int(np.argmax(joint))
+        if np.ravel(joint)[at] > SMALLEST_GAIN:
+            column, cut = self._place(at, allowed)
+            for leaf in list(tree.hist):
+                tree.split(leaf, column, int(columns[column]), cut)
+            if depth + 1 < self.depth:
+                return
+        tree.close()
+
+    # --- the model -----------------------------------------------------------------------
+
+    def params(self, work: Boosting, aux, earlier: list = ()) -> np.ndarray:
+        """``rounds used, base, roots (rounds by levels), nodes``; cuts as feature values."""
+        if not len(work.base):
+            return np.empty(0)
+        edges, _ = split_aux(aux, len(self.names))
+        edges = np.column_stack([edges, np.full(len(edges), np.inf)])
+        trees = [nodes for rnd in [*earlier, *work.finished][: work.best_round] for nodes in rnd]
+        sizes = [len(nodes) for nodes in trees]
+        roots = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(float)
+        table = np.array([n for nodes in trees for n in nodes], dtype=float).reshape(-1, NODE)
+        inner = table[:, 0] >= 0
+        table[inner, 2] += np.repeat(roots, sizes)[inner]
+        table[inner, 1] = edges[table[inner, 0].astype(int), table[inner, 1].astype(int)]
+        return np.concatenate([[work.best_round], work.base, roots, table.ravel()])
+
+    def _tables(self, params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        params, t = np.asarray(params), len(self.levels)
+        rounds = int(params[0])
+        base, rest = params[1 : 1 + t], params[1 + t :]
+        return base, rest[: rounds * t].astype(np.int64), rest[rounds * t :].reshape(-1, NODE)
+
+    def predict(self, x: np.ndarray, params: np.ndarray, aux: np.ndarray) -> np.ndarray:
+        base, roots, nodes = self._tables(params)
+        leaf = walk(np.asarray(x, dtype=float), roots, nodes)
+        values = nodes[leaf, 3].reshape(len(x), -1, len(self.levels))
+        return base + values.sum(axis=1)
 
     def importance(self, params) -> np.ndarray:
         """Splits per level and feature."""
-        _, head, trees = self._unpack(params)
+        _, roots, nodes = self._tables(params)
         out = np.zeros((len(self.levels), len(self.names)))
-        for t in range(len(self.levels)):
-            for k in range(int(head[1])):
-                f, c, _ = self._tree(trees[t, k])
-                np.add.at(out[t], f[c < BINS].astype(int), 1)
+        level = np.arange(len(roots)) % len(self.levels)
+        own = np.searchsorted(roots, np.arange(len(nodes)), side="right") - 1
+        inner = nodes[:, 0] >= 0
+        np.add.at(out, (level[own[inner]], nodes[inner, 0].astype(int)), 1)
         return out
 
 
-def _label_bin(y, grid) -> np.ndarray:
-    return np.clip(np.searchsorted(grid, y, side="left") - 1, 0, LABEL_BINS - 1)
-
-
-def _grid_quantiles(weights, grid, levels) -> np.ndarray:
-    """Quantiles of a distribution given as weights of the label bins."""
-    cdf = np.concatenate([[0.0], np.cumsum(weights)])
-    cdf /= max(cdf[-1], 1e-12)
-    return np.interp(levels, cdf, grid)
-
-
-def _residual_bin(r, grid) -> np.ndarray:
-    """Bins finer near zero: square root of the residual over the label range."""
-    span = max(2.0 * (grid[-1] - grid[0]), 1e-12)
-    u = np.sign(r) * np.sqrt(np.minimum(np.abs(r) / span, 1.0))
-    return np.minimum(((u + 1) / 2 * RESIDUAL_BINS).astype(np.int64), RESIDUAL_BINS - 1)
-
-
-def _residual_quantile(counts, grid, tau) -> float:
-    span = max(2.0 * (grid[-1] - grid[0]), 1e-12)
-    cdf = np.cumsum(counts) / counts.sum()
-    k = int(np.searchsorted(cdf, tau, side="left"))
-    low = cdf[k - 1] if k else 0.0
-    part = (tau - low) / max(cdf[k] - low, 1e-12)
-    u = 2 * (k + part) / RESIDUAL_BINS - 1
-    return float(np.sign(u) * u * u * span)
-
-
-@dataclass(frozen=True)
-class QuantileForest:
-    """Quantile regression forest (Meinshausen 2006): the label distribution at a point
-    is the average of the distributions in the leaves it falls into, kept as weights of
-    ``LABEL_BINS`` quantile bins."""
-
-    names: tuple[str, ...]
-    levels: tuple[float, ...] = LEVELS
-    trees: int = 20
-    depth: int = 5
-    min_child: int = 5
-    seed: int = 0
-    kind: str = "forest"
-
-    @property
-    def _inner(self) -> int:
-        return (1 << self.depth) - 1
-
-    def _unpack(self, params):
-        cut = self.trees * 2 * self._inner
-        nodes = params[:cut].reshape(self.trees, 2, self._inner)
-        leaves = params[cut:].reshape(self.trees, 1 << self.depth, LABEL_BINS)
-        return nodes, leaves
-
-    def fit(self, chunks: DataFrame, models: DataFrame) -> DataFrame:
-        return fit(chunks, models, self._sums, self._update, self.depth + 1, "forest")
-
-    def _weights(self, to_end, k) -> np.ndarray:
-        """Bootstrap counts: Poisson with mean one, by row and tree."""
-        steps = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720)])
-        return np.searchsorted(steps, _uniform(to_end, self.seed * 1000 + k)).astype(float)
-
-    def _sums(self, x, y, to_end, step, params, aux) -> np.ndarray:
-        _, grid = _split_aux(aux)
-        xb = _to_bins(x, aux)
-        centre = y - np.median(grid)
-        if step == 0:
-            nodes = np.zeros((self.trees, 2, self._inner))
-        else:
-            nodes, _ = self._unpack(params)
-        out = []
-        for k in range(self.trees):
-            w = self._weights(to_end, k)
-            node = _walk(xb, nodes[k, 0], nodes[k, 1], step)
-            if step < self.depth:
-                out.append(_histogram(xb, node, 1 << step, [w, w * centre]).ravel())
-            else:
-                cell = node * LABEL_BINS + _label_bin(y, grid)
-                out.append(np.bincount(cell, w, (1 << step) * LABEL_BINS))
-        return np.concatenate(out)
-
-    def _update(self, sums, step, params, aux) -> tuple[np.ndarray, bool]:
-        p, n = len(self.names), 1 << step
-        if step == 0:
-            size = self.trees * (2 * self._inner + (1 << self.depth) * LABEL_BINS)
-            params = np.zeros(size)
-        params = params.copy()
-        nodes, leaves = self._unpack(params)
-        if step == self.depth:
-            leaves[:] = sums.reshape(leaves.shape)
-            return params, True
-        gains = _gains(sums.reshape(self.trees, n, p, BINS, 2), self.min_child, 0.0)
-        flat = gains.reshape(self.trees, n, -1)
-        best, top = flat.argmax(axis=2), flat.max(axis=2)
-        heap = np.arange(n) + n - 1
-        split = top > 1e-9
-        nodes[:, 0, heap] = np.where(split, best // BINS, 0)
-        nodes[:, 1, heap] = np.where(split, best % BINS, BINS)
-        return params, False
-
-    def predict(self, x, params, aux) -> np.ndarray:
-        _, grid = _split_aux(aux)
-        nodes, leaves = self._unpack(params)
-        xb = _to_bins(x, aux)
-        mix = np.zeros((len(x), LABEL_BINS))
-        for k in range(self.trees):
-            hist = leaves[k][_walk(xb, nodes[k, 0], nodes[k, 1], self.depth)]
-            mix += hist / np.maximum(hist.sum(axis=1, keepdims=True), 1e-12)
-        return np.stack([_grid_quantiles(w, grid, self.levels) for w in mix])
+def walk(x: np.ndarray, roots: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """The leaf of every row in every tree."""
+    at = np.tile(roots, (len(x), 1))
+    rows = np.arange(len(x))[:, None]
+    while True:
+        feature = nodes[at, 0].astype(np.int64)
+        inner = feature >= 0
+        if not inner.any():
+            return at
+        right = x[rows, np.maximum(feature, 0)] > nodes[at, 1]
+        at = np.where(inner, nodes[at, 2].astype(np.int64) + right, at)

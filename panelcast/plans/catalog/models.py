@@ -22,7 +22,7 @@ from panelcast.operators.panel import SERIES, interpolate, interpolate_prefix
 from panelcast.operators.scoring import fold_scores, metrics_table
 from panelcast.plans import tables as T
 from panelcast.plans.catalog.registry import query
-from panelcast.plans.train import load_and_forecast, quick, sweep_models, train_and_save
+from panelcast.plans.train import load_and_forecast, sweep_models, train_and_save
 from panelcast.session import scratch_dir, stage
 
 X = ("quantity", "discount", "is_holiday")
@@ -65,7 +65,7 @@ def m2(spark, sf_dir):
 
 def _backtest_query(name):
     def run(spark, sf_dir):
-        setup = quick(name, X)
+        setup = get_model(name, DAILY, X)
         return _scores(backtest(_panel(spark, sf_dir), setup.spec, setup.model, SPLIT))
 
     return run
@@ -80,14 +80,14 @@ query("m7_quantile_forest")(_backtest_query("qrf"))
 @query("m5_boosted_early_stopping")
 def m5(spark, sf_dir):
     """Depth-wise trees that stop when the held-out month no longer improves."""
-    setup = quick("xgb-custom", X, patience=2)
+    setup = get_model("xgb-custom", DAILY, X, patience=10)
     return _scores(backtest(_panel(spark, sf_dir), setup.spec, setup.model, SPLIT))
 
 
 @query("m8_direct_boosting")
 def m8(spark, sf_dir):
     """A week in one chunk from covariate lags and leads; nothing is fed back."""
-    setup = quick("xgboost", X, chunk=7)
+    setup = get_model("xgboost", DAILY, X, chunk=7)
     parts, steps = direct_parts(DAILY), DIRECT_COVARIATE_OFFSETS["D"]
     grid = stage(direct_grid(_with_future(spark, sf_dir), X, parts, steps), "direct")
     models = train(grid, setup.spec, setup.model)
@@ -108,7 +108,7 @@ def m9(spark, sf_dir):
 def m10(spark, sf_dir):
     """Four weeks past the last target from a model with lag 1: the median is fed back."""
     grid = _with_future(spark, sf_dir)
-    setup = quick("quantreg", X, lags=(1, 7))
+    setup = get_model("quantreg", DAILY, X, lags=(1, 7))
     models = train(grid, setup.spec, setup.model)
     check_horizon(grid, models, 28)
     return forecast(grid, models, setup.spec, setup.model, 28)
@@ -132,7 +132,7 @@ def m15(spark, sf_dir):
 def a13_trees(spark, sf_dir):
     """Top features of a boosted model, averaged over its levels."""
     grid = _panel(spark, sf_dir)
-    setup = quick("lgbm", X, rounds=3)
+    setup = get_model("lgbm", DAILY, X)
     models = train(grid, setup.spec, setup.model)
     return top_features(mean_importance(importances(models, setup.model), [SERIES]), 55)
 
@@ -140,7 +140,7 @@ def a13_trees(spark, sf_dir):
 @query("b7_refit_backtest")
 def b7(spark, sf_dir):
     """Predictions of a model refitted in every fold."""
-    setup = quick("quantreg", X)
+    setup = get_model("quantreg", DAILY, X)
     run = backtest(_panel(spark, sf_dir), setup.spec, setup.model, SPLIT)
     return run.predictions.select(SERIES, "fold", "h", "ts", "y", *QCOLS)
 
@@ -148,7 +148,7 @@ def b7(spark, sf_dir):
 @query("b9_model_sweep")
 def b9_models(spark, sf_dir):
     """Baseline and two models over the same folds, in one table."""
-    setups = [get_model("benchmark", DAILY), quick("quantreg", X), quick("catboost", X)]
+    setups = [get_model("benchmark", DAILY), get_model("quantreg", DAILY, X), get_model("catboost", DAILY, X)]
     return sweep_models(_panel(spark, sf_dir), DAILY, setups, SPLIT)
 
 
@@ -156,7 +156,7 @@ def b9_models(spark, sf_dir):
 def v13(spark, sf_dir):
     """Fit, write the model table, read it back, forecast a week past the last target."""
     grid = _with_future(spark, sf_dir)
-    setup = quick("quantreg", X)
+    setup = get_model("quantreg", DAILY, X)
     root = scratch_dir(spark, "trained")
     train_and_save(grid, setup, root)
     return load_and_forecast(spark, grid, setup, root, 7)

@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.functions.calendar import DAILY, Freq
+from panelcast.functions.calendar import Freq
 from panelcast.models.forecast import backtest, forecast, train
-from panelcast.models.registry import Baseline, Setup, get_model
+from panelcast.models.registry import Baseline, Setup
 from panelcast.operators.baseline import baseline_backtest
 from panelcast.operators.folds import Splitter
 from panelcast.operators.panel import SERIES
@@ -43,10 +43,8 @@ def score_setup(grid: DataFrame, freq: Freq, setup: Setup, splitter: Splitter) -
     else:
         run = backtest(grid, setup.spec, setup.model, splitter)
         rows = run.predictions
-        times = [
-            ("avg_fit_time", run.fit_seconds, None),
-            ("avg_pred_time", run.predict_seconds, None),
-        ]
+        spent = run.times.agg(F.avg("fit_time"), F.avg("pred_quantiles_time")).first()
+        times = [("avg_fit_time", spent[0], None), ("avg_pred_time", spent[1], None)]
     metrics = metrics_table(fold_scores(rows), [])
     spark = grid.sparkSession
     seconds = spark.createDataFrame(times, "metric string, mean double, std double")
@@ -57,15 +55,3 @@ def sweep_models(grid: DataFrame, freq: Freq, setups: list[Setup], splitter: Spl
     """One table for all models."""
     parts = [score_setup(grid, freq, s, splitter) for s in setups]
     return stage(reduce(DataFrame.unionByName, parts), "sweep")
-
-
-def quick(name: str, x_cols: tuple[str, ...], **overrides) -> Setup:
-    """A model with few rounds, for checks and the bench."""
-    small = {
-        "lgbm": {"rounds": 4, "depth": 3, "learning_rate": 0.5, "lag_cols": ()},
-        "xgb-custom": {"rounds": 4, "depth": 2, "learning_rate": 0.5, "lag_cols": ()},
-        "catboost": {"rounds": 4, "depth": 2, "learning_rate": 0.5, "lag_cols": ()},
-        "qrf": {"trees": 20, "depth": 4, "min_child": 5},
-        "xgboost": {"rounds": 3, "depth": 2, "learning_rate": 0.5},
-    }
-    return get_model(name, DAILY, x_cols, **(small.get(name, {}) | overrides))

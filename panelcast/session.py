@@ -81,3 +81,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stage(df: DataFrame) -> None:
+    """Delete the files of a stage that nothing reads any more."""
+    spark = df.sparkSession
+    root = scratch_root(spark)
+    conf = spark._jsc.hadoopConfiguration()
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        if "/panelcast/" in name and root.split("://", 1)[-1].removeprefix("file:") in name:
+            path.getFileSystem(conf).delete(path, True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelcast.config import LEVELS, QCOLS
 from panelcast.functions.calendar import DAILY, HOURLY
+from panelcast.models import passes, trees
 from panelcast.models.forecast import (
     backtest,
     check_horizon,
@@ -18,10 +19,12 @@ from panelcast.models.forecast import (
     roll_forward,
     train,
 )
+from panelcast.models.forest import QuantileForest
 from panelcast.models.linear import LinearQuantile
 from panelcast.models.ml import LinearQuantileRegression, MultipleQuantileRegressor
+from panelcast.models.passes import fit_here
 from panelcast.models.registry import NAMES, Baseline, direct_linear, get_model
-from panelcast.models.trees import BoostedQuantile, QuantileForest
+from panelcast.models.trees import BoostedQuantile
 from panelcast.operators.baseline import baseline_backtest
 from panelcast.operators.features import FeatureSpec
 from panelcast.operators.folds import Splitter, WindowParams, fold_table, window_params
@@ -77,7 +80,8 @@ def test_models_beat_constant_quantiles(noisy, model):
     assert total_loss(rows) < 0.93 * total_loss(flat)
     for r in rows.select(*QCOLS).collect():
         assert list(r) == sorted(r)
-    assert run.fit_seconds > 0 and run.predict_seconds > 0
+    spent = run.times.collect()
+    assert len(spent) == 4 and all(r.fit_time > 0 and r.pred_quantiles_time > 0 for r in spent)
 
 
 @pytest.mark.parametrize(
@@ -105,8 +109,7 @@ def test_early_stopping_can_use_the_last_tree(noisy):
     model = BoostedQuantile(tuple(SPEC.names), rounds=2, depth=1, learning_rate=0.1,
                             patience=5, holdout=50)
     fitted = train(noisy, SPEC, model).collect()
-    heads = [model._unpack(np.asarray(r["params"]))[1] for r in fitted]
-    assert all(h[1] == h[2] == 2 for h in heads)
+    assert all(r["params"][0] == 2 for r in fitted)  # rounds used
 
 
 def test_too_short_a_series_raises(spark):
@@ -125,6 +128,258 @@ def test_short_horizon_raises(noisy):
         forecast(noisy, models, SPEC, model, 20).count()
 
 
+def check_loss(x, y, tau, coefficients, l1):
+    r = y - coefficients[0] - x @ coefficients[1:]
+    penalty = l1 * (x.std(axis=0) * np.abs(coefficients[1:])).sum()
+    return np.maximum(tau * r, (tau - 1) * r).mean() + penalty
+
+
+def best_through_points(x, y, tau):
+    """The least check loss of a line: it passes through two of the points."""
+    n, best = len(y), np.inf
+    for i in range(n):
+        for j in range(i):
+            if x[i] != x[j]:
+                slope = (y[i] - y[j]) / (x[i] - x[j])
+                line = np.array([y[i] - slope * x[i], slope])
+                best = min(best, check_loss(x[:, None], y, tau, line, 0.0))
+    return best
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_linear_loss_is_the_least(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.random(60)
+    y = 3 * x + (0.3 + x) * rng.standard_t(3, size=60)
+    model = LinearQuantile(("x",), l1=0.0)
+    params = fit_here(model, x[:, None], y, np.arange(60)[::-1])
+    assert model.converged(params)
+    for tau, line in zip(model.levels, model.coefficients(params), strict=True):
+        assert check_loss(x[:, None], y, tau, line, 0.0) < (1 + 1e-7) * best_through_points(x, y, tau)
+
+
+SHAPES = {
+    "light": lambda r, n, p: r.normal(size=(n, p)),
+    "scaled": lambda r, n, p: r.normal(size=(n, p)) * 10.0 ** np.arange(-3, p - 3),
+    "dummies": lambda r, n, p: np.eye(p)[r.integers(0, p, n)],
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+@pytest.mark.parametrize("l1", [0.0, 1.0])
+def test_linear_fits_end_soon(shape, l1):
+    rng = np.random.default_rng(3)
+    x = SHAPES[shape](rng, 900, 9)
+    y = x @ (rng.normal(size=9) / (x.std(axis=0) + 0.01)) + rng.gamma(1.0, 2.0, 900)
+    model = LinearQuantile(tuple("abcdefghi"), l1=l1)
+    params = fit_here(model, x, y, np.arange(900)[::-1])
+    assert model.converged(params) and model.passes(params) <= 30
+    below = (y[:, None] <= model.predict(x, params, None) + 1e-9).mean(axis=0)
+    if not l1:
+        assert np.all(np.abs(below - model.levels) <= 15 / 900)
+    for tau, b in zip(model.levels, model.coefficients(params), strict=True):
+        own = check_loss(x, y, tau, b, l1)
+        for _ in range(60):  # no way down from there
+            step = rng.normal(size=10) * np.append(1.0, 1 / (x.std(axis=0) + 0.01))
+            for size in (1e-3, 1e-2, 0.1, 1.0):
+                assert own < (1 + 1e-9) * check_loss(x, y, tau, b + size * step, l1)
+
+
+@pytest.fixture
+def in_passes(monkeypatch):
+    """Windows are too long for a task; rows are written again after each round."""
+    monkeypatch.setattr(passes, "LOCAL_VALUES", 30)
+    monkeypatch.setattr(passes, "KEEP_ROUNDS", 1)
+
+
+def exact(spec, model):
+    """Constants from all rows, in place of sketches."""
+
+    def constants(frame, models, names, bins, target):
+        pdf = frame.dropna(subset=[*names, target]).toPandas().sort_values("idx")
+        rows = []
+        for m in models.collect():
+            own = pdf[(pdf[SERIES] == m[SERIES]) & pdf["idx"].between(m["first"], m["last"])]
+            aux = model.constants(own[list(names)].to_numpy(), own[target].to_numpy())
+            rows.append((m[SERIES], m["fold"], aux.tolist()))
+        return models.sparkSession.createDataFrame(rows, "series_id string, fold long, aux array<double>")
+
+    return constants
+
+
+@pytest.mark.parametrize(
+    "model",
+    [
+        BoostedQuantile(tuple(SPEC.names), levels=(0.1, 0.5), rounds=3, depth=5, growth="leaf", max_leaves=4,
+                        subsample=0.8, colsample=0.7, bins=16),
+        BoostedQuantile(tuple(SPEC.names), levels=(0.1, 0.5), rounds=4, depth=2, growth="symmetric", bins=9,
+                        patience=2, holdout=40, colsample=0.7, column_draw="depth"),
+    ],
+    ids=lambda m: f"{m.kind}-{getattr(m, 'growth', '')}",
+)
+def test_passes_and_tasks_agree(noisy, model, monkeypatch, request):
+    split = Splitter(WindowParams(600, 90, 10), "sliding")
+
+    def params():
+        run = backtest(noisy, SPEC, model, split)
+        return {(r[SERIES], r["fold"]): np.asarray(r["params"]) for r in run.models.collect()}
+
+    here = params()
+    request.getfixturevalue("in_passes")
+    monkeypatch.setattr(trees, "sketched_constants", exact(SPEC, model))
+    there = params()
+    assert here.keys() == there.keys() and len(here) == 4
+    for key, one in here.items():
+        assert np.allclose(one, there[key], rtol=1e-7, atol=1e-7)
+
+
+def test_linear_passes_come_close_to_the_exact_minimum(noisy, request):
+    model = LinearQuantile(tuple(SPEC.names), levels=(0.1, 0.5), l1=0.0)
+    split = Splitter(WindowParams(600, 90, 10), "sliding")
+    exactly = backtest(noisy, SPEC, model, split).models
+    request.getfixturevalue("in_passes")
+    near = backtest(noisy, SPEC, model, split).models
+    both = exactly.join(near.select(SERIES, "fold", F.col("params").alias("other")), [SERIES, "fold"])
+    rows = both.collect()
+    assert len(rows) == 4
+    for r in rows:  # losses by level follow the coefficients
+        least, loss = (np.asarray(r[c])[-4:-2] for c in ("params", "other"))
+        assert np.all(least <= loss * (1 + 1e-9)) and np.all(loss <= 1.003 * least)
+
+
+def test_sketched_bins_are_close_to_exact_ones(spark):
+    rng = np.random.default_rng(1)
+    n = 6000
+    cols = [(float(v), float(w)) for v, w in zip(rng.normal(size=n), rng.gamma(2, 3, n), strict=True)]
+    frame = spark.createDataFrame([("a", i, x, y) for i, (x, y) in enumerate(cols)], "series_id string, idx long, x double, y double")
+    folds = [("a", 0, 0, n - 1), ("a", 1, 700, 5100), ("a", 2, 3, 400)]
+    models = spark.createDataFrame(folds, "series_id string, fold long, first long, last long")
+    model = BoostedQuantile(("x",), bins=20)
+    x, y = np.array(cols).T
+    got = {r["fold"]: np.asarray(r["aux"]) for r in trees.sketched_constants(frame, models, ("x",), 20).collect()}
+    for _, fold, first, last in folds:
+        own = slice(first, last + 1)
+        edges, grid = trees.split_aux(got[fold], 1)
+        want, labels = trees.split_aux(model.constants(x[own, None], y[own]), 1)
+        for found, true, values in ((edges[0], want[0], x[own]), (grid, labels, y[own])):
+            rank = np.searchsorted(np.sort(values), found) - np.searchsorted(np.sort(values), true)
+            assert np.abs(rank).max() <= max(2, 0.01 * len(values))
+
+
+def node_depths(model, params):
+    _, roots, nodes = model._tables(params)
+    depth = np.zeros(len(nodes), int)
+    for i, (feature, _, left, _) in enumerate(nodes):  # children come after their parent
+        if feature >= 0:
+            depth[[int(left), int(left) + 1]] = depth[i] + 1
+    return [depth[a:b] for a, b in zip(roots, [*roots[1:], len(nodes)], strict=True)]
+
+
+def test_best_first_growth_goes_where_the_gain_is():
+    """Runs of two labels, each half as long as the one before: every cut leaves one pure
+    side, so leaves lie below one another, deeper than as many grown level by level."""
+    x = np.arange(400.0)[:, None]
+    y = np.repeat([0.0, 1.0, 0.0, 1.0, 0.0], [200, 100, 50, 25, 25])
+    to_end = np.arange(400)[::-1]
+    sizes = {}
+    for leaves in (3, 5, 64):
+        model = BoostedQuantile(("x",), levels=(0.5,), rounds=1, depth=9, growth="leaf",
+                                max_leaves=leaves, min_child=5, bins=80)
+        [depth] = node_depths(model, fit_here(model, x, y, to_end))
+        sizes[leaves] = (len(depth), depth.max())
+    assert sizes == {3: (5, 2), 5: (9, 4), 64: (9, 4)}
+    capped = BoostedQuantile(("x",), levels=(0.5,), rounds=1, depth=2, growth="leaf",
+                             max_leaves=64, min_child=1, bins=80)
+    [depth] = node_depths(capped, fit_here(capped, x, y, to_end))
+    assert depth.max() == 2
+
+
+def test_first_cut_is_the_best_of_all():
+    """One round of stumps against every cut tried by hand."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 12, size=(300, 3)).astype(float)
+    y = x[:, 1] * 2 + rng.normal(size=300)
+    model = BoostedQuantile(tuple("abc"), rounds=1, depth=1, min_child=10, penalty=1.0, learning_rate=1.0)
+    params = fit_here(model, x, y, np.arange(300)[::-1])
+    base, roots, nodes = model._tables(params)
+    for t, tau in enumerate(model.levels):
+        gradient = np.where(y > base[t], tau, tau - 1)
+        best = (-np.inf, 0, 0.0)
+        for j in range(3):
+            for cut in np.unique(x[:, j]):
+                left = x[:, j] <= cut
+                n, m = left.sum(), (~left).sum()
+                if min(n, m) >= 10:
+                    gain = gradient[left].sum() ** 2 / (n + 1) + gradient[~left].sum() ** 2 / (m + 1)
+                    best = max(best, (gain, -j, -cut))
+        feature, cut = nodes[roots[t], :2]
+        left = x[:, int(feature)] <= cut
+        gain = gradient[left].sum() ** 2 / (left.sum() + 1) + gradient[~left].sum() ** 2 / ((~left).sum() + 1)
+        assert np.isclose(gain, best[0])
+        for side, leaf in ((left, int(nodes[roots[t], 2])), (~left, int(nodes[roots[t], 2]) + 1)):
+            r = y[side] - base[t]
+            assert np.quantile(r, max(0, tau - 0.03)) - 0.1 <= nodes[leaf, 3] <= np.quantile(r, min(1, tau + 0.03)) + 0.1
+
+
+def brute_tree(x, y, w, min_child, depth=None, at=0):
+    """Nested (column, value, left, right); a leaf is (labels, weights)."""
+    x, y, w = x[w > 0], y[w > 0], w[w > 0]
+
+    def spread(k):
+        return (w[k] * (y[k] - np.average(y[k], weights=w[k])) ** 2).sum()
+
+    best = (1e-9, None)
+    for j in range(x.shape[1]):
+        for value in np.unique(x[:, j])[:-1]:
+            left = x[:, j] <= value
+            if min(w[left].sum(), w[~left].sum()) >= min_child:
+                gain = spread(w > 0) - spread(left) - spread(~left)
+                if gain > best[0] + 1e-9:
+                    best = (gain, (j, value))
+    if best[1] is None or at == depth:
+        return y, w
+    j, value = best[1]
+    left = x[:, j] <= value
+    middle = (value + x[~left, j].min()) / 2
+    children = [brute_tree(x[k], y[k], w[k], min_child, depth, at + 1) for k in (left, ~left)]
+    return (j, middle, *children)
+
+
+@pytest.mark.parametrize(("min_child", "depth"), [(1, None), (3, None), (1, 2)])
+def test_forest_equals_brute_force(min_child, depth):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 8, size=(60, 3)).astype(float)
+    y = x[:, 0] * 2 + rng.normal(size=60)
+    to_end = np.arange(60)[::-1]
+    model = QuantileForest(tuple("abc"), trees=5, min_child=min_child, depth=depth)
+    got = model.predict(x, fit_here(model, x, y, to_end), None)
+    grown = [brute_tree(x, y, model.weights(to_end, k), min_child, depth) for k in range(5)]
+    for row, quantiles in zip(x, got, strict=True):
+        held = []
+        for tree in grown:
+            while len(tree) == 4:
+                tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+            held += [(label, weight / tree[1].sum() / 5) for label, weight in zip(*tree, strict=True)]
+        held.sort()
+        cdf = np.cumsum([weight for _, weight in held])
+        want = [held[min(int(np.searchsorted(cdf, q - 1e-12)), len(held) - 1)][0] for q in model.levels]
+        assert np.allclose(want, quantiles)
+
+
+def test_forest_windows_have_a_limit(noisy):
+    model = QuantileForest(tuple(SPEC.names), trees=2, local_values=300)
+    with pytest.raises(ValueError, match="beyond its limit"):
+        train(noisy, SPEC, model)
+
+
+def test_registered_settings_are_the_workloads():
+    leafwise, hourly = (get_model("lgbm", f, ("x",)).model for f in (DAILY, HOURLY))
+    assert (leafwise.max_leaves, leafwise.depth, leafwise.rounds, leafwise.bins) == (15, 9, 250, 255)
+    assert (hourly.max_leaves, hourly.depth, hourly.min_child) == (20, 12, 200)
+    forest = get_model("qrf", DAILY, ("x",)).model
+    assert (forest.trees, forest.depth, forest.min_child) == (100, None, 1)
+
+
 def test_linear_fit_splits_the_data_at_its_level(noisy):
     spec = FeatureSpec(DAILY, (1,), ("x",), lag_cols=(), seasonal=False)
     model = LinearQuantile(tuple(spec.names), levels=(0.1, 0.5, 0.9), l1=0.0)
@@ -143,7 +398,7 @@ def test_linear_fit_splits_the_data_at_its_level(noisy):
 def test_penalty_shrinks_the_coefficients(noisy):
     sizes = []
     for l1 in (0.0, 1.0):
-        model = LinearQuantile(tuple(SPEC.names), levels=(0.5,), l1=l1, max_iter=8)
+        model = LinearQuantile(tuple(SPEC.names), levels=(0.5,), l1=l1)
         params = np.asarray(train(noisy, SPEC, model).filter("series_id = 'a'").first()["params"])
         sizes.append(np.abs(params[1:4]).sum())
     assert sizes[1] < 0.2 * sizes[0]
