@@ -178,13 +178,12 @@ def matches(a: Column, b: Column, settings: NearSettings) -> Column:
     return total
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, settings: NearSettings) -> DataFrame:
-    """The ``pairs (a, b)`` whose full shingle sets are similar enough.
+def full_sets(ids: DataFrame, docs: DataFrame, settings: NearSettings) -> DataFrame:
+    """``doc_id, shingles`` (sorted) of the documents with the given distinct ids.
 
-    The texts of the paired ids are shingled again.  The ids go to the texts by broadcast
-    while there are at most ``BROADCAST_IDS``, else both sides are shuffled.
+    Their texts are shingled again.  The ids go to the texts by broadcast while there are
+    at most ``BROADCAST_IDS``, else both sides are shuffled.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     ids = stage(ids, "paired-ids")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
@@ -196,9 +195,15 @@ def confirm(pairs: DataFrame, docs: DataFrame, settings: NearSettings) -> DataFr
                 [part, pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"]
             )
 
-    sets = docs.join(side, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles array<long>")
+    chosen = docs.join(side, "doc_id", "left_semi")
+    return stage(chosen.mapInArrow(run, "doc_id long, shingles array<long>"), "sets")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, settings: NearSettings) -> DataFrame:
+    """The ``pairs (a, b)`` whose full shingle sets are similar enough."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = full_sets(ids, docs, settings)
     # Rows that repeat an id would repeat its pairs; any of them may stand for it.
-    sets = stage(sets, "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
     common = F.size(F.array_intersect("of_a", "of_b"))
@@ -211,11 +216,82 @@ def confirm(pairs: DataFrame, docs: DataFrame, settings: NearSettings) -> DataFr
     )
 
 
-def across(buckets: DataFrame, settings: NearSettings) -> DataFrame:
-    """Likely pairs of different components within buckets ``(key, size, id, part, low)``.
+class Members:
+    """Members of two blocks of a bucket, as arrays."""
+
+    def __init__(self, rows: pa.StructArray, settings: NearSettings):
+        def column(name):
+            return rows.field(name)
+
+        self.ids, self.part, self.own = (np.asarray(column(c)) for c in ("id", "part", "own"))
+        words = -(-settings.minima // 64)
+        low = np.asarray(column("low").flatten()).view(np.uint64)
+        self.low = low.reshape(len(self.ids), settings.bits, words)
+        self.bands = np.asarray(column("bands").flatten()).reshape(len(self.ids), -1)
+        codes = [np.asarray(c) for c in (column("code").flatten(), column("code").offsets)]
+        self.codes, self.ends = codes[0], codes[1] - codes[1][0]
+        self.sizes = np.diff(self.ends)
+
+    def code(self, i: int) -> np.ndarray:
+        return self.codes[self.ends[i] : self.ends[i + 1]]
+
+    def common(self, i: int, others: np.ndarray) -> np.ndarray:
+        """At least as many shingles as each of ``others`` shares with ``i``."""
+        own = self.code(i)
+        held = np.concatenate([self.code(j) for j in others])
+        at = np.minimum(np.searchsorted(own, held), len(own) - 1)
+        starts = np.concatenate([[0], np.cumsum(self.sizes[others])[:-1]])
+        return np.add.reduceat((own[at] == held).astype(np.int64), starts)
+
+
+def linked(members: Members, band: int, two: bool, settings: NearSettings, every: bool) -> list:
+    """Pairs of different components that their sets let pass: one per pair of components
+    that are not yet joined here, or ``every`` one."""
+    joined: dict[int, int] = {}
+
+    def head(part: int) -> int:
+        while part in joined:
+            part = joined[part]
+        return part
+
+    heads, found = members.part.copy(), []
+    for i in range(len(members.ids) - 1):
+        later = slice(i + 1, None)
+        wanted = heads[later] != heads[i]
+        if two:  # pairs within a block belong to the task that has it alone
+            wanted &= members.own[later] != members.own[i]
+        others = np.flatnonzero(wanted) + i + 1
+        if not len(others):
+            continue
+        off = np.bitwise_or.reduce(members.low[others] ^ members.low[i], axis=1)
+        same = settings.minima - np.bitwise_count(off).sum(axis=1, dtype=np.int64)
+        others = others[same >= settings.least_matches]
+        # a pair is looked at in the first band that it shares
+        seen = (members.bands[others, :band] == members.bands[i, :band]).any(axis=1)
+        others = others[~seen]
+        if not len(others):
+            continue
+        common = members.common(i, others)
+        union = members.sizes[others] + members.sizes[i] - common
+        for j in others[100 * common >= settings.percent * union]:
+            a, b = head(int(members.part[i])), head(int(members.part[j]))
+            if every or a != b:
+                found.append((min(members.ids[i], members.ids[j]), max(members.ids[i], members.ids[j])))
+            if a != b and not every:
+                joined[max(a, b)] = min(a, b)
+                heads[heads == max(a, b)] = min(a, b)
+    return found
+
+
+def across(
+    buckets: DataFrame, settings: NearSettings, every: bool = False
+) -> DataFrame:
+    """Links between components within buckets ``(key, band, size, id, part, low, bands, code)``.
 
-    A bucket is cut into blocks of about ``BLOCK`` members; a task sees two blocks and
-    compares their packed bits, giving only pairs that pass.
+    A bucket is cut into blocks of about ``BLOCK`` members; a task sees two blocks, compares
+    their packed bits and then the sets (as 32-bit hashes, which can only let too much
+    pass), and gives one pair per two components that it joins: rows grow with the members,
+    not with their pairs.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     cut = buckets.withColumn("n", blocks).withColumn(
@@ -223,29 +299,30 @@ def across(buckets: DataFrame, settings: NearSettings) -> DataFrame:
     )
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     grouped = cut.groupBy(
-        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
-    ).agg(F.collect_list(F.struct("id", "part", "low")).alias("members"))
-    words, need = -(-settings.minima // 64), settings.least_matches
+        "key", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
+    ).agg(F.collect_list(F.struct("id", "part", "own", "low", "bands", "code")).alias("members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for members in batch.column(0).to_pylist():
-                ids = np.array([m["id"] for m in members])
-                part = np.array([m["part"] for m in members])
-                low = np.array([m["low"] for m in members], np.int64).view(np.uint64)
-                low = low.reshape(len(ids), settings.bits, words)
-                for i in range(len(ids) - 1):
-                    off = np.bitwise_or.reduce(low[i + 1 :] ^ low[i], axis=1)
-                    same = settings.minima - np.bitwise_count(off).sum(axis=1, dtype=np.int64)
-                    for j in np.flatnonzero((same >= need) & (part[i + 1 :] != part[i])) + i + 1:
-                        found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-            a, b = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]
-            )
+            bands, two = batch["band"].to_pylist(), batch["two"].to_pylist()
+            for k in range(batch.num_rows):
+                members = Members(batch["members"][k].values, settings)
+                found = linked(members, bands[k], two[k], settings, every)
+                a, b = zip(*found, strict=True) if found else ((), ())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]
+                )
+
+    tasks = grouped.select("band", (F.col("lo") != F.col("hi")).alias("two"), "members")
+    return tasks.mapInArrow(run, "a long, b long").distinct()
+
 
-    return grouped.select("members").mapInArrow(run, "a long, b long").distinct()
+def short_codes(sets: DataFrame) -> DataFrame:
+    """``id, code``: the sets with 32 bits a shingle, none left out, sorted."""
+    high = F.transform("shingles", lambda s: F.shiftright(s, 32).cast("int"))
+    # rows that repeat an id: any of them may stand for it
+    one = sets.groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
+    return one.select(F.col("doc_id").alias("id"), F.array_sort(high).alias("code"))
 
 
 def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -311,18 +388,23 @@ def near_duplicates(
         labels = grown(labels, confirm(rest, rows, settings))
 
     part = F.coalesce("label", "id").alias("part")
-    parted = classes.join(labels, F.col("id") == F.col("node"), "left").select("id", part, "bands", "low")
-    placed = parted.select("id", "part", F.explode("bands").alias("key")).join(
+    parted = classes.join(labels, F.col("id") == F.col("node"), "left").select("id", part, "bands")
+    placed = parted.select("id", "part", F.posexplode("bands").alias("band", "key")).join(
         lead.filter("size > 2").select("key", "size").hint("merge"), "key"
     )
     mixed_keys = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"))
     mixed_keys = mixed_keys.filter("x != y").select("key")
-    open_buckets = placed.join(mixed_keys.hint("merge"), "key", "left_semi")
-    open_buckets = open_buckets.join(low, "id")
-    more = across(open_buckets, settings).join(likely, ["a", "b"], "left_anti")
-    more = stage(more, "likely-across")
-    if not more.isEmpty():
-        labels = grown(labels, confirm(more, rows, settings))
+    placed = stage(placed.join(mixed_keys.hint("merge"), "key", "left_semi"), "open-buckets")
+    if not placed.isEmpty():
+        sets = full_sets(placed.select(F.col("id").alias("doc_id")).distinct(), rows, settings)
+        known = classes.select("id", "low", "bands").join(short_codes(sets), "id")
+        open_buckets = placed.join(known, "id")
+        more = stage(across(open_buckets, settings), "links-across")
+        links = stage(confirm(more, rows, settings), "links")
+        if links.count() < more.count():
+            # a pair that only its short hashes let pass may have stood for a true link
+            links = confirm(stage(across(open_buckets, settings, every=True), "links-across"), rows, settings)
+        labels = grown(labels, links)
 
     ids = classes.select("set_key", "id").join(labels, F.col("id") == F.col("node"), "left")
     ids = ids.select("set_key", F.coalesce("label", "id").alias("component"))
