@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,9 +14,18 @@ from pyspark.sql import functions as F
 from panelcast.config import LEVELS, QCOLS, ROLLING_DAYS
 from panelcast.models.forest import QuantileForest
 from panelcast.models.linear import LinearQuantile
-from panelcast.models.passes import final_models, fold_models, pack, require_fitted
+from panelcast.models.passes import (
+    SETTING,
+    final_models,
+    fit_settings,
+    fold_models,
+    on_blocks,
+    pack,
+    require_fitted,
+)
 from panelcast.models.trees import BoostedQuantile
-from panelcast.operators.features import FeatureSpec, build_features
+from panelcast.operators.blocks import BLOCK
+from panelcast.operators.features import FeatureSpec, build_features, build_many
 from panelcast.operators.folds import Splitter
 from panelcast.operators.panel import SERIES
 from panelcast.session import stage
@@ -146,16 +156,21 @@ def forecast(
     grid: DataFrame,
     models: DataFrame,
     spec: FeatureSpec,
-    model: Model,
+    model: Model | dict[str, Model],
     steps: int,
     seconds: bool = False,
 ) -> DataFrame:
     """Forecasts ``h = 1 .. steps`` of every model, in one job over (series, fold).
 
     ``grid`` carries the covariates of the horizon; ``y`` there is the actual, if known.
-    ``seconds`` adds the time that a model's forecast took.
+    ``seconds`` adds the time that a model's forecast took.  A dict names the models of the
+    settings in a column ``setting`` of ``models``, which then is in the result as well.
     """
-    if 0.5 not in model.levels:
+    by_setting = model if isinstance(model, dict) else {"": model}
+    levels = next(iter(by_setting.values())).levels
+    if any(m.levels != levels for m in by_setting.values()):
+        raise ValueError("settings must share their levels")
+    if 0.5 not in levels:
         raise ValueError("the median must be among the levels")
     if steps < 1:
         raise NotImplementedError("in-sample predictions are not supported")
@@ -178,12 +193,13 @@ def forecast(
                 tail = y[~ahead][-reach:]
                 tail = np.concatenate([np.full(reach - len(tail), np.nan), tail])
                 q = roll_forward(
-                    model, spec, tail, static, np.asarray(row.params), np.asarray(row.aux)
+                    by_setting[row.setting], spec, tail, static, np.asarray(row.params), np.asarray(row.aux)
                 )
                 out.append(
                     pd.DataFrame(
                         {
                             SERIES: getattr(row, SERIES),
+                            "setting": row.setting,
                             "fold": row.fold,
                             "h": idx[ahead] - row.last,
                             "pos": np.asarray(row.pos)[ahead],
@@ -197,20 +213,25 @@ def forecast(
                 yield pd.concat(out, ignore_index=True)
 
     schema = (
-        f"{SERIES} string, fold long, h long, pos long, y double, q array<double>, seconds double"
-    )
-    inputs = _inputs(grid, models, spec, steps).join(
-        models.select(SERIES, "fold", "last", "params", "aux"), [SERIES, "fold"]
+        f"{SERIES} string, setting string, fold long, h long, pos long, y double, "
+        "q array<double>, seconds double"
     )
+    named = isinstance(model, dict)
+    setting = F.col(SETTING) if named else F.lit("")
+    fitted = models.select(SERIES, "fold", "last", "params", "aux", setting.alias("setting"))
+    # settings share the inputs of their fold
+    ends = fitted.select(SERIES, "fold", "last").distinct()
+    inputs = _inputs(grid, ends, spec, steps).join(fitted, [SERIES, "fold"])
     rows = inputs.mapInPandas(run, schema)
     return rows.select(
         SERIES,
+        *([SETTING] if named else []),
         "fold",
         "h",
         "pos",
         spec.freq.at("pos").alias("ts"),
         F.when(~F.isnan("y"), F.col("y")).alias("y"),
-        *quantile_columns(model.levels),
+        *quantile_columns(levels),
         *(["seconds"] if seconds else []),
     )
 
@@ -249,11 +270,76 @@ def backtest(grid: DataFrame, spec: FeatureSpec, model: Model, splitter: Splitte
     return BacktestRun(rows.drop("seconds"), models, fitted.join(spent, [SERIES, "fold"]))
 
 
+def backtest_settings(
+    grid: DataFrame, settings: dict[str, tuple[FeatureSpec, Model]], splitter: Splitter
+) -> BacktestRun:
+    """As :func:`backtest`, for many settings of features and models over the same folds.
+
+    The setting is part of a model's key, in all three tables of the run: features are
+    made once for all settings, one job fits every (series, fold, setting), and one job
+    per feature set forecasts.
+    """
+    specs = list(dict.fromkeys(spec for spec, _ in settings.values()))
+    for spec, model in settings.values():
+        if tuple(spec.names) != model.names:
+            raise ValueError("a model was built for other features")
+    features = build_many(grid, specs)
+    names = tuple(dict.fromkeys(n for s in specs for n in s.names))
+    target = specs[0].target
+    chunks = stage(pack(features, list(names), target, incomplete=True), "chunks")
+    folds = [
+        fold_models(grid, splitter, spec.reach).withColumn(SETTING, F.lit(name))
+        for name, (spec, _) in settings.items()
+    ]
+    empty = stage(reduce(DataFrame.unionByName, folds), "folds")
+    learners = {name: model for name, (_, model) in settings.items()}
+    models = fit_settings(chunks, empty, learners, names, features, target, "settings")
+    require_fitted(models)
+    steps, parts = splitter.params.forecast_steps, []
+    for spec in specs:
+        own = {name: model for name, (s, model) in settings.items() if s == spec}
+        chosen = models.filter(F.col(SETTING).isin(*own))
+        parts.append(stage(forecast(grid, chosen, spec, own, steps, seconds=True), "predictions"))
+    rows = reduce(DataFrame.unionByName, parts)
+    keys = [SERIES, SETTING, "fold"]
+    spent = rows.groupBy(*keys).agg(F.max("seconds").alias("pred_quantiles_time"))
+    times = models.select(*keys, F.col("seconds").alias("fit_time")).join(spent, keys)
+    return BacktestRun(rows.drop("seconds"), models, times)
+
+
 def train(grid: DataFrame, spec: FeatureSpec, model: Model) -> DataFrame:
     """One model per series on all rows up to its last target."""
     return fit_models(grid, spec, model, stage(final_models(grid, spec.reach), "final"))
 
 
+def fitted_shares(grid: DataFrame, spec: FeatureSpec, model: Model, models: DataFrame) -> DataFrame:
+    """``series_id, fold, level, n, below, upto``: how many of the rows that a model was
+    trained on lie below, and on or below, each of its levels.
+
+    A residual within 1e-7 of a block's mean label counts as on the level.
+    """
+    chunks = pack(build_features(grid, spec), spec.names, spec.target)
+    pairs = chunks.join(on_blocks(models, "first", "last", "params"), [SERIES, BLOCK])
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                idx, y = np.asarray(row.idx), np.asarray(row.y)
+                a, b = np.searchsorted(idx, (row.first, row.last + 1))
+                x = np.asarray(row.x, dtype=float).reshape(len(y), -1)[a:b]
+                r = y[a:b, None] - model.predict(x, np.asarray(row.params), None)
+                near = 1e-7 * np.abs(y).mean()
+                for q, one in zip(model.levels, r.T, strict=True):
+                    counts = len(one), int((one < -near).sum()), int((one <= near).sum())
+                    out.append((getattr(row, SERIES), row.fold, q, *counts))
+            yield pd.DataFrame(out, columns=[SERIES, "fold", "level", "n", "below", "upto"])
+
+    schema = f"{SERIES} string, fold long, level double, n long, below long, upto long"
+    parts = pairs.mapInPandas(run, schema)
+    return parts.groupBy(SERIES, "fold", "level").agg(*(F.sum(c).alias(c) for c in ("n", "below", "upto")))
+
+
 def importances(models: DataFrame, model: BoostedQuantile) -> DataFrame:
     """Splits per (series, fold, level, feature)."""
 
@@ -279,8 +365,10 @@ def importances(models: DataFrame, model: BoostedQuantile) -> DataFrame:
 __all__ = [
     "BacktestRun",
     "backtest",
+    "backtest_settings",
     "check_horizon",
     "fit_models",
+    "fitted_shares",
     "forecast",
     "horizon_steps",
     "importances",

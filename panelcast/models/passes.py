@@ -27,7 +27,7 @@ from panelcast.session import drop_stage, stage
 PACK_ROWS = 512
 LOCAL_VALUES = 8_000_000  # doubles of the rows that a task holds to fit models on them
 FOLDS_PER_TASK = 16  # at most, so that a row is sent to few tasks
-BUCKET, GROUP = "bucket", "_group"
+BUCKET, GROUP, SETTING = "bucket", "_group", "setting"
 MODELS_PER_BUCKET = 16  # on average, updated in one call
 FLUSH_VALUES = 8_000_000  # doubles held by a task before partial sums are handed on
 KEEP_ROUNDS = 8  # finished trees sent along with a pass before they go into the rows
@@ -104,13 +104,18 @@ def loads(learner: Learner, raw: bytes) -> Any:
     return unpickler.load()
 
 
-def pack(frame: DataFrame, names: list[str], target: str = "y") -> DataFrame:
+def pack(
+    frame: DataFrame, names: list[str], target: str = "y", incomplete: bool = False
+) -> DataFrame:
     """Rows ``(series, idx, y, x...)`` to one row per block of ``PACK_ROWS`` positions.
 
-    Rows with a missing feature or label are left out, as in training.
+    Rows with a missing feature or label are left out, as in training; ``incomplete`` keeps
+    those that miss a feature, as NaN.
     """
-    x = F.array(*[F.col(n).cast("double") for n in names])
-    rows = frame.dropna("any", subset=[*names, target]).select(
+    missing = F.lit(float("nan"))
+    x = F.array(*[F.coalesce(F.col(n).cast("double"), missing) for n in names])
+    needed = [target] if incomplete else [*names, target]
+    rows = frame.dropna("any", subset=needed).select(
         SERIES,
         block_of("idx", PACK_ROWS).alias(BLOCK),
         F.struct(F.col("idx"), F.col(target).cast("double").alias("y"), x.alias("x")).alias("r"),
@@ -131,14 +136,15 @@ def fold_models(grid: DataFrame, splitter: Splitter, reach: int) -> DataFrame:
     A fold trains on the rows of its window whose whole look-back lies in it.
     """
     p = splitter.params
-    series = grid.groupBy(SERIES).agg(F.max("n_rows").alias("n_rows"))
+    sizes = [F.max(c).alias(c) for c in ("n_rows", *p.columns)]
+    series = grid.groupBy(SERIES).agg(*sizes)
     folds = (
         series.withColumn("_k", n_folds(F.col("n_rows"), p))
         .filter("_k > 0")
         .withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)))
     )
     start = F.col("fold") * p.step_length if splitter.kind == "sliding" else F.lit(0)
-    last = F.lit(p.initial_window - 1) + F.col("fold") * p.step_length
+    last = (p.window - 1) + F.col("fold") * p.step_length
     return _empty(folds.withColumns({"first": start + reach, "last": last}))
 
 
@@ -192,7 +198,8 @@ def fit(
     count, longest = models.agg(F.count(F.lit(1)), F.max(length)).first()
     if not count or longest is None:
         return models
-    fitted = _in_tasks(chunks, models.filter(length <= limit), learner, count, limit)
+    small = models.filter(length <= limit).withColumn(SETTING, F.lit(""))
+    fitted = _in_tasks(chunks, small, {"": learner}, learner.names, count, limit).drop(SETTING)
     if longest > limit:
         large = models.filter(length > limit)
         if constants is not None:
@@ -201,6 +208,66 @@ def fit(
     return stage(fitted, label)
 
 
+def fit_settings(
+    chunks: DataFrame,
+    models: DataFrame,
+    learners: dict[str, Learner],
+    names: tuple[str, ...],
+    frame: DataFrame,
+    target: str,
+    label: str,
+    local_values: int | None = None,
+) -> DataFrame:
+    """As :func:`fit`, for rows of ``models`` with a ``setting`` that names their learner.
+
+    All settings of all series and folds are fitted in one job.  ``chunks`` holds every
+    column that a learner needs (``names``), rows without some of them included; a learner
+    trains on the rows that have its own.  Settings that differ in the number of rounds
+    alone are one fit, cut to each length.  Windows that no task holds go through passes,
+    one setting after the other.
+    """
+    longest_of, cut_from = _longest_rounds(learners)
+    limit = max(1, (local_values or LOCAL_VALUES) // max(1, len(names)))
+    length = F.col("last") - F.col("first") + 1
+    wanted = models.filter(F.col(SETTING).isin(*longest_of))
+    count, longest = wanted.agg(F.count(F.lit(1)), F.max(length)).first()
+    small = wanted.filter(length <= limit)
+    parts = [stage(_in_tasks(chunks, small, learners, names, count, limit), label)]
+    if longest is not None and longest > limit:
+        for name in longest_of:
+            one = wanted.filter((F.col(SETTING) == name) & (length > limit)).drop(SETTING)
+            own = pack(frame, list(learners[name].names), target)
+            fitted = learners[name].fit(stage(own, "chunks"), stage(one, "folds"), frame, target)
+            parts.append(fitted.withColumn(SETTING, F.lit(name)))
+    fitted = reduce(DataFrame.unionByName, parts)
+    return stage(fitted.mapInPandas(_cutter(learners, cut_from), fitted.schema), label)
+
+
+def _longest_rounds(learners: dict[str, Learner]) -> tuple[list[str], dict[str, list[str]]]:
+    """The settings to fit, and for each of them those it stands for."""
+    groups: dict[Any, list[str]] = {}
+    for name, learner in learners.items():
+        rest = getattr(learner, "but_rounds", None)
+        groups.setdefault(rest() if rest else name, []).append(name)
+    stands = {max(g, key=lambda n: getattr(learners[n], "rounds", 0)): g for g in groups.values()}
+    return list(stands), stands
+
+
+def _cutter(learners: dict[str, Learner], stands: dict[str, list[str]]):
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                for name in stands[row[SETTING]]:
+                    params = row["params"]
+                    if name != row[SETTING] and len(params):
+                        params = learners[name].shortened(np.asarray(params))
+                    out.append({**row, SETTING: name, "params": params})
+            yield pd.DataFrame(out, columns=pdf.columns)
+
+    return run
+
+
 def _with_aux(models: DataFrame, aux: DataFrame) -> DataFrame:
     cols = models.columns
     none = F.array().cast("array<double>")
@@ -225,42 +292,55 @@ def fit_here(learner: Learner, x: np.ndarray, y: np.ndarray, to_end: np.ndarray)
 
 
 def _in_tasks(
-    chunks: DataFrame, models: DataFrame, learner: Learner, count: int, limit: int
+    chunks: DataFrame,
+    models: DataFrame,
+    learners: dict[str, Learner],
+    names: tuple[str, ...],
+    count: int,
+    limit: int,
 ) -> DataFrame:
     spark = chunks.sparkSession
     parallel = spark.sparkContext.defaultParallelism
     share = max(1, min(FOLDS_PER_TASK, count // (4 * parallel)))
-    group = F.floor(F.col("fold") / share).cast("long")
+    keys = [SERIES, SETTING, GROUP]
+    models = models.withColumn(GROUP, F.floor(F.col("fold") / share).cast("long"))
     # folds whose windows together would be too long stay apart
-    ends = models.withColumn(GROUP, group).groupBy(SERIES, GROUP).agg(
-        F.min("first").alias("_a"), F.max("last").alias("_b")
-    )
+    ends = models.groupBy(*keys).agg(F.min("first").alias("_a"), F.max("last").alias("_b"))
     apart = F.col("_b") - F.col("_a") + 1 > limit
     grouped = (
-        models.withColumn(GROUP, group)
-        .join(ends, [SERIES, GROUP])
+        models.join(ends, keys)
         .withColumn(GROUP, F.when(apart, -1 - F.col("fold")).otherwise(F.col(GROUP)))
         .drop("_a", "_b")
     )
-    wanted = grouped.groupBy(SERIES, GROUP).agg(F.min("first").alias("a"), F.max("last").alias("b"))
+    wanted = grouped.groupBy(*keys).agg(F.min("first").alias("a"), F.max("last").alias("b"))
     span = F.sequence(block_of("a", PACK_ROWS), block_of("b", PACK_ROWS))
     blocks = wanted.filter("a <= b").select(
-        SERIES, F.col(GROUP).alias("_part"), F.explode(span).alias(BLOCK)
+        SERIES,
+        F.col(SETTING).alias("_setting"),
+        F.col(GROUP).alias("_part"),
+        F.explode(span).alias(BLOCK),
     )
     # the number of partitions is given, as a few small groups would else share one task
     parts = int(max(parallel, min(2000, 8 * -(-count // share))))
-    rows = chunks.join(blocks, [SERIES, BLOCK]).repartition(parts, SERIES, "_part")
-    grouped = grouped.repartition(parts, SERIES, GROUP)
+    rows = chunks.join(blocks, [SERIES, BLOCK]).repartition(parts, SERIES, "_setting", "_part")
+    grouped = grouped.repartition(parts, *keys)
     return (
-        rows.groupBy(SERIES, "_part")
-        .cogroup(grouped.groupBy(SERIES, GROUP))
-        .applyInPandas(_fitter(learner), MODEL_SCHEMA)
+        rows.groupBy(SERIES, "_setting", "_part")
+        .cogroup(grouped.groupBy(*keys))
+        .applyInPandas(_fitter(learners, names), f"{MODEL_SCHEMA}, {SETTING} string")
     )
 
 
-def _fitter(learner: Learner):
+def _fitter(learners: dict[str, Learner], names: tuple[str, ...]):
+    places = {n: i for i, n in enumerate(names)}
+
     def run(key, blocks: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
-        idx, y, x = _joined(blocks.sort_values(BLOCK), len(learner.names))
+        idx, y, x = _joined(blocks.sort_values(BLOCK), len(names))
+        if len(models):
+            learner = learners[models[SETTING].iloc[0]]
+            x = x[:, [places[n] for n in learner.names]]
+            whole = ~np.isnan(x).any(axis=1)
+            idx, y, x = idx[whole], y[whole], x[whole]
         seconds, params = [], []
         for first, last in zip(models["first"], models["last"], strict=True):
             start = time.perf_counter()
@@ -348,17 +428,17 @@ class _Held:
 
     def sums(self, models: DataFrame) -> DataFrame:
         if self.learner.keeps_rows:
-            pairs = self.rows.join(_on_blocks(models, "work"), self.keys)
+            pairs = self.rows.join(on_blocks(models, "work"), self.keys)
             return pairs.mapInPandas(_summer(self.learner, _own_rows), STATS_SCHEMA)
         # folds share the rows of a block: each block once, beside all models that want it
         one = F.struct("fold", "first", "last", "aux", "work")
-        spread = _on_blocks(models, "first", "last", "aux", "work")
+        spread = on_blocks(models, "first", "last", "aux", "work")
         wanted = spread.groupBy(SERIES, BLOCK).agg(F.sort_array(F.collect_list(one)).alias("m"))
         pairs = self.rows.join(wanted, self.keys)
         return pairs.mapInPandas(_summer(self.learner, _shared_rows), STATS_SCHEMA)
 
     def keep(self, models: DataFrame) -> None:
-        pairs = self.rows.join(_on_blocks(models, "work"), self.keys)
+        pairs = self.rows.join(on_blocks(models, "work"), self.keys)
         self._hold(stage(pairs.mapInPandas(_keeper(self.learner), ROWS_SCHEMA), f"{self.label}-rows"))
 
     def drop(self) -> None:
@@ -367,7 +447,7 @@ class _Held:
             drop_stage(self.files)
 
 
-def _on_blocks(models: DataFrame, *more: str | Column) -> DataFrame:
+def on_blocks(models: DataFrame, *more: str | Column) -> DataFrame:
     """A model beside each block of its window, so that a long window is many keys."""
     blocks = F.sequence(block_of("first", PACK_ROWS), block_of("last", PACK_ROWS))
     return models.select(SERIES, "fold", F.explode(blocks).alias(BLOCK), *more)
@@ -390,7 +470,7 @@ def _carried(chunks: DataFrame, models: DataFrame, learner: Learner) -> DataFram
                     out.append((getattr(row, SERIES), row.fold, block, dumps(learner, ready)))
             yield pd.DataFrame(out, columns=[SERIES, "fold", BLOCK, "state"])
 
-    spread = _on_blocks(models, "first", "last", "aux")
+    spread = on_blocks(models, "first", "last", "aux")
     return chunks.join(spread, [SERIES, BLOCK]).mapInPandas(run, ROWS_SCHEMA)
 
 

@@ -25,11 +25,24 @@ class Baseline:
 
 @dataclass(frozen=True)
 class Setup:
-    """A model and the features it is fitted on; the baseline needs none."""
+    """A model and the features it is fitted on; the baseline needs none.
+
+    ``known_ahead`` are the covariates of a direct model, whose lags and leads
+    :meth:`prepared` adds to a grid.
+    """
 
     name: str
     model: Model | Baseline
     spec: FeatureSpec | None = None
+    known_ahead: tuple[str, ...] | None = None
+
+    def prepared(self, grid: DataFrame) -> DataFrame:
+        """A grid with the columns that the features are made from."""
+        if self.known_ahead is None:
+            return grid
+        freq, linear = self.spec.freq, self.name == "quantile-regressor"
+        steps = direct_linear_steps(freq) if linear else C.DIRECT_COVARIATE_OFFSETS[freq.code]
+        return direct_grid(grid, self.known_ahead, direct_parts(freq, quarter=not linear), steps)
 
 
 # Hyper-parameters of the workload.
@@ -102,6 +115,8 @@ def get_model(
         return Setup(name, QuantileForest(tuple(spec.names), levels=levels, **settings), spec)
     if name == "xgboost":
         return direct_trees(freq, x_cols, levels, chunk or (7 if daily else 24), **overrides)
+    if name == "quantile-regressor":
+        return direct_linear(freq, x_cols, levels, chunk or (7 if daily else 24), **overrides)
     raise ValueError(f"unsupported model: {name}")
 
 
@@ -146,7 +161,8 @@ def direct_trees(freq, x_cols, levels, chunk, **overrides) -> Setup:
     lags = range(1, C.DIRECT_TARGET_LAGS[freq.code] + 1)
     spec = _direct_spec(freq, static, lags, chunk)
     settings = {"rounds": 100, "learning_rate": 0.3, "depth": 6, "min_child": 1} | overrides
-    return Setup("xgboost", BoostedQuantile(tuple(spec.names), levels=levels, **settings), spec)
+    model = BoostedQuantile(tuple(spec.names), levels=levels, **settings)
+    return Setup("xgboost", model, spec, tuple(x_cols))
 
 
 def direct_linear_steps(freq: Freq) -> tuple[int, ...]:
@@ -158,4 +174,4 @@ def direct_linear(freq, x_cols, levels=C.LEVELS, chunk: int = 1, **overrides) ->
     lags = [d * freq.per_day for d in C.DIRECT_LINEAR_DAYS]
     spec = _direct_spec(freq, static, lags, chunk)
     model = LinearQuantile(tuple(spec.names), raw=tuple(spec.names), levels=levels, **overrides)
-    return Setup("quantile-regressor", model, spec)
+    return Setup("quantile-regressor", model, spec, tuple(x_cols))

@@ -7,7 +7,7 @@ quantile levels of a model grow their trees side by side.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -532,6 +532,18 @@ class BoostedQuantile:
         values = nodes[leaf, 3].reshape(len(x), -1, len(self.levels))
         return base + values.sum(axis=1)
 
+    def but_rounds(self) -> BoostedQuantile | None:
+        """What a longer fit must share with this one to hold it as its beginning."""
+        return self if self.patience else replace(self, rounds=0)
+
+    def shortened(self, params: np.ndarray) -> np.ndarray:
+        """The model after ``rounds`` rounds, from one of more rounds."""
+        base, roots, nodes = self._tables(params)
+        kept = min(self.rounds, int(params[0])) * len(self.levels)
+        end = roots[kept] if kept < len(roots) else len(nodes)
+        rounds = kept // len(self.levels)
+        return np.concatenate([[rounds], base, roots[:kept], nodes[:end].ravel()])
+
     def importance(self, params) -> np.ndarray:
         """Splits per level and feature."""
         _, roots, nodes = self._tables(params)

@@ -39,7 +39,8 @@ def baseline_backtest(
     weeks = max(spans) if spans else n_weeks
     far = (p.forecast_steps - 1) // freq.period  # full weeks ahead at the last step
     reach = (weeks + far) * freq.period
-    clipped = splitter.kind == "sliding" and p.initial_window < reach
+    known = isinstance(p.initial_window, int)
+    clipped = splitter.kind == "sliding" and not (known and p.initial_window >= reach)
     simple = far == 0 and not clipped and spans is None
 
     halo = with_halo(grid, "pos", back=reach)
@@ -62,7 +63,7 @@ def baseline_backtest(
     newest = F.col("pos") - (_weeks_ahead(F.col("h"), freq) + 1) * freq.period
     oldest = newest - (span - 1) * freq.period
     if splitter.kind == "sliding":
-        oldest = F.greatest(oldest, cutoff - p.initial_window + 1)
+        oldest = F.greatest(oldest, cutoff - p.window + 1)
     rows = rows.withColumns({"_old": oldest, "_new": newest})
     used = F.filter("_past", lambda x: x["pos"].between(F.col("_old"), F.col("_new")))
     rows = rows.withColumn("_s", F.array_sort(F.transform(used, lambda x: x["y"])))
@@ -71,6 +72,22 @@ def baseline_backtest(
     ).drop("_past", "_s", "_old", "_new")
 
 
+def baseline_table(history: DataFrame, freq: Freq, n_weeks: int, y: str = "y") -> DataFrame:
+    """``series_id, phase, _q``: quantiles of the last ``n_weeks`` of every phase, from a
+    history grid with ``hi`` per row."""
+    recent = history.filter(F.col("pos") > F.col("hi") - n_weeks * freq.period)
+    levels = F.array(*[F.lit(q) for q in LEVELS])
+    return recent.groupBy(SERIES, freq.phase("pos").alias("phase")).agg(
+        F.percentile(y, levels).alias("_q")
+    )
+
+
+def baseline_lookup(horizon: DataFrame, table: DataFrame, freq: Freq) -> DataFrame:
+    """``horizon(series_id, pos)`` with the quantiles of its phase."""
+    out = horizon.withColumn("phase", freq.phase("pos")).join(table, [SERIES, "phase"], "left")
+    return out.withColumns({c: F.col("_q")[i] for i, c in enumerate(QCOLS)}).drop("_q", "phase")
+
+
 def baseline_forecast(
     history: DataFrame, horizon: DataFrame, freq: Freq, n_weeks: int, y: str = "y"
 ) -> DataFrame:
@@ -79,10 +96,4 @@ def baseline_forecast(
     The last ``n_weeks`` of every phase are averaged into quantiles once per
     (series, phase); the horizon looks its phase up.
     """
-    recent = history.filter(F.col("pos") > F.col("hi") - n_weeks * freq.period)
-    levels = F.array(*[F.lit(q) for q in LEVELS])
-    table = recent.groupBy(SERIES, freq.phase("pos").alias("phase")).agg(
-        F.percentile(y, levels).alias("_q")
-    )
-    out = horizon.withColumn("phase", freq.phase("pos")).join(table, [SERIES, "phase"], "left")
-    return out.withColumns({c: F.col("_q")[i] for i, c in enumerate(QCOLS)}).drop("_q", "phase")
+    return baseline_lookup(horizon, baseline_table(history, freq, n_weeks, y), freq)

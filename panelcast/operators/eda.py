@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.operators.blocks import block_window, drop_halo, with_halo
+from panelcast.operators.blocks import BLOCK, HOME, with_halo
 from panelcast.operators.panel import SERIES, attach_series
-from panelcast.operators.quantiles import grouped_quantiles
+from panelcast.operators.quantiles import Ranked, grouped_quantiles
+from panelcast.session import stage
 
 QUARTILES = ([0.0, 0.25, 0.5, 0.75, 1.0], ["min", "q25", "q50", "q75", "max"])
 
@@ -25,19 +27,18 @@ def describe(df: DataFrame, keys: list[str], col: str = "y") -> DataFrame:
 
 def five_numbers(df: DataFrame, keys: list[str], col: str = "y") -> DataFrame:
     """Box-plot table: quartiles, whiskers within 1.5 IQR, and outliers beyond."""
-    box = grouped_quantiles(df, keys, col, *QUARTILES).drop("min", "max")
+    ranked = Ranked(df, keys, col)
+    box = ranked.quantiles(*QUARTILES).drop("min", "max")
     reach = (F.col("q75") - F.col("q25")) * 1.5
     fences = box.withColumns({"_lo": F.col("q25") - reach, "_hi": F.col("q75") + reach})
-    inside = F.col(col).between(F.col("_lo"), F.col("_hi"))
-    # collapse equal values before the join, so a large group is small when it meets its box
-    values = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count("*").alias("_n"))
+    inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
     return (
-        values.join(fences, keys)
+        ranked.beside(fences)
         .groupBy(*keys, "q25", "q50", "q75")
         .agg(
             F.sum("_n").alias("n"),
-            F.min(F.when(inside, F.col(col))).alias("whisker_low"),
-            F.max(F.when(inside, F.col(col))).alias("whisker_high"),
+            F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
+            F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
             F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0)).alias("outliers"),
         )
     )
@@ -46,8 +47,8 @@ def five_numbers(df: DataFrame, keys: list[str], col: str = "y") -> DataFrame:
 def autocorrelation(grid: DataFrame, lags: int, col: str = "y") -> DataFrame:
     """``sum((y_t - m)(y_{t-k} - m)) / sum((y_t - m)^2)`` for ``k = 0 .. lags``.
 
-    Products are summed on the map side: at most ``lags + 1`` rows per series and
-    task reach the shuffle.
+    A block of positions and the ``lags`` before it give one product of vectors per lag;
+    missing values count as 0 there.  What leaves a block is one row with ``lags + 1`` sums.
     """
     stats = grid.groupBy(SERIES).agg(
         F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.avg(col).alias("_m")
@@ -59,20 +60,26 @@ def autocorrelation(grid: DataFrame, lags: int, col: str = "y") -> DataFrame:
         .select(SERIES, "pos", "_d")
     )
     halo = with_halo(centred, "pos", back=lags)
-    w = block_window([SERIES], "pos").rangeBetween(-lags, 0)
-    past = F.collect_list(F.struct("pos", "_d")).over(w)
-    pairs = drop_halo(halo.withColumn("_past", past)).select(
-        SERIES, "pos", "_d", F.explode("_past").alias("o")
-    )
-    sums = (
-        pairs.select(
-            SERIES,
-            (F.col("pos") - F.col("o.pos")).alias("lag"),
-            (F.col("_d") * F.col("o._d")).alias("_p"),
-        )
-        .groupBy(SERIES, "lag")
-        .agg(F.sum("_p").alias("_s"))
-    )
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[HOME].to_numpy()
+        if not own.any():
+            return pd.DataFrame({SERIES: [], "sums": []})
+        pos, d = pdf["pos"].to_numpy(), pdf["_d"].to_numpy()
+        start = pos[own].min()
+        here = np.zeros(pos[own].max() - start + 1)
+        here[pos[own] - start] = d[own]
+        line = np.concatenate([np.zeros(lags), here])
+        before = ~own & (pos < start) & (pos >= start - lags)
+        line[pos[before] - start + lags] = d[before]
+        n = len(here)
+        sums = [float(here @ line[lags - k : lags - k + n]) for k in range(lags + 1)]
+        return pd.DataFrame({SERIES: [pdf[SERIES].iloc[0]], "sums": [sums]})
+
+    blocks = halo.groupBy(SERIES, BLOCK).applyInPandas(products, f"{SERIES} string, sums array<double>")
+    each = blocks.select(SERIES, F.posexplode("sums").alias("lag", "_s"))
+    sums = each.groupBy(SERIES, F.col("lag").cast("long").alias("lag")).agg(F.sum("_s").alias("_s"))
+    sums = stage(sums, "autocorrelation")  # a row per series and lag, read twice
     zero = sums.filter("lag = 0").select(SERIES, F.col("_s").alias("_s0"))
     return sums.join(zero, SERIES).select(SERIES, "lag", (F.col("_s") / F.col("_s0")).alias("acf"))
 

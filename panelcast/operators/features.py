@@ -126,6 +126,28 @@ def build_features(grid: DataFrame, spec: FeatureSpec, target_features: bool = T
     return drop_halo(out)
 
 
+def build_many(grid: DataFrame, specs: list[FeatureSpec]) -> DataFrame:
+    """Every feature of every spec, each made once; they share the frequency and the target.
+
+    Rows are blocked once, with a halo of the longest look-back.
+    """
+    first = specs[0]
+    if any((s.freq, s.target) != (first.freq, first.target) for s in specs):
+        raise ValueError("specs must share frequency and target")
+    df = grid
+    for spec in specs:
+        df = add_seasonal(df, spec)
+    halo = with_halo(df, "pos", back=max(s.reach for s in specs))
+    w = block_window([SERIES], "pos")
+    pairs = {(c, k) for s in specs for k in s.lags for c in [*s.lagged, s.target]}
+    out = halo.withColumns({f"{c}_lag_{k}": F.lag(c, k).over(w) for c, k in sorted(pairs)})
+    if any(s.rolling for s in specs):
+        rolling = seasonal_rolling_quantiles(out, first.freq, first.target)
+        out = out.withColumn("_rq", F.array(*rolling.values()))
+        out = out.withColumns({n: F.col("_rq")[i] for i, n in enumerate(rolling)}).drop("_rq")
+    return drop_halo(out)
+
+
 def training_frame(features: DataFrame, spec: FeatureSpec) -> DataFrame:
     """Rows with every feature and the label present."""
     return features.dropna("any", subset=[*spec.names, spec.target])

@@ -9,17 +9,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.calendar import Freq
-from panelcast.operators.panel import SERIES
+from panelcast.operators.panel import SERIES, with_ends
 
 
 @dataclass(frozen=True)
 class WindowParams:
-    """Sizes in rows."""
+    """Sizes in rows.  The initial window is one number, or the name of a grid column that
+    holds one per series (see :func:`evaluation_grid`)."""
 
-    initial_window: int
+    initial_window: int | str
     step_length: int
     forecast_steps: int
 
+    @property
+    def window(self) -> Column:
+        w = self.initial_window
+        return F.col(w) if isinstance(w, str) else F.lit(w)
+
+    @property
+    def columns(self) -> list[str]:
+        """Grid columns that the sizes come from."""
+        return [self.initial_window] if isinstance(self.initial_window, str) else []
+
 
 @dataclass(frozen=True)
 class Splitter:
@@ -46,12 +57,12 @@ def window_params(
 
 
 def n_folds(n_rows: Column, p: WindowParams) -> Column:
-    free = n_rows - p.initial_window - p.forecast_steps
-    return F.when(free < 0, 0).otherwise(F.floor(free / p.step_length) + 1)
+    free = n_rows - p.window - p.forecast_steps
+    return F.when((free < 0) | (p.window < 1), 0).otherwise(F.floor(free / p.step_length) + 1)
 
 
 def fold_table(series: DataFrame, freq: Freq, splitter: Splitter) -> DataFrame:
-    """One row per series and fold, from ``(series_id, lo, hi)``."""
+    """One row per series and fold, from ``(series_id, lo, hi)`` and the window's column."""
     p = splitter.params
     n = F.col("hi") - F.col("lo") + 1
     folds = (
@@ -59,8 +70,8 @@ def fold_table(series: DataFrame, freq: Freq, splitter: Splitter) -> DataFrame:
         .filter(F.col("_k") > 0)
         .withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)))
     )
-    cutoff = F.lit(p.initial_window - 1) + F.col("fold") * p.step_length
-    start = cutoff - p.initial_window + 1 if splitter.kind == "sliding" else F.lit(0)
+    cutoff = (p.window - 1) + F.col("fold") * p.step_length
+    start = cutoff - p.window + 1 if splitter.kind == "sliding" else F.lit(0)
     folds = folds.withColumn("cutoff_idx", cutoff).withColumn("train_start_idx", start)
     folds = folds.withColumn(
         "len_train_window", F.col("cutoff_idx") - F.col("train_start_idx") + 1
@@ -91,7 +102,7 @@ def test_rows(grid: DataFrame, p: WindowParams) -> DataFrame:
 
     The folds of a row follow from its index, so no range join is needed.
     """
-    i, w, s, h = F.col("idx"), p.initial_window, p.step_length, p.forecast_steps
+    i, w, s, h = F.col("idx"), p.window, p.step_length, p.forecast_steps
     first = F.ceil((i - w - h + 1) / s)
     last = F.floor((i - w) / s)
     out = _explode_folds(grid, first, last, p)
@@ -101,7 +112,7 @@ def test_rows(grid: DataFrame, p: WindowParams) -> DataFrame:
 def train_rows(grid: DataFrame, splitter: Splitter) -> DataFrame:
     """Every (fold, row) with the row in the fold's training window."""
     p = splitter.params
-    i, w, s = F.col("idx"), p.initial_window, p.step_length
+    i, w, s = F.col("idx"), p.window, p.step_length
     first = F.ceil((i - w + 1) / s)
     last = F.floor(i / s) if splitter.kind == "sliding" else n_folds(F.col("n_rows"), p) - 1
     return _explode_folds(grid, first, last, p)
@@ -111,3 +122,32 @@ def initial_window(grid: DataFrame, freq: Freq, day: str) -> DataFrame:
     """Rows up to and including a whole day, per series."""
     inside = F.to_date("ts") <= F.lit(day).cast("date")
     return grid.groupBy(SERIES).agg(F.count_if(inside).alias("initial_window"))
+
+
+WINDOW = "window"
+
+
+def evaluation_grid(
+    grid: DataFrame, freq: Freq, start: str | None, first: str, last: str | None
+) -> DataFrame:
+    """The part of an indexed grid that a dated evaluation sees, and its windows.
+
+    Rows from the day ``start`` through the day ``last``; the column ``window`` counts a
+    series' rows up to and including the day ``first``, so ``WindowParams("window", ...)``
+    gives each series folds from that day on.  A series without rows up to then has no folds.
+    """
+
+    def position(day: str) -> Column:
+        return freq.pos(F.lit(day).cast("timestamp_ntz"))
+
+    grid = with_ends(grid)
+    lo, hi = F.col("lo"), F.col("hi")
+    if start is not None:
+        lo = F.greatest(lo, position(start))
+    if last is not None:
+        hi = F.least(hi, position(last) + freq.per_day - 1)
+    inside = grid.filter(F.col("pos").between(lo, hi)).withColumns({"lo": lo, "hi": hi})
+    seen = position(first) + freq.per_day - F.col("lo")
+    rows = F.col("hi") - F.col("lo") + 1
+    window = F.least(F.greatest(seen, F.lit(0)), rows).cast("int")
+    return inside.withColumns({"idx": F.col("pos") - F.col("lo"), "n_rows": rows, WINDOW: window})

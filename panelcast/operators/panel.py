@@ -90,6 +90,33 @@ def with_index(grid: DataFrame) -> DataFrame:
     )
 
 
+def with_ends(grid: DataFrame) -> DataFrame:
+    """``lo`` and ``hi`` of an indexed grid."""
+    lo = F.col("pos") - F.col("idx")
+    return grid.withColumns({"lo": lo, "hi": lo + F.col("n_rows") - 1})
+
+
+def since(grid: DataFrame, freq: Freq, day: str) -> DataFrame:
+    """The part of an indexed grid from the start of a day on, numbered anew."""
+    first = F.greatest("lo", freq.pos(F.lit(day).cast("timestamp_ntz")))
+    return with_index(with_ends(grid).filter(F.col("pos") >= first).withColumn("lo", first))
+
+
+def extended(grid: DataFrame, freq: Freq, last: str) -> DataFrame:
+    """An indexed grid with rows up to the end of a day; new rows have no values."""
+    grid = with_ends(grid)
+    end = freq.pos(F.lit(last).cast("timestamp_ntz")) + freq.per_day - 1
+    hi = F.greatest("hi", end)
+    series = grid.groupBy(SERIES).agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+    more = series.filter(F.col("hi") < end).select(
+        SERIES, "lo", F.explode(F.sequence(F.col("hi") + 1, end)).alias("pos"), end.alias("hi")
+    )
+    longer = grid.withColumn("hi", hi).unionByName(
+        more.withColumn("ts", freq.at("pos")), allowMissingColumns=True
+    )
+    return with_index(longer)
+
+
 def attach_series(df: DataFrame, stats: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     """Join per-series values (with ``lo``/``hi``) to rows, block by block.
 

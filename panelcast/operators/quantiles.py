@@ -1,7 +1,8 @@
 """Exact interpolated quantiles.
 
-``sorted_quantile`` works on a short sorted array.  ``grouped_quantiles`` is for
-groups of any size: no task ever holds a whole group.
+``sorted_quantile`` works on a short sorted array.  ``Ranked`` is for groups of any size: its
+values are laid out in order over all partitions, so no task holds a whole group and no
+join is keyed by the group alone.
 """
 
 from __future__ import annotations
@@ -9,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.session import stage
+
+PART = "_part"  # number of a value's partition
+
 
 def sorted_quantile(values: Column, level: float) -> Column:
     """Linear interpolation in a sorted array without nulls; null when it is empty."""
@@ -20,85 +25,89 @@ def sorted_quantile(values: Column, level: float) -> Column:
     return F.when(n > 0, F.when(low == high, a).otherwise((high - rank) * a + (rank - low) * b))
 
 
-def grouped_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    levels: list[float],
-    names: list[str],
-    buckets: int = 64,
-) -> DataFrame:
-    """Exact quantiles per group by bucketed selection.
+class Ranked:
+    """The values of each group in order, by range partitions and counts of them.
 
-    1. Equal values are counted together (map-side combined).
-    2. Approximate quantiles, a bounded sketch per group, give bucket borders.
-    3. Bucket totals, at most ``buckets + 1`` rows per group, say which buckets
-       hold the wanted ranks.
-    4. Only those buckets are ordered, each in a task of its own.
+    ``values (keys, _v, _n, _part)``: distinct values, how often each occurs, and the range
+    partition that holds it; written out, as both its tables read it.  ``parts (keys, _part,
+    _in, _before, _total)``: the rows of a group in a partition, before it and in all; a group
+    has as many of these as there are partitions that hold it.
     """
-    if not keys:
-        whole = df.withColumn("_all", F.lit(0))
-        return grouped_quantiles(whole, ["_all"], value, levels, names, buckets).drop("_all")
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count("*").alias("_n"))
-    )
-    steps = [i / buckets for i in range(1, buckets)]
-    borders = counts.groupBy(*keys).agg(
-        F.percentile_approx("_v", steps, F.lit(buckets * 50)).alias("_borders"),
-        F.sum("_n").alias("_total"),
-    )
-    bucketed = counts.join(borders, keys).withColumn(
-        "_bucket",
-        F.aggregate(
-            "_borders", F.lit(0), lambda acc, b: acc + F.when(F.col("_v") > b, 1).otherwise(0)
-        ),
-    ).drop("_borders")
-    running = Window.partitionBy(*keys).orderBy("_bucket")
-    totals = bucketed.groupBy(*keys, "_bucket").agg(
-        F.sum("_n").alias("_in"), F.any_value("_total").alias("_total")
-    )
-    totals = totals.withColumn("_before", F.sum("_in").over(running) - F.col("_in"))
-    ranks = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                ((F.col("_total") - 1) * F.lit(float(q))).alias("rank"),
-            )
+
+    def __init__(self, df: DataFrame, keys: list[str], value: str, partitions: int | None = None):
+        self.keys = keys
+        spark = df.sparkSession
+        counts = (
+            df.filter(F.col(value).isNotNull())
+            .groupBy(*keys, F.col(value).alias("_v"))
+            .agg(F.count(F.lit(1)).alias("_n"))
+        )
+        wanted = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # staged first: choosing the borders reads it once more
+        ordered = stage(counts, "value-counts").repartitionByRange(wanted, *keys, "_v")
+        self.values = stage(ordered.withColumn(PART, F.spark_partition_id()), "ranked")
+        inside = self.values.groupBy(*keys, PART).agg(F.sum("_n").alias("_in"))
+        group = Window.partitionBy(*keys)
+        before = group.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+        self.parts = inside.withColumns(
+            {"_before": F.coalesce(F.sum("_in").over(before), F.lit(0)), "_total": F.sum("_in").over(group)}
+        )
+
+    def quantiles(self, levels: list[float], names: list[str]) -> DataFrame:
+        """Interpolated quantiles, one row per group; the partitions that hold a wanted rank
+        are the only ones whose values are counted up."""
+        ranks = [
+            F.struct(F.lit(i).alias("i"), ((F.col("_total") - 1) * F.lit(float(q))).alias("rank"))
             for i, q in enumerate(levels)
         ]
-    )
-    wanted = (
-        totals.withColumn("_r", F.explode(ranks))
-        .select(*keys, "_bucket", "_in", "_before", "_r.i", "_r.rank")
-        .withColumn("_need", F.explode(F.array_distinct(F.array(F.floor("rank"), F.ceil("rank")))))
-        .filter(
-            (F.col("_need") >= F.col("_before"))
-            & (F.col("_need") < F.col("_before") + F.col("_in"))
+        both = F.array_distinct(F.array(F.floor("rank"), F.ceil("rank")))
+        here = (F.col("_need") >= F.col("_before")) & (F.col("_need") < F.col("_before") + F.col("_in"))
+        wanted = (
+            self.parts.withColumn("_r", F.explode(F.array(*ranks)))
+            .select(*self.keys, PART, "_in", "_before", "_r.i", "_r.rank")
+            .withColumn("_need", F.explode(both))
+            .filter(here)
         )
-    )
-    hit = wanted.select(*keys, "_bucket", "_before").distinct()
-    within = Window.partitionBy(*keys, "_bucket").orderBy("_v")
-    ordered = (
-        bucketed.join(hit, [*keys, "_bucket"])
-        .withColumn("_stop", F.sum("_n").over(within) + F.col("_before"))
-        .withColumn("_start", F.col("_stop") - F.col("_n"))
-        .select(*keys, "_bucket", "_v", "_start", "_stop")
-    )
-    found = wanted.join(ordered, [*keys, "_bucket"]).filter(
-        (F.col("_need") >= F.col("_start")) & (F.col("_need") < F.col("_stop"))
-    )
-    aggs = []
-    for i, name in enumerate(names):
+        place = [*self.keys, PART]
+        hit = wanted.select(*place, "_before").distinct()
+        up_to = Window.partitionBy(*place).orderBy("_v")
+        counted = (
+            self.values.join(hit, place)
+            .withColumn("_stop", F.sum("_n").over(up_to) + F.col("_before"))
+            .withColumn("_start", F.col("_stop") - F.col("_n"))
+            .select(*place, "_v", "_start", "_stop")
+        )
+        inside = (F.col("_need") >= F.col("_start")) & (F.col("_need") < F.col("_stop"))
+        found = wanted.join(counted, place).filter(inside)
+        return found.groupBy(*self.keys).agg(*(self._at(i, n) for i, n in enumerate(names)))
+
+    @staticmethod
+    def _at(i: int, name: str) -> Column:
         here = F.col("i") == i
         low = F.min(F.when(here & (F.col("_need") == F.floor("rank")), F.col("_v")))
         high = F.max(F.when(here & (F.col("_need") == F.ceil("rank")), F.col("_v")))
         rank = F.max(F.when(here, F.col("rank")))
-        part = rank - F.floor(rank)
         # same order of operations as the built-in percentile
-        value_at = F.when(part == 0, low).otherwise(
-            (F.ceil(rank) - rank) * low + (rank - F.floor(rank)) * high
+        between = (F.ceil(rank) - rank) * low + (rank - F.floor(rank)) * high
+        return F.when(rank == F.floor(rank), low).otherwise(between).alias(name)
+
+    def beside(self, groups: DataFrame) -> DataFrame:
+        """``values`` with the columns of one row per group, joined by group and partition."""
+        return self.values.join(
+            self.parts.select(*self.keys, PART).join(groups, self.keys), [*self.keys, PART]
         )
-        aggs.append(value_at.alias(name))
-    return found.groupBy(*keys).agg(*aggs)
+
+
+def grouped_quantiles(
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    levels: list[float],
+    names: list[str],
+    partitions: int | None = None,
+) -> DataFrame:
+    """Exact quantiles per group of any size, or of all rows without ``keys``."""
+    if not keys:
+        whole = df.withColumn("_all", F.lit(0))
+        return grouped_quantiles(whole, ["_all"], value, levels, names, partitions).drop("_all")
+    return Ranked(df, keys, value, partitions).quantiles(levels, names)

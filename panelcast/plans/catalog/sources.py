@@ -11,6 +11,7 @@ from panelcast.plans import tables as T
 from panelcast.plans.catalog.registry import LEVELS_SQL, q_columns, query, r, with_ctes
 from panelcast.session import scratch_dir
 from panelcast.sources import artifacts, landed, landing
+from panelcast.sources.feed_source import read_weekly_feed
 
 
 @query(
@@ -78,6 +79,22 @@ def s4(spark, sf_dir):
     return landed.read_feed(spark, path, index).select(SERIES, "epoch_ms", r("y"))
 
 
+@query(
+    "s4_feed_source",
+    with_ctes(
+        """SELECT series_id, epoch_ms(ts) AS epoch_ms, round(y, 6) AS y FROM hgrid
+           WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20 06:00:00'""",
+        "hgrid",
+    ),
+)
+def s4_source(spark, sf_dir):
+    """Ten days of the feed through the data source, which opens the weeks they touch."""
+    path, index = scratch_dir(spark, "feed"), scratch_dir(spark, "index")
+    landing.land_feed(T.hourly_grid(spark, sf_dir), path, index)
+    rows = read_weekly_feed(spark, path, index, start_ms=1704844800000, end_ms=1705730400000)
+    return rows.select(SERIES, "epoch_ms", r("y"))
+
+
 @query(
     "s5_shard_skip",
     with_ctes(
@@ -190,8 +207,8 @@ def s10(spark, sf_dir):
     artifacts.write_metrics(metrics, [SERIES], path)
     parsed = F.from_json("value", "map<string, struct<mean: double, std: double>>")
     return (
-        spark.read.text(path)
-        .select(F.col(SERIES).cast("string").alias(SERIES), F.explode(parsed).alias("metric", "v"))
+        artifacts.read_metrics(spark, path, [SERIES])
+        .select(SERIES, F.explode(parsed).alias("metric", "v"))
         .select(
             SERIES,
             "metric",

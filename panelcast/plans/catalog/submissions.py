@@ -6,20 +6,28 @@ import warnings
 
 from pyspark.sql import functions as F
 
-from panelcast.config import HORIZONS, QCOLS, SUBMISSION_QCOLS
-from panelcast.functions.calendar import DAILY
+from panelcast.config import HORIZONS, LEVELS, QCOLS, SUBMISSION_QCOLS
+from panelcast.functions.calendar import DAILY, HOURLY
+from panelcast.models.registry import get_model
 from panelcast.operators.folds import n_folds
-from panelcast.operators.panel import SERIES, tail_of_history
+from panelcast.operators.panel import SERIES, regularize, tail_of_history
 from panelcast.operators.scoring import intervals
 from panelcast.operators.submission import check_submission, verdict
 from panelcast.plans import evaluate, submit
 from panelcast.plans import tables as T
 from panelcast.plans.catalog.cleaning import _prefix_sql
 from panelcast.plans.catalog.joins import _EASTER_SQL
-from panelcast.plans.catalog.registry import LEVELS_SQL, query, r, with_ctes
-from panelcast.plans.prepare import prepare
-from panelcast.session import scratch_dir
-from panelcast.sources import artifacts, landing
+from panelcast.plans.catalog.registry import (
+    LEVELS_SQL,
+    LOSSES_SQL,
+    filled_sql,
+    query,
+    r,
+    with_ctes,
+)
+from panelcast.plans.prepare import Target, prepare, prepare_target, read_weather
+from panelcast.session import scratch_dir, stage
+from panelcast.sources import artifacts, landed, landing
 
 _TODAY = "2024-02-01"
 
@@ -350,6 +358,31 @@ def v10(spark, sf_dir):
     return _rounded(back)
 
 
+@query(
+    "v10_submit_fitted",
+    f"""SELECT s.row_id, s.target, s.horizon, s.target = 'no2' AS is_null, true AS is_ordered
+        FROM ({_SKELETON}) s""",
+)
+def v10_fitted(spark, sf_dir):
+    """The file from models that were fitted, saved and read back: which rows have values,
+    and whether these do not decrease."""
+    setups = {"bikes": get_model("quantreg", DAILY), "energy": get_model("quantreg", HOURLY)}
+    root = scratch_dir(spark, "models")
+    rows = submit.fitted_forecasts(spark, sf_dir, setups, root)
+    back = submit.write_submission(
+        submit.submission(spark, sf_dir, rows), scratch_dir(spark, "submission")
+    )
+    values = F.array(*[F.col(f"`{c}`") for c in SUBMISSION_QCOLS])
+    known = F.filter(values, lambda v: v.isNotNull())
+    return back.select(
+        "row_id",
+        "target",
+        "horizon",
+        (F.size(known) == 0).alias("is_null"),
+        (F.array_sort(known) == known).alias("is_ordered"),
+    )
+
+
 def _prepare_sql() -> str:
     body = _prefix_sql()
     return f"""SELECT p.*, strftime(ts, '%m-%d') IN
@@ -373,6 +406,110 @@ def v11(spark, sf_dir):
     )
 
 
+_HOLIDAY_SQL = f"""strftime(ts, '%m-%d') IN
+          ('01-01','01-06','05-01','10-03','11-01','12-25','12-26')
+        OR ts::DATE IN (SELECT (d + o)::DATE FROM (VALUES {_EASTER_SQL}) e(d),
+          (VALUES (-2), (1), (39), (50), (60)) k(o))"""
+
+# All hours of January 2024 are an hour later in local time.
+_PREPARED_FEED = with_ctes(
+    f"""SELECT series_id, ts, round(y::FLOAT::DOUBLE, 3) AS y, {_HOLIDAY_SQL} AS is_holiday FROM (
+          SELECT series_id, ts + INTERVAL 1 HOUR AS ts, (y / 10) AS y FROM hfill)""",
+    "hfill",
+)
+
+
+def _rows_of_panel(out, digits: int = 3):
+    return out.select(
+        F.col(SERIES).cast("string").alias(SERIES), "ts",
+        F.round(F.col("y").cast("double"), digits).alias("y"), "is_holiday",
+    )
+
+
+@query("v11_prepare_feed", _PREPARED_FEED)
+def v11_feed(spark, sf_dir):
+    """An hourly target from its weekly feed, to local time, scaled, filled."""
+    path, index, root = (scratch_dir(spark, n) for n in ("feed", "index", "stage"))
+    landing.land_feed(T.hourly(spark, sf_dir), path, index)
+    target = Target("feed", HOURLY, scale=10.0, max_lag=168)
+    return _rows_of_panel(prepare_target(spark, target, path, root, index))
+
+
+# An hour is labelled by its end, and 24:00 stays on its date.
+_PREPARED_TEXT = with_ctes(
+    f"""SELECT series_id, ts, round((CASE WHEN pos <= last THEN y END)::FLOAT::DOUBLE, 3) AS y,
+          {_HOLIDAY_SQL} AS is_holiday
+        FROM ({filled_sql("upto", ["y"], ", last")})""",
+    "hgrid",
+    labelled="""SELECT series_id, date_trunc('day', ts) + to_hours(((hour(ts) + 1) % 24)::INT) AS ts, y
+        FROM hgrid""",
+    backfilled="""SELECT series_id, ts, datediff('hour', TIMESTAMP '1970-01-01', ts) AS pos,
+          first_value(CASE WHEN l.series_id IS NOT NULL THEN {'y': l.y} END IGNORE NULLS) OVER (
+            PARTITION BY series_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING).y AS y
+        FROM (SELECT series_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts
+              FROM labelled GROUP BY 1) g LEFT JOIN labelled l USING (series_id, ts)""",
+    upto="""SELECT *, max(pos) FILTER (WHERE y IS NOT NULL) OVER (PARTITION BY series_id) AS last
+        FROM backfilled""",
+)
+
+
+@query("v11_prepare_text", _PREPARED_TEXT)
+def v11_text(spark, sf_dir):
+    """An hourly target from delimited text with a footer and quoted hours."""
+    path, root = scratch_dir(spark, "delimited"), scratch_dir(spark, "stage")
+    landing.land_delimited(T.hourly_grid(spark, sf_dir), path)
+    return _rows_of_panel(prepare_target(spark, Target("text", HOURLY), path, root))
+
+
+_NOW = "2001-08-01"
+
+
+@query(
+    "v11_prepare_stitched",
+    with_ctes(
+        f"""SELECT series_id, ts, round((CASE WHEN pos <= last THEN y END)::FLOAT::DOUBLE, 2) AS y,
+              quantity, {_HOLIDAY_SQL} AS is_holiday
+            FROM ({filled_sql("seen", ["y"], ", last, quantity")})""",
+        "daily",
+        "cov",
+        seen="""SELECT g.series_id, g.ts, datediff('day', DATE '1970-01-01', g.ts::DATE) AS pos, d.y,
+              coalesce(c.quantity, 0)::DOUBLE AS quantity,
+              max(CASE WHEN d.y IS NOT NULL THEN datediff('day', DATE '1970-01-01', g.ts::DATE) END)
+                OVER (PARTITION BY g.series_id) AS last
+            FROM (SELECT series_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS ts
+                  FROM cov GROUP BY 1) g
+            LEFT JOIN cov c USING (series_id, ts) LEFT JOIN daily d USING (series_id, ts)""",
+    ),
+)
+def v11_stitched(spark, sf_dir):
+    """A daily target from JSON pairs, its weather stitched from history and a forecast feed
+    (packed arrays) that knows sixty days back; one of two variables stays."""
+    pairs, root = scratch_dir(spark, "pairs"), scratch_dir(spark, "stage")
+    landing.land_pairs(T.daily(spark, sf_dir), pairs)
+    names = ["quantity", "discount"]
+    weather = stage(regularize(T.covariates(spark, sf_dir), DAILY, names).fillna(0.0), "weather")
+    # history ends thirty days before now, and is wrong where the feed knows better
+    now = F.lit(_NOW).cast("timestamp_ntz")
+    recent = F.col("ts") >= now - F.expr("interval 60 days")
+    history = weather.filter(F.col("ts") < now - F.expr("interval 30 days"))
+    history = history.withColumn("quantity", F.when(recent, -1.0).otherwise(F.col("quantity")))
+    feeds = []
+    for frame in (history, weather):
+        path = scratch_dir(spark, "packed")
+        landing.land_packed(frame, names, path)
+        schema = (
+            "series_id string, start long, end long, interval_seconds long, "
+            "quantity array<double>, discount array<double>"
+        )
+        feeds.append(landed.unpack_arrays(spark.read.schema(schema).json(path), names))
+    stitched = stage(read_weather(*feeds, DAILY, now, 60, 120), "stitched")
+    target = Target("pairs", DAILY, weather=("quantity",), max_lag=28)
+    out = prepare_target(spark, target, pairs, root, weather=stitched)
+    return _rows_of_panel(out, 2).join(
+        out.select(F.col(SERIES).cast("string").alias(SERIES), "ts", "quantity"), [SERIES, "ts"]
+    )
+
+
 @query(
     "v12_plot_table",
     with_ctes(
@@ -415,3 +552,66 @@ def v12(spark, sf_dir):
 def v14(spark, sf_dir):
     """Panel, grid, folds, one-pass backtest, scores, metrics."""
     return evaluate.evaluate(spark, sf_dir).select(SERIES, "metric", r("mean"), r("std"))
+
+
+# Two years of weekly folds from a day on, on data from another day on.
+PERIOD = evaluate.Period("1998-10-23", "2000-10-23", "1996-03-01")
+
+
+def _dated_ctes() -> dict[str, str]:
+    """Every series has a window of its own: its rows up to the first day."""
+    grid = f"""SELECT g.series_id, g.ts, d.y,
+            row_number() OVER (PARTITION BY g.series_id ORDER BY g.ts) - 1 AS idx,
+            count(*) OVER (PARTITION BY g.series_id) AS n_rows,
+            count(*) FILTER (WHERE g.ts < TIMESTAMP '{PERIOD.first}' + INTERVAL 1 DAY)
+              OVER (PARTITION BY g.series_id) AS w
+          FROM (SELECT series_id, unnest(generate_series(
+                  greatest(min(ts), TIMESTAMP '{PERIOD.cutoff}'),
+                  least(max(ts), TIMESTAMP '{PERIOD.last}'), INTERVAL 1 DAY)) AS ts
+                FROM daily GROUP BY series_id) g LEFT JOIN daily d USING (series_id, ts)"""
+    pred = f"""SELECT series_id, fold, ts, y, quantile_cont(past, {LEVELS_SQL}) AS q FROM (
+          SELECT t.*, p.y AS past, row_number() OVER (
+            PARTITION BY t.series_id, t.fold, t.ts ORDER BY p.idx DESC) AS rn
+          FROM (SELECT g.*, f.fold, g.w - 1 + f.fold * 7 AS cut
+                FROM grid g JOIN (
+                  SELECT series_id, unnest(range(0, (n_rows - w - 7) // 7 + 1)) AS fold
+                  FROM (SELECT DISTINCT series_id, n_rows, w FROM grid) WHERE n_rows >= w + 7) f
+                  USING (series_id)
+                WHERE g.idx BETWEEN g.w + f.fold * 7 AND g.w + 6 + f.fold * 7) t
+          JOIN grid p ON p.series_id = t.series_id AND p.idx <= t.cut AND p.idx > t.cut - t.w
+            AND (t.idx - p.idx) % 7 = 0)
+          WHERE rn <= 100 GROUP BY ALL"""
+    scored = """SELECT series_id, fold, ts, y, q[1] AS q025, q[2] AS q25, q[3] AS q50, q[4] AS q75,
+          q[5] AS q975 FROM pred WHERE y IS NOT NULL"""
+    fold = f"SELECT series_id, fold, {LOSSES_SQL} FROM scored GROUP BY ALL"
+    return {"grid": grid, "pred": pred, "scored": scored, "fold_scores": fold}
+
+
+_DATED_COLS = ", ".join(
+    f'round(loss_{c}, 6) AS "{q}"' for c, q in zip(QCOLS, LEVELS, strict=True)
+)
+
+
+@query(
+    "v14_evaluate_period",
+    with_ctes(
+        f"""SELECT f.series_id, f.fold, lo + to_days((w - 1 + f.fold * 7)::INT) AS cutoff,
+              w AS len_train_window, {_DATED_COLS},
+              round(loss_q025 + loss_q25 + loss_q50 + loss_q75 + loss_q975, 6) AS "test_PinballLoss"
+            FROM fold_scores f JOIN (SELECT series_id, min(ts) AS lo, any_value(w) AS w
+                                     FROM grid GROUP BY 1) USING (series_id)""",
+        "daily",
+        **_dated_ctes(),
+    ),
+)
+def v14_period(spark, sf_dir):
+    """Dates give the folds; results as they are read back from the CSV sink."""
+    root = scratch_dir(spark, "evaluation")
+    setup = get_model("benchmark", DAILY)
+    results, _ = evaluate.evaluate_period(T.daily_grid(spark, sf_dir), DAILY, setup, PERIOD, root)
+    back = artifacts.read_csv(spark, f"{root}/eval_results", results.schema)
+    losses = [*map(str, LEVELS), "test_PinballLoss"]
+    return back.select(
+        SERIES, "fold", "cutoff", "len_train_window",
+        *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in losses],
+    )

@@ -173,16 +173,16 @@ def w7(spark, sf_dir):
     )
 
 
-def _acf_sql(grid: str, lags: int) -> str:
-    return f"""WITH_HERE SELECT series_id, (a.pos - b.pos)::BIGINT AS lag,
-          round(sum(a.d * b.d) / any_value(s.s0), 8) AS acf
+def _acf_sql(lags: int, digits: int) -> str:
+    return f"""SELECT series_id, (a.pos - b.pos)::BIGINT AS lag,
+          round(sum(a.d * b.d) / any_value(s.s0), {digits}) AS acf
         FROM c a JOIN c b USING (series_id)
         JOIN (SELECT series_id, sum(d * d) AS s0 FROM c GROUP BY 1) s USING (series_id)
         WHERE a.pos - b.pos BETWEEN 0 AND {lags} GROUP BY 1, 2"""
 
 
-def _acf_query(grid: str, lags: int) -> str:
-    select = _acf_sql(grid, lags).replace("WITH_HERE ", "")
+def _acf_query(grid: str, lags: int, digits: int = 8) -> str:
+    select = _acf_sql(lags, digits)
     centred = f"SELECT series_id, pos, y - avg(y) OVER (PARTITION BY series_id) AS d FROM {grid}"
     return with_ctes(select, grid, c=centred)
 
@@ -199,9 +199,26 @@ def w8_hourly(spark, sf_dir):
     return out.select(SERIES, "lag", r("acf", 8))
 
 
-@query("w8_partial_autocorrelation")
+# Durbin-Levinson, one lag a step: r[k + 1] is the autocorrelation at lag k.
+_PACF_STEP = """SELECT series_id, r, k + 1 AS k, last AS pacf,
+      list_append(list_transform(range(1, k + 1), lambda j: phi[j] - last * phi[k + 1 - j]), last) AS phi
+    FROM (SELECT *, (r[k + 2] - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j])), 0))
+            / (1 - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j + 1])), 0)) AS last
+          FROM dl WHERE k < 30)"""
+
+
+@query(
+    "w8_partial_autocorrelation",
+    f"""WITH RECURSIVE acf AS (SELECT * FROM ({_acf_query("dfill", 30, 17)})),
+    dl AS (
+      SELECT series_id, list(acf ORDER BY lag) AS r, 0 AS k, 1.0::DOUBLE AS pacf, []::DOUBLE[] AS phi
+      FROM acf GROUP BY 1
+      UNION ALL {_PACF_STEP})
+    SELECT series_id, k AS lag, round(pacf, 6) AS pacf FROM dl""",
+)
 def w8_partial(spark, sf_dir):
-    return eda.partial_autocorrelation(eda.autocorrelation(T.daily_filled(spark, sf_dir), 30))
+    out = eda.partial_autocorrelation(eda.autocorrelation(T.daily_filled(spark, sf_dir), 30))
+    return out.select(SERIES, "lag", r("pacf"))
 
 
 @query(

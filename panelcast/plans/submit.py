@@ -13,11 +13,14 @@ from panelcast.functions.calendar import (
     forecast_hours,
     next_wednesday,
 )
+from panelcast.models.forecast import forecast
+from panelcast.models.registry import Setup
 from panelcast.operators.baseline import baseline_forecast
-from panelcast.operators.panel import SERIES, aggregate_panel, regularize
+from panelcast.operators.panel import SERIES, aggregate_panel, extended, interpolate, regularize
 from panelcast.operators.submission import ROW_ID, build_submission, horizon_label
 from panelcast.plans import tables as T
 from panelcast.plans.tables import RATE
+from panelcast.plans.train import train_and_save
 from panelcast.session import stage
 from panelcast.sources import artifacts
 
@@ -82,9 +85,34 @@ def target_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fitted_forecasts(spark: SparkSession, sf_dir: str, setups: dict[str, Setup], root: str) -> DataFrame:
+    """As :func:`target_forecasts`, from a model per target that is fitted, written under
+    ``root`` and read back."""
+    parts = []
+    grids = target_grids(spark, sf_dir)
+    as_of = as_of_date(*grids)
+    for grid, freq, target in zip(grids, (DAILY, HOURLY), ("bikes", "energy"), strict=True):
+        setup, place = setups[target], f"{root}/{target}"
+        filled = interpolate(grid, ["y"])
+        train_and_save(filled, setup, place)
+        dates = stage(horizon_dates(grid, freq, as_of), "horizon")
+        end = dates.agg(F.date_format(F.max("ts"), "yyyy-MM-dd")).first()[0]
+        ahead = stage(extended(filled, freq, end), "ahead")
+        models = artifacts.read_model(spark, place)
+        steps = ahead.join(models, SERIES).agg(F.max("hi") - F.min(F.col("lo") + F.col("last"))).first()[0]
+        rows = forecast(ahead, models, setup.spec, setup.model, int(steps))
+        rows = rows.join(dates.select(SERIES, "wednesday", "pos"), [SERIES, "pos"])
+        label = horizon_label("ts", "wednesday", daily=freq is DAILY)
+        parts.append(
+            rows.select(F.lit(target).alias("target"), label.alias("horizon"), "wednesday", *QCOLS)
+        )
+    return parts[0].unionByName(parts[1])
+
+
+def submission(spark: SparkSession, sf_dir: str, forecasts: DataFrame | None = None) -> DataFrame:
     """The 18 submission rows; ``forecast_date`` is the Wednesday the horizon starts from."""
-    forecasts = stage(target_forecasts(spark, sf_dir), "forecasts")  # 12 rows
+    forecasts = target_forecasts(spark, sf_dir) if forecasts is None else forecasts
+    forecasts = stage(forecasts, "forecasts")  # 12 rows
     wednesday = forecasts.agg(F.date_format(F.max("wednesday"), "yyyy-MM-dd")).first()[0]
     return build_submission(forecasts, F.lit(wednesday))
 

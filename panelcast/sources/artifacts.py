@@ -2,29 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.operators.panel import SERIES
 
 
-def data_path(root: str, target: str | None = None) -> str:
-    """Panel location; a target is a partition of it."""
-    return f"{root}/panel" if target is None else f"{root}/panel/{SERIES}={target}"
+# Folders of a panel, whatever the number of series.
+BUCKETS = 64
+BUCKET = "bucket"
 
 
-def model_path(root: str, target: str | None = None) -> str:
-    return f"{root}/model" if target is None else f"{root}/model/{SERIES}={target}"
+def _bucket(series) -> Column:
+    return F.pmod(F.xxhash64(series), F.lit(BUCKETS)).cast("int")
+
+
+def data_path(root: str) -> str:
+    """Panel location: a folder per bucket of series in it."""
+    return f"{root}/panel"
+
+
+def model_path(root: str) -> str:
+    return f"{root}/model"
 
 
 def write_panel(df: DataFrame, root: str) -> str:
-    """Parquet, one folder per series.  Rows are spread by series and year first, so a
-    long series is written by several tasks."""
+    """Parquet, one folder per bucket of series, in order of series and time within a file.
+
+    Rows are spread by bucket and year first, so a long series is written by several tasks.
+    """
     path = data_path(root)
     (
-        df.repartition(F.col(SERIES), F.year("ts"))
+        df.withColumn(BUCKET, _bucket(F.col(SERIES).cast("string")))
+        .repartition(F.col(BUCKET), F.year("ts"))
+        .sortWithinPartitions(BUCKET, SERIES, "ts")
         .write.mode("overwrite")
-        .partitionBy(SERIES)
+        .partitionBy(BUCKET)
         .parquet(path)
     )
     return path
@@ -37,11 +50,12 @@ def read_panel(
     start: str | None = None,
     end: str | None = None,
 ) -> DataFrame:
-    """Panel rows; target and dates (whole days, inclusive) are pruned at the scan."""
+    """Panel rows; target and dates (whole days, inclusive) are pruned at the scan: a target
+    by its bucket's folder, and by the order of series within it."""
     df = spark.read.parquet(data_path(root))
     if target is not None:
-        df = df.filter(F.col(SERIES) == target)
-    return time_slice(df, start, end)
+        df = df.filter((F.col(BUCKET) == _bucket(F.lit(target))) & (F.col(SERIES) == target))
+    return time_slice(df.drop(BUCKET), start, end)
 
 
 def time_slice(
@@ -76,7 +90,21 @@ def nested_metrics(metrics: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def write_metrics(metrics: DataFrame, keys: list[str], path: str) -> None:
-    nested_metrics(metrics, keys).write.mode("overwrite").partitionBy(*keys).text(path)
+    """One JSON line per key, ``{keys..., "metrics": {metric: {mean, std}}}``, in files of
+    whole tasks: no folder per key."""
+    nested = nested_metrics(metrics, keys)
+    head = F.to_json(F.struct(*keys))
+    # the metrics are JSON already: they go behind the keys as they are
+    open_end = head.substr(F.lit(1), F.length(head) - 1)
+    line = F.concat(open_end, F.lit(',"metrics":'), F.col("value"), F.lit("}"))
+    nested.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_metrics(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """``keys..., value``: the metrics of each key as JSON text."""
+    lines = spark.read.text(path)
+    cells = [F.get_json_object("value", f"$.{k}").alias(k) for k in keys]
+    return lines.select(*cells, F.get_json_object("value", "$.metrics").alias("value"))
 
 
 def write_model(model: DataFrame, root: str) -> str:

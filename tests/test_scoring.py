@@ -75,7 +75,7 @@ def test_exact_quantiles_with_a_hot_group_and_ties(spark):
     data = [("hot", float(v)) for v in hot] + [("cold", float(v)) for v in cold]
     data += [("one", 4.0), ("hot", None)]
     df = spark.createDataFrame(data, "k string, v double")
-    out = grouped_quantiles(df, ["k"], "v", list(LEVELS), list(QCOLS), buckets=16)
+    out = grouped_quantiles(df, ["k"], "v", list(LEVELS), list(QCOLS), partitions=16)
     got = {r.k: [r[c] for c in QCOLS] for r in out.collect()}
     assert got["hot"] == pytest.approx(list(np.quantile(hot, LEVELS)))
     assert got["cold"] == pytest.approx(list(np.quantile(cold, LEVELS)))
