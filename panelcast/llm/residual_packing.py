@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import narrow, pieces
+from panelcast.llm.common import kept, narrow, pieces
 from panelcast.session import stage
 
 LENGTH = 1024
@@ -173,7 +173,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, length: int, end_id: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder = UnitCoder(shared.value)
+        coder = kept("unit coder", hash(shared.value), lambda: UnitCoder(shared.value))
         base = TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
 

@@ -14,7 +14,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from panelcast.llm.common import narrow, per_document
+from panelcast.llm.common import kept, narrow, per_document
 
 END = "</w>"
 NEVER = 1 << 60
@@ -252,14 +252,15 @@ def encode_documents(
 
     ``vocabulary`` is the text of a tokenizer file with word-end marks; it has a fixed
     size and goes to the tasks along with the code.  Distinct stretches of a batch are
-    encoded together in one trie; a task keeps at most ``MEMO`` of them.  A null or empty
+    encoded together in one trie; a Python worker keeps at most ``MEMO`` of them from task to
+    task.  A null or empty
     text has no tokens, and its digests are those of nothing.  Repeated rows get a row
     each; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def make():
-        coder = WordCoder(shared.value)
+        coder = kept("word coder", hash(shared.value), lambda: WordCoder(shared.value))
 
         def work(texts):
             return [
