@@ -56,8 +56,8 @@ class LinearQuantileRegression(Estimator, _LinearParams):
     def fit_levels(self, dataset: DataFrame, levels: list[float]) -> list[LinearQuantileRegressionModel]:
         """A model per level, all of them from the same rows, which are packed once.
 
-        Rows are numbered by a hash of their values before they are staged: a lost task
-        that is computed again gives the same blocks.
+        They are staged before they are numbered: a lost task that is computed again gives
+        the same blocks.
         """
         x, y = self.getFeaturesCol(), self.getLabelCol()
         rows = dataset.select(F.col(y).cast("double").alias("y"), vector_to_array(x).alias("_x"))
