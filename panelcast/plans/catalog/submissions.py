@@ -431,7 +431,7 @@ def v11_feed(spark, sf_dir):
     """An hourly target from its weekly feed, to local time, scaled, filled."""
     path, index, root = (scratch_dir(spark, n) for n in ("feed", "index", "stage"))
     landing.land_feed(T.hourly(spark, sf_dir), path, index)
-    target = Target("feed", HOURLY, scale=10.0, max_lag=168)
+    target = Target("feed", HOURLY, scale=10.0, max_lag=48)
     return _rows_of_panel(prepare_target(spark, target, path, root, index))
 
 
