@@ -140,7 +140,37 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gear_chunks.repeated_chunks(documents(spark, sf_dir))
 
 
-@query("op9_jump_shards")
+# CRC-32 from its table, made by the rule of its polynomial, and the jumps of 64-bit keys.
+OP9_SQL = r"""WITH RECURSIVE
+    bits AS (
+      SELECT i, i::UINTEGER AS c, 0 AS k FROM (SELECT unnest(range(0, 256)) AS i)
+      UNION ALL
+      SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END, k + 1
+      FROM bits WHERE k < 8),
+    crc_table AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+    sums AS (
+      SELECT doc_id, xor(list_reduce(
+          list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::UINTEGER),
+          lambda acc, b: xor(t[(xor(acc, b) & 255) + 1], acc >> 8), 4294967295::UINTEGER),
+        4294967295::UINTEGER)::BIGINT AS crc
+      FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), crc_table),
+    jumps AS (
+      SELECT doc_id, n, -1::BIGINT AS b, 0::BIGINT AS j,
+        (doc_id::HUGEINT + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT AS key
+      FROM documents, (VALUES (24), (25)) v(n)
+      UNION ALL
+      SELECT doc_id, n, j, floor((j + 1) * (2147483648.0::DOUBLE / ((k >> 33) + 1)::DOUBLE))::BIGINT, k
+      FROM (SELECT *, (key * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS k
+            FROM jumps WHERE j < n)),
+    landed AS (SELECT doc_id, n, max(b) AS shard FROM jumps WHERE j >= n GROUP BY ALL)
+    SELECT d.doc_id, strlen(coalesce(text, '')) + 8 AS size, crc AS text_crc32, 'key' AS law,
+      a.shard::INT AS shard, row_number() OVER (PARTITION BY a.shard ORDER BY d.doc_id) - 1 AS slot,
+      g.shard::INT AS grown_shard
+    FROM documents d JOIN sums USING (doc_id) JOIN landed a ON a.doc_id = d.doc_id AND a.n = 24
+    JOIN landed g ON g.doc_id = d.doc_id AND g.n = 25"""
+
+
+@query("op9_jump_shards", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shards.assign_shards(documents(spark, sf_dir), 24)
 
