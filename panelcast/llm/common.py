@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import sys
-import types
 from collections.abc import Callable, Iterator
 from itertools import pairwise
 
@@ -87,18 +85,3 @@ def bounded(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     for a, b in pairwise(edges):
         if a < b:
             yield batch.slice(a, b - a)
-
-
-def kept(name: str, key: object, make: Callable[[], object]) -> object:
-    """What ``make`` gives, kept for the next tasks of the same Python worker.
-
-    One thing per name: another key takes its place.  The package travels with the functions
-    of a task, so a variable of this module would not outlive it.  What is kept must bound
-    its own size, and be right after a task that broke off.
-    """
-    module = sys.modules.setdefault("panelcast_kept", types.ModuleType("panelcast_kept"))
-    held = module.__dict__.setdefault("held", {})
-    if name not in held or held[name][0] != key:
-        held.pop(name, None)
-        held[name] = key, make()
-    return held[name][1]
