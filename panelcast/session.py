@@ -32,11 +32,11 @@ def build_session(app: str = "panelcast", cpus: int = 8, **conf: str) -> SparkSe
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a folder of its own.
+    A bare path is as good as one with a scheme: a mount that all machines have is a local
+    path to each of them.  Only a local session without the setting gets a folder of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        _require_shared(spark, root)
         return root.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
@@ -48,16 +48,6 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def _require_shared(spark: SparkSession, root: str) -> None:
-    """A bare path on a cluster whose default file system is local would be each
-    machine's own."""
-    if "://" in root or root.startswith("file:") or spark.sparkContext.master.startswith("local"):
-        return
-    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
-    if default.startswith("file:"):
-        raise RuntimeError("spark.checkpoint.dir must name a file system that all machines share")
-
-
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared scratch folder."""
     return f"{scratch_root(spark)}/panelcast/{label}-{uuid.uuid4().hex[:12]}"
@@ -76,11 +66,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared scratch folder and read back.
 
     For a result that is read more than once: what it took to make it, such as a scan
-    of the facts, is not done again.
+    of the facts, is not done again.  Every write leaves a file, also of no rows, so a folder
+    where none is seen is not the one that the tasks wrote to.
     """
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    if not back.inputFiles():
+        raise RuntimeError(f"spark.checkpoint.dir must be shared: no task's file is in {path}")
+    return back
 
 
 def drop_stage(df: DataFrame) -> None:
