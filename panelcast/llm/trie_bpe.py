@@ -22,6 +22,7 @@ NEVER = 1 << 60
 SPACE = "\t-\r \x85\xa0  -     　"
 MEMO = 600_000
 TRIE_WORDS = 20_000
+STOPS = ".,;:!?"
 
 
 def byte_letters() -> list[str]:
@@ -43,7 +44,8 @@ class Merges:
         self.longest = max(len(t.removesuffix(END)) for t in self.ids)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         self.edges: dict[tuple[str, bool], list[tuple[str, int]]] = {}
-        self.whole: dict[str, bool] = {}
+        self.whole: dict[str, bool | None] = dict.fromkeys(self.ids)  # None: not looked at yet
+        self.codes = {t: i.to_bytes(4, "little") for t, i in self.ids.items()}
         self.met: dict[tuple[str, str], bool] = {}
 
     def edge(self, token: str, right: bool) -> list[tuple[str, int]]:
@@ -89,9 +91,7 @@ class Merges:
 
     def is_token(self, t: str) -> bool:
         """In the vocabulary and the encoding of its own letters."""
-        if t not in self.ids:
-            return False
-        found = self.whole.get(t)
+        found = self.whole.get(t, False)
         if found is None:
             found = self.whole[t] = t not in self.parts or self._builds(*self.parts[t])
         return found
@@ -106,53 +106,39 @@ class Merges:
 def encode_words(words, merges: Merges) -> dict[str, list[str]]:
     """Tokens of each distinct word (in byte letters, without the end mark).
 
-    The words go into a trie; a depth-first walk keeps the last token of each prefix on
-    the path.  The last letter of a word carries the end mark, so a word's own last token
-    is looked for among marked tokens after the state of a shorter prefix.
+    Words in order are the paths of a trie, depth first: the prefix that a word shares with
+    the one before it is the path that stays, and so do its states.  ``states`` has the last
+    token of each prefix on the path.  The last letter of a word carries the end mark, so a
+    word's own last token is looked for among marked tokens after the state of a shorter prefix.
     """
-    kids: list[dict[str, int]] = [{}]
-    ends: dict[int, str] = {}
-    for word in words:
-        node = 0
-        for ch in word:
-            below = kids[node]
-            if ch in below:
-                node = below[ch]
-            else:
-                below[ch] = node = len(kids)
-                kids.append({})
-        ends[node] = word
-    longest = merges.longest
     out: dict[str, list[str]] = {}
-    path = ""  # letters of the prefix on the way down
-    states: list[str] = [""]  # last token of each prefix on the path
-    walk = [(0, "", 0)]
-    while walk:
-        node, ch, depth = walk.pop()
-        if depth:
-            path = path[: depth - 1] + ch
-            del states[depth:]
-            near = path[-longest:]
-            word = ends.get(node)
-            if word is not None:
-                out[word] = _spell(last_token(near, depth, states, END, merges), word, states)
-            if kids[node]:
-                states.append(last_token(near, depth, states, "", merges))
-        for c, below in kids[node].items():
-            walk.append((below, c, depth + 1))
+    path, states = "", [""]
+    for word in words:
+        shared, most = 0, min(len(path), len(word), len(states) - 1)
+        while shared < most and path[shared] == word[shared]:
+            shared += 1
+        del states[shared + 1 :]
+        for depth in range(shared + 1, len(word)):
+            states.append(last_token(word, depth, states, "", merges))
+        out[word] = _spell(last_token(word, len(word), states, END, merges), word, states)
+        path = word
     return out
 
 
-def last_token(near: str, depth: int, states: list[str], mark: str, merges: Merges) -> str:
-    """The last token of a prefix of ``depth`` letters that ends in ``near``."""
-    ids, is_token, beside = merges.ids, merges.is_token, merges.beside
-    for start in range(len(near)):
-        t = near[start:] + mark
-        if t in ids and is_token(t):
-            before = states[depth - len(near) + start]
-            if not before or beside(before, t):
+def last_token(word: str, depth: int, states: list[str], mark: str, merges: Merges) -> str:
+    """The last token of the prefix of ``depth`` letters."""
+    whole, met = merges.whole, merges.met
+    for start in range(max(0, depth - merges.longest), depth):
+        t = word[start:depth] + mark
+        sure = whole.get(t, False)
+        if sure or (sure is None and merges.is_token(t)):
+            before = states[start]
+            if not before:
+                return t
+            apart = met.get((before, t))
+            if apart or (apart is None and merges.beside(before, t)):
                 return t
-    raise ValueError(f"no token ends {near!r}")
+    raise ValueError(f"no token ends {word[:depth]!r}")
 
 
 def _spell(last: str, word: str, states: list[str]) -> list[str]:
@@ -192,7 +178,13 @@ class WordCoder:
         """Words in byte letters, after normalizing."""
         if self.latin(stretch):
             # In this range no letters compose, and both lower-case alike.
-            found = self.cut.findall(stretch.lower())
+            low = stretch.lower()
+            if low.isalpha():
+                return [low if low.isascii() else self._spelt(low)]
+            stem = low.rstrip(STOPS)
+            if stem.isalpha():
+                return [stem if stem.isascii() else self._spelt(stem), low[len(stem) :]]
+            found = self.cut.findall(low)
             return [w if w.isascii() and w.isprintable() else self._spelt(w) for w in found]
         plain = self.library.normalizer.normalize_str(stretch)
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
@@ -202,13 +194,12 @@ class WordCoder:
 
     def _learn(self, stretches) -> None:
         cut = {s: self._words(s) for s in stretches}
-        ids, known = self.merges.ids, self.words
-        # In order, so that words with a common prefix meet in one trie.
-        new = sorted({w for words in cut.values() for w in words} - known.keys())
+        code, known = self.merges.codes.__getitem__, self.words
+        # In order, so that words with a common prefix are neighbours.
+        new = sorted(set().union(*cut.values()) - known.keys())
         for i in range(0, len(new), TRIE_WORDS):
             for w, tokens in encode_words(new[i : i + TRIE_WORDS], self.merges).items():
-                code = b"".join([ids[t].to_bytes(4, "little") for t in tokens])
-                known[w] = (code, " ".join(tokens))
+                known[w] = (b"".join(map(code, tokens)), " ".join(tokens))
         for s, words in cut.items():
             if len(words) == 1:
                 self.memo[s] = known[words[0]]
@@ -229,7 +220,7 @@ class WordCoder:
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """Ids as little-endian unsigned 32-bit integers, and the decoded text."""
         cut = [self._parts(t or "") for t in texts]
-        need = {s for parts in cut for s in parts}
+        need = set().union(*cut)
         if len(self.memo) + len(need) > MEMO:
             self.memo.clear()
             self.words.clear()
@@ -237,11 +228,11 @@ class WordCoder:
             {t: (i.to_bytes(4, "little"), t) for t, i in self.merges.special.items()}
         )
         self._learn(need - self.memo.keys())
-        memo = self.memo
+        get = self.memo.__getitem__
         out = []
         for parts in cut:
-            got = [memo[s] for s in parts]
-            out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got])))
+            ids, words = zip(*map(get, parts), strict=True) if parts else ((), ())
+            out.append((b"".join(ids), " ".join(words)))
         return out
 
 

@@ -105,3 +105,47 @@ def test_packs_odd_rows(odd, no_rows):
     check_packing(pack_documents(odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), voc), texts)
     assert pack_documents(odd, voc).filter("piece = 0").count() == odd.count()
     assert pack_documents(no_rows, voc).count() == 0
+
+
+SPACED = [
+    " a\tb", "a  b\tc", "\n\na", " \na  \n b", "  ", " ", "\n", "a\n\nb \n", "\ta \tb", "one. two, 1x. .y! z",
+    "w w\nw  w\tw", ".", " .", "A.", "a\x1cb", " a\x1cb", "É. é, ªº; ǅ: Ⱥ!", "it's. o'er, '", "ab1. 12, ½!", "x·y. x\u0307.",
+]
+
+
+def test_spaces_and_stops_equal_library():
+    """Each alone, and all with units known from the others."""
+    for name, make in (("byte_bpe_50k.json", UnitCoder), ("word_bpe_49k.json", WordCoder)):
+        tool, kept = library(name), make(vocabulary(name))
+        for text in SPACED + ODD + SPACED[::-1]:
+            want = np.array(tool.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+            for coder in (kept, make(vocabulary(name))) if text in SPACED[:4] else (kept,):
+                got = coder.encode([text])[0]
+                assert (got if name[:1] == "b" else got[0]) == want, text
+
+
+class Refuses:
+    """In place of a pattern that plain texts need not be cut with."""
+
+    def findall(self, text):
+        raise AssertionError(f"cut by pattern: {text!r}")
+
+    __call__ = findall
+
+
+def test_plain_words_need_no_pattern():
+    coder = WordCoder(vocabulary("word_bpe_49k.json"))
+    coder.cut = Refuses()
+    plain = "Plain words, naïve Ärger; and stops... here!"
+    want = library("word_bpe_49k.json").encode(plain, add_special_tokens=False).ids
+    assert np.frombuffer(coder.encode([plain])[0][0], "<u4").tolist() == want
+
+
+def test_units_known_by_words_alone():
+    """A text of single blanks is cut by ``split``: no string is made anew for each word."""
+    coder = UnitCoder(vocabulary("byte_bpe_50k.json"))
+    text = "first word\nline two, last"
+    assert coder._cut(text) == [" first", "word", "\nline", "two,", "last"]
+    assert [coder._unit(k) for k in coder._cut(text)] == ["first", " word", "\nline", " two,", " last"]
+    for unit in ("w", " w", "\nw", "  w", " \nw", "\tw", " \tw", " ", "\n", "\n\nw", "\u3000w"):
+        assert coder._unit(coder._key(unit)) == unit
