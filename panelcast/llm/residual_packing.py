@@ -34,6 +34,7 @@ BLANKS = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") |
     chr(c) for c in range(0x2000, 0x200B)
 }
 STOPS = ".,;:!?"
+STOP_SET = frozenset(STOPS)
 
 
 class UnitCoder:
@@ -60,54 +61,68 @@ class UnitCoder:
         self.memo: dict[str, bytes] = {}
 
     def _cut(self, text: str) -> list[str]:
+        """Keys of the text's units: a unit's one blank in front is left out, so that texts
+        are cut by ``str.split``; one that starts with a newline is its own key, and any
+        other has a blank put in front."""
         # Equal where all white space is single blanks and newlines between words.
         if len(text.split()) != text.count(" ") + text.count("\n") + 1:
-            return self.units(text)
+            return list(map(self._key, self.units(text)))
         # A newline takes the place of the blank before what follows it.
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[u if u[:1] == "\n" else " " + u for u in rest]]
+        keys = text.replace("\n", " \n").split(" ")
+        keys[0] = " " + keys[0]
+        return keys
+
+    @staticmethod
+    def _key(unit: str) -> str:
+        if unit[:1] == "\n":
+            return unit
+        return unit[1:] if unit[:1] == " " and unit[1:2] not in (" ", "\n", "") else " " + unit
+
+    @staticmethod
+    def _unit(key: str) -> str:
+        if key[:1] == " ":
+            return key[1:]
+        return key if key[:1] == "\n" else " " + key
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
         odd = {i for i, t in enumerate(texts) if t and any(m in t for m in self.marks)}
         cut = [[] if not t or i in odd else self._cut(t) for i, t in enumerate(texts)]
-        need = {u for units in cut for u in units}
+        need = set().union(*cut)
         if len(self.memo) + len(need) > MEMO:
             self.memo.clear()
         self._learn(need - self.memo.keys())
         get = self.memo.__getitem__
-        found = [b"".join(map(get, units)) for units in cut]
+        found = [b"".join(map(get, keys)) for keys in cut]
         for i in odd:
             found[i] = self._ids([texts[i]])[0]
         return found
 
-    def _learn(self, units) -> None:
+    def _learn(self, keys) -> None:
         """Encode new units.
 
         Letters and the stops after them are two words to the split pattern, so a unit
         like that is put together from both.  Units that start with white space and end
         without are encoded in a row, the others one by one.
         """
-        memo, row, alone, made = self.memo, [], [], []
-        for u in units:
-            stem = u.rstrip(STOPS)
-            if len(stem) < len(u) and stem[1:].isalpha():
-                made.append((u, stem, u[len(stem) :]))
-            elif u[:1] in BLANKS and u[-1] not in BLANKS:
-                row.append(u)
-            else:
-                alone.append(u)
-        have = {*row, *alone}
-        stems = {s for _, s, _ in made if s not in memo} - have
-        row += [s for s in stems if s[0] in BLANKS]
-        alone += [s for s in stems if s[0] not in BLANKS]
-        alone += {t for _, _, t in made if t not in memo} - have
-        memo.update(zip(alone, self._ids(alone), strict=True))
+        memo, made, new = self.memo, [], []
+        for k in keys:
+            if k[-1:] in STOP_SET:
+                stem = k.rstrip(STOPS)
+                if stem.isalpha() or stem[1:].isalpha():
+                    made.append((k, stem, " " + k[len(stem) :]))
+                    continue
+            new.append(k)
+        new += {p for _, *both in made for p in both} - memo.keys() - set(new)
+        row = [k for k in new if k and k[-1] not in BLANKS and (k[0] != " " or k[1] in BLANKS)]
+        alone = list(set(new).difference(row))
+        memo.update(zip(alone, self._ids(list(map(self._unit, alone))), strict=True))
         for i in range(0, len(row), ROW_UNITS):
             part = row[i : i + ROW_UNITS]
-            joined = self._ids(["".join(part)])[0]
+            units = list(map(self._unit, part))
+            joined = self._ids(["".join(units)])[0]
             ends = np.cumsum(self.sizes[np.frombuffer(joined, "<u4")])
-            wanted = np.cumsum([len(u.encode("utf-8")) for u in part])
+            wanted = np.cumsum([len(u) if u.isascii() else len(u.encode("utf-8")) for u in units])
             cuts = np.searchsorted(ends, wanted)
             if (ends[cuts] != wanted).any():
                 raise ValueError("a token spans two units")
@@ -115,8 +130,8 @@ class UnitCoder:
             memo.update(
                 zip(part, [joined[x:y] for x, y in zip([0, *stops], stops, strict=False)], strict=True)
             )
-        for u, stem, tail in made:
-            memo[u] = memo[stem] + memo[tail]
+        for k, stem, tail in made:
+            memo[k] = memo[stem] + memo[tail]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         got = self.library.encode_batch_fast(texts, add_special_tokens=False)
