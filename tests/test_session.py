@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+from datetime import datetime
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql.readwriter import DataFrameWriter
 
+from panelcast.plans.catalog import QUERIES
 from panelcast.session import scratch_dir, stage
 
 
@@ -53,3 +55,18 @@ def test_stage_that_nobody_sees_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(DataFrameWriter, "parquet", unseen)
     with pytest.raises(RuntimeError, match="shared"):
         stage(spark.range(5), "lost")
+
+
+@pytest.mark.parametrize("name", ["a1_quantiles", "a7_counts", "a9_any_all"])
+def test_queries_take_a_bare_path_on_a_cluster(spark, monkeypatch, tmp_path, name):
+    """As ``spark.checkpoint.dir`` stands in a cluster's defaults, with a master other than local."""
+    rows = [(k, k, "F", 1000.0 + k, datetime(2024, 1, 1 + k % 9), "1-URGENT") for k in range(20)]
+    columns = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    columns += "o_orderdate timestamp_ntz, o_orderpriority string"
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/in/orders.parquet")
+    get = type(spark.conf).get
+    bare = lambda self, key, *a: f"{tmp_path}/shared" if key == "spark.checkpoint.dir" else get(self, key, *a)
+    monkeypatch.setattr(type(spark.conf), "get", bare)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    QUERIES[name](spark, f"{tmp_path}/in").collect()
+    assert list((tmp_path / "shared" / "panelcast").iterdir())
