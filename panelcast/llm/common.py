@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
-from itertools import pairwise
+from contextlib import contextmanager
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +79,37 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]
             yield ids.slice(first), texts.slice(first).to_pylist()
 
 
+def distinct(lists: list[list[str]]) -> tuple[list[str], pa.Array, np.ndarray]:
+    """The distinct strings of all lists, the place of every string among them, and where
+    each list begins and ends in these places."""
+    found = pa.array(list(chain.from_iterable(lists)), pa.large_string()).dictionary_encode()
+    # by way of numpy, as to_pylist() makes a scalar of each
+    keys = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+    return keys, found.indices, np.cumsum([0, *map(len, lists)])
+
+
+def joined(values: list[bytes], places: pa.Array, edges: np.ndarray) -> list[bytes]:
+    """For each list, the values at its places in a row."""
+    taken = pa.array(values, pa.large_binary()).take(places)
+    _, offsets, data = taken.buffers()
+    if not len(taken) or data is None:
+        return [b""] * (len(edges) - 1)
+    ends, data = np.frombuffer(offsets, np.int64)[edges].tolist(), memoryview(data)
+    return [bytes(data[a:b]) for a, b in pairwise(ends)]
+
+
+@contextmanager
+def no_cycles():
+    """For code that makes many objects and no cycles: does not look for cycles meanwhile."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def bounded(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Slices of about ``PIECE`` bytes of one column; a single value may be larger."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -3,7 +3,8 @@
 The encoding of a string ends in exactly one token that can stand after the encoding of
 what comes before it.  So the state of a trie node is its last token; going down, the
 last token of a node follows from the states above it, and the encoding of a prefix that
-many words share is found once.
+many words share is found once.  The tokens that a node's string ends in are found from
+the longest such end that begins a token, which a letter more changes in one step.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from panelcast.llm.common import narrow, per_document
+from panelcast.llm.common import distinct, joined, narrow, no_cycles, per_document
 
 END = "</w>"
 NEVER = 1 << 60
@@ -41,7 +42,11 @@ class Merges:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.rank = {p: i for i, p in enumerate(pairs)}
         self.parts = {a + b: (a, b, i) for i, (a, b) in enumerate(pairs)}
-        self.longest = max(len(t.removesuffix(END)) for t in self.ids)
+        stems = {t.removesuffix(END) for t in self.ids}
+        self.heads = {t[:i] for t in stems for i in range(1, len(t) + 1)}
+        self.after: dict[str, str] = {}
+        self.ends: dict[str, tuple[str, ...]] = {}
+        self.marked_ends: dict[str, tuple[str, ...]] = {}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         self.edges: dict[tuple[str, bool], list[tuple[str, int]]] = {}
         self.whole: dict[str, bool | None] = dict.fromkeys(self.ids)  # None: not looked at yet
@@ -89,6 +94,21 @@ class Merges:
             else:
                 j += 1
 
+    def step(self, text: str) -> str:
+        """The longest end of ``text`` that begins a token."""
+        head = text
+        while head and head not in self.heads:
+            head = head[1:]
+        self.after[text] = head
+        return head
+
+    def tokens_at(self, head: str, mark: str) -> tuple[str, ...]:
+        """The tokens that a string ends in, longest first, by its end that begins one."""
+        kept = self.marked_ends if mark else self.ends
+        ends = (head[i:] + mark for i in range(len(head)))
+        kept[head] = found = tuple(t for t in ends if self.is_token(t))
+        return found
+
     def is_token(self, t: str) -> bool:
         """In the vocabulary and the encoding of its own letters."""
         found = self.whole.get(t, False)
@@ -108,37 +128,44 @@ def encode_words(words, merges: Merges) -> dict[str, list[str]]:
 
     Words in order are the paths of a trie, depth first: the prefix that a word shares with
     the one before it is the path that stays, and so do its states.  ``states`` has the last
-    token of each prefix on the path.  The last letter of a word carries the end mark, so a
-    word's own last token is looked for among marked tokens after the state of a shorter prefix.
+    token of each prefix on the path, ``heads`` its longest end that begins a token.  The last
+    letter of a word carries the end mark, so a word's own last token is looked for among
+    marked tokens after the state of a shorter prefix.
     """
     out: dict[str, list[str]] = {}
-    path, states = "", [""]
+    path, states, heads = "", [""], [""]
+    after, ends, marked_ends = merges.after, merges.ends, merges.marked_ends
     for word in words:
         shared, most = 0, min(len(path), len(word), len(states) - 1)
         while shared < most and path[shared] == word[shared]:
             shared += 1
-        del states[shared + 1 :]
+        del states[shared + 1 :], heads[shared + 1 :]
+        head = heads[shared]
         for depth in range(shared + 1, len(word)):
-            states.append(last_token(word, depth, states, "", merges))
-        out[word] = _spell(last_token(word, len(word), states, END, merges), word, states)
+            text = head + word[depth - 1]
+            head = after.get(text) or merges.step(text)
+            found = ends.get(head) or merges.tokens_at(head, "")
+            heads.append(head)
+            states.append(last_token(found, depth, states, merges))
+        text = heads[len(word) - 1] + word[-1]
+        head = after.get(text) or merges.step(text)
+        found = marked_ends.get(head) or merges.tokens_at(head, END)
+        out[word] = _spell(last_token(found, len(word) + len(END), states, merges), word, states)
         path = word
     return out
 
 
-def last_token(word: str, depth: int, states: list[str], mark: str, merges: Merges) -> str:
-    """The last token of the prefix of ``depth`` letters."""
-    whole, met = merges.whole, merges.met
-    for start in range(max(0, depth - merges.longest), depth):
-        t = word[start:depth] + mark
-        sure = whole.get(t, False)
-        if sure or (sure is None and merges.is_token(t)):
-            before = states[start]
-            if not before:
-                return t
-            apart = met.get((before, t))
-            if apart or (apart is None and merges.beside(before, t)):
-                return t
-    raise ValueError(f"no token ends {word[:depth]!r}")
+def last_token(found: tuple[str, ...], depth: int, states: list[str], merges: Merges) -> str:
+    """The last token of the prefix of ``depth`` letters, out of those that it ends in."""
+    met = merges.met
+    for t in found:
+        before = states[depth - len(t)]
+        if not before:
+            return t
+        apart = met.get((before, t))
+        if apart or (apart is None and merges.beside(before, t)):
+            return t
+    raise ValueError(f"no token ends the prefix of {depth} letters")
 
 
 def _spell(last: str, word: str, states: list[str]) -> list[str]:
@@ -171,11 +198,13 @@ class WordCoder:
         self.odd_space = re.compile("[\x1c-\x1f]").search
         self.stretch = re.compile(f"[^{SPACE}]+")
         self.marks = re.compile("(" + "|".join(map(re.escape, self.merges.special)) + ")")
-        self.memo: dict[str, tuple[bytes, str]] = {}
-        self.words: dict[str, tuple[bytes, str]] = {}
+        self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.words: dict[str, tuple[bytes, bytes]] = {}
 
     def _words(self, stretch: str) -> list[str]:
         """Words in byte letters, after normalizing."""
+        if stretch.isascii() and stretch.isalpha():
+            return [stretch.lower()]
         if self.latin(stretch):
             # In this range no letters compose, and both lower-case alike.
             low = stretch.lower()
@@ -199,13 +228,14 @@ class WordCoder:
         new = sorted(set().union(*cut.values()) - known.keys())
         for i in range(0, len(new), TRIE_WORDS):
             for w, tokens in encode_words(new[i : i + TRIE_WORDS], self.merges).items():
-                known[w] = (b"".join(map(code, tokens)), " ".join(tokens))
+                # with the blank that follows it, unless it ends the text
+                known[w] = (b"".join(map(code, tokens)), (" ".join(tokens) + " ").encode())
         for s, words in cut.items():
             if len(words) == 1:
                 self.memo[s] = known[words[0]]
             else:
                 got = [known[w] for w in words]
-                self.memo[s] = (b"".join([g[0] for g in got]), " ".join([g[1] for g in got]))
+                self.memo[s] = (b"".join([g[0] for g in got]), b"".join([g[1] for g in got]))
 
     def _parts(self, text: str) -> list[str]:
         split = self.stretch.findall if self.odd_space(text) else str.split
@@ -219,21 +249,23 @@ class WordCoder:
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """Ids as little-endian unsigned 32-bit integers, and the decoded text."""
-        cut = [self._parts(t or "") for t in texts]
-        need = set().union(*cut)
-        if len(self.memo) + len(need) > MEMO:
-            self.memo.clear()
-            self.words.clear()
-        self.memo.update(
-            {t: (i.to_bytes(4, "little"), t) for t, i in self.merges.special.items()}
-        )
-        self._learn(need - self.memo.keys())
-        get = self.memo.__getitem__
-        out = []
-        for parts in cut:
-            ids, words = zip(*map(get, parts), strict=True) if parts else ((), ())
-            out.append((b"".join(ids), " ".join(words)))
-        return out
+        return [(ids, text.decode()) for ids, text in self.encoded(texts)]
+
+    def encoded(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """The same with the decoded text in UTF-8."""
+        with no_cycles():
+            keys, places, edges = distinct([self._parts(t or "") for t in texts])
+            if len(self.memo) + len(keys) > MEMO:
+                self.memo.clear()
+                self.words.clear()
+            self.memo.update(
+                {t: (i.to_bytes(4, "little"), f"{t} ".encode()) for t, i in self.merges.special.items()}
+            )
+            self._learn([k for k in keys if k not in self.memo])
+            got = list(map(self.memo.__getitem__, keys))
+            ids = joined([g[0] for g in got], places, edges)
+            decoded = joined([g[1] for g in got], places, edges)
+            return [(i, t[:-1]) for i, t in zip(ids, decoded, strict=True)]
 
 
 def encode_documents(
@@ -257,9 +289,9 @@ def encode_documents(
                 (
                     len(ids) // 4,
                     hashlib.sha256(ids).hexdigest(),
-                    hashlib.sha256(text.encode("utf-8")).hexdigest(),
+                    hashlib.sha256(text).hexdigest(),
                 )
-                for ids, text in coder.encode(texts)
+                for ids, text in coder.encoded(texts)
             ]
 
         return work

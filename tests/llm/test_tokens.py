@@ -8,7 +8,7 @@ import pytest
 
 from panelcast.llm.queries import vocabulary
 from panelcast.llm.residual_packing import UnitCoder, best_fit, cut_pieces, pack_documents
-from panelcast.llm.trie_bpe import WordCoder, encode_documents
+from panelcast.llm.trie_bpe import WordCoder, encode_documents, encode_words
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -149,3 +149,40 @@ def test_units_known_by_words_alone():
     assert [coder._unit(k) for k in coder._cut(text)] == ["first", " word", "\nline", " two,", " last"]
     for unit in ("w", " w", "\nw", "  w", " \nw", "\tw", " \tw", " ", "\n", "\n\nw", "\u3000w"):
         assert coder._unit(coder._key(unit)) == unit
+
+
+class Counted(dict):
+    """Counts the look-ups that Python makes."""
+
+    looks = 0
+
+    def get(self, key, default=None):
+        self.looks += 1
+        return super().get(key, default)
+
+    def __getitem__(self, key):
+        self.looks += 1
+        return super().__getitem__(key)
+
+
+def test_known_ends_are_not_looked_up_again():
+    """Each letter more is one step: the vocabulary is asked once for each end of a prefix."""
+    merges = WordCoder(vocabulary("word_bpe_49k.json")).merges
+    words = sorted(["qzxvoon", "qzxvoom", "unbelievablyzq", "unbelievably", "a", "z"])
+    first = encode_words(words, merges)
+    merges.whole = Counted(merges.whole)
+    assert encode_words(words, merges) == first and merges.whole.looks == 0
+    assert encode_words(words[::-1], merges) == first
+
+
+@pytest.mark.parametrize("name, make", [("word_bpe_49k.json", WordCoder)])
+def test_repeated_units_are_looked_up_once_a_batch(name, make):
+    coder = make(vocabulary(name))
+    coder.memo = Counted()
+    texts = ["Some words. Some more\nwords, " * 400, "", None, "é words"]
+    got = coder.encode(texts)
+    assert coder.memo.looks < 100
+    want = np.array(library(name).encode(texts[0], add_special_tokens=False).ids, "<u4").tobytes()
+    assert (got[0] if name[:1] == "b" else got[0][0]) == want
+    nothing = b"" if name[:1] == "b" else (b"", "")
+    assert got[1:3] == coder.encode([None, ""]) == [nothing, nothing] and coder.encode([]) == []
