@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import narrow, pieces
+from panelcast.llm.common import distinct, joined, narrow, no_cycles, pieces
 from panelcast.session import stage
 
 LENGTH = 1024
@@ -86,17 +86,21 @@ class UnitCoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
-        odd = {i for i, t in enumerate(texts) if t and any(m in t for m in self.marks)}
-        cut = [[] if not t or i in odd else self._cut(t) for i, t in enumerate(texts)]
-        need = set().union(*cut)
-        if len(self.memo) + len(need) > MEMO:
-            self.memo.clear()
-        self._learn(need - self.memo.keys())
-        get = self.memo.__getitem__
-        found = [b"".join(map(get, keys)) for keys in cut]
-        for i in odd:
-            found[i] = self._ids([texts[i]])[0]
-        return found
+        with no_cycles():
+            odd = {i for i, t in enumerate(texts) if t and any(m in t for m in self.marks)}
+            cut = [[] if not t or i in odd else self._cut(t) for i, t in enumerate(texts)]
+            keys, places, edges = distinct(cut)
+            if len(self.memo) + len(keys) > MEMO:
+                self.memo.clear()
+            codes = list(map(self.memo.get, keys))
+            new = [i for i, code in enumerate(codes) if code is None]
+            self._learn([keys[i] for i in new])
+            for i in new:
+                codes[i] = self.memo[keys[i]]
+            found = joined(codes, places, edges)
+            for i in odd:
+                found[i] = self._ids([texts[i]])[0]
+            return found
 
     def _learn(self, keys) -> None:
         """Encode new units.

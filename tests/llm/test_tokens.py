@@ -175,7 +175,7 @@ def test_known_ends_are_not_looked_up_again():
     assert encode_words(words[::-1], merges) == first
 
 
-@pytest.mark.parametrize("name, make", [("word_bpe_49k.json", WordCoder)])
+@pytest.mark.parametrize("name, make", [("byte_bpe_50k.json", UnitCoder), ("word_bpe_49k.json", WordCoder)])
 def test_repeated_units_are_looked_up_once_a_batch(name, make):
     coder = make(vocabulary(name))
     coder.memo = Counted()
