@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "panelcast", cpus: int = 8, **conf: str) -> SparkSession:
@@ -67,13 +68,22 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
     For a result that is read more than once: what it took to make it, such as a scan
     of the facts, is not done again.  Every write leaves a file, also of no rows, so a folder
-    where none is seen is not the one that the tasks wrote to.
+    where none is seen is not the one that the tasks wrote to.  On a cluster, a local path may be
+    a folder of each machine's own, where the files of some tasks are seen: rows are counted there.
     """
-    path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    if not back.inputFiles():
+    spark = df.sparkSession
+    path = scratch_dir(spark, label)
+    written = None if spark.conf.get("spark.master", "local").startswith("local") else Observation()
+    out = df if written is None else df.observe(written, F.count(F.lit(1)).alias("n"))
+    out.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    files = back.inputFiles()
+    if not files:
         raise RuntimeError(f"spark.checkpoint.dir must be shared: no task's file is in {path}")
+    if written is not None and files[0].startswith("file:") and (seen := back.count()) != written.get["n"]:
+        raise RuntimeError(
+            f"spark.checkpoint.dir must be shared: {path} has {seen} of {written.get['n']} rows"
+        )
     return back
 
 

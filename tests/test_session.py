@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -70,3 +71,20 @@ def test_queries_take_a_bare_path_on_a_cluster(spark, monkeypatch, tmp_path, nam
     monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     QUERIES[name](spark, f"{tmp_path}/in").collect()
     assert list((tmp_path / "shared" / "panelcast").iterdir())
+
+
+def test_stage_that_is_seen_in_part_is_an_error(spark, monkeypatch, tmp_path):
+    """A local folder of each machine: only the files of tasks on the driver's machine are seen."""
+    write, get = DataFrameWriter.parquet, type(spark.conf).get
+    own = {"spark.checkpoint.dir": str(tmp_path), "spark.master": "spark://host:7077"}
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *a: own.get(key) or get(self, key, *a))
+    assert stage(spark.range(100).repartition(4), "whole").count() == 100
+    assert stage(spark.range(100).filter("id < 0"), "none").count() == 0
+
+    def in_part(self, path, *args, **kw):
+        write(self, path, *args, **kw)
+        sorted(Path(path).glob("part-*"))[-1].unlink()
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", in_part)
+    with pytest.raises(RuntimeError, match="of 100 rows"):
+        stage(spark.range(100).repartition(4), "part")
