@@ -15,7 +15,7 @@ DAYS = 2190  # two folds of the sweep: windows of 2,100 days, a step of 70, a we
 SHORT = 1407  # one fold of the fitted models
 
 STAGED = (
-    "a11_boxplot_by_month", "a11_boxplot_by_hour", "a11_boxplot_two_keys",
+    "a11_boxplot_by_month", "a11_boxplot_by_hour", "a11_boxplot_two_keys", "a12_arg_extremes",
 )
 FITTED = ("a13_importance_of_trees", "b7_refit_backtest")
 
