@@ -16,7 +16,7 @@ SHORT = 1407  # one fold of the fitted models
 
 STAGED = (
     "a11_boxplot_by_month", "a11_boxplot_by_hour", "a11_boxplot_two_keys", "a12_arg_extremes",
-    "a13_mean_importance", "a13_importance_of_trees", "a1_quantiles",
+    "a13_mean_importance", "a13_importance_of_trees", "a1_quantiles", "a2_fold_mean_std",
 )
 FITTED = ("a13_importance_of_trees", "b7_refit_backtest")
 
