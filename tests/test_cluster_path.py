@@ -18,7 +18,7 @@ STAGED = (
     "a11_boxplot_by_month", "a11_boxplot_by_hour", "a11_boxplot_two_keys", "a12_arg_extremes",
     "a13_mean_importance", "a13_importance_of_trees", "a1_quantiles", "a2_fold_mean_std",
     "a3_fold_population", "a4_scaled_variance", "a5_row_sum", "a6_hit_rate", "a7_counts",
-    "a9_any_all", "b10_result_table", "b5_initial_window",
+    "a9_any_all", "b10_result_table", "b5_initial_window", "b6_test_rows",
 )
 FITTED = ("a13_importance_of_trees", "b7_refit_backtest")
 
