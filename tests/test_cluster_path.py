@@ -20,6 +20,7 @@ STAGED = (
     "a3_fold_population", "a4_scaled_variance", "a5_row_sum", "a6_hit_rate", "a7_counts",
     "a9_any_all", "b10_result_table", "b5_initial_window", "b6_test_rows",
     "b6_train_rows_expanding", "b6_train_rows_sliding", "b7_refit_backtest", "b8_eval_results",
+    "b8_level_metrics",
 )
 FITTED = ("a13_importance_of_trees", "b7_refit_backtest")
 
